@@ -8,11 +8,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pagemill.llm.chat import op6_chat_format
 from pagemill.llm.decontaminate import op2_decontamination
+from pagemill.llm.gif import op5_gif
+from pagemill.llm.langid import op4_langid
+from pagemill.llm.packing import op7_packing
 from pagemill.llm.sharding import op10_sharding
+from pagemill.llm.substring import op3_substring_dedup
+from pagemill.llm.warc import op1_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc": op1_warc,
     "op2_decontamination": op2_decontamination,
+    "op3_substring_dedup": op3_substring_dedup,
+    "op4_langid": op4_langid,
+    "op5_gif": op5_gif,
     "op6_chat_format": op6_chat_format,
+    "op7_packing": op7_packing,
     "op10_sharding": op10_sharding,
 }
 
