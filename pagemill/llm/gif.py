@@ -45,31 +45,35 @@ def lzw_encode(data: bytes, bits: int = 8) -> bytes:
     """LZW code stream of samples under 2**bits, of variable width up to 12 bits."""
     clear, end = 1 << bits, (1 << bits) + 1
     codes, ages = [clear], [0]
-    seen: dict[int, int] = {}
-    find, following = seen.get, end + 1
-    emitted: list[int] = []
-    prefix = -1
-    for b in data:
-        if prefix < 0:
-            prefix = b
-            continue
-        key = prefix << 8 | b
-        code = find(key)
-        if code is not None:
-            prefix = code
-            continue
-        emitted.append(prefix)
-        prefix = b
+    following, emitted = end + 1, []
+    put = emitted.append
+    below: list[dict[int, int] | None] = [None] * MAX_CODE  # of each code: the codes that lengthen it
+    rest = iter(data)
+    prefix = next(rest, -1)
+    longer = None
+    for b in rest:
+        if longer is not None:
+            code = longer.get(b)
+            if code is not None:
+                prefix = code
+                longer = below[code]
+                continue
+        put(prefix)
         if following < MAX_CODE:
-            seen[key] = following
+            if longer is None:
+                below[prefix] = {b: following}
+            else:
+                longer[b] = following
             following += 1
         else:
-            emitted.append(clear)
+            put(clear)
             codes += emitted
             ages += range(len(emitted))
-            emitted = []
-            seen.clear()
+            emitted.clear()
+            below = [None] * MAX_CODE
             following = end + 1
+        prefix = b
+        longer = below[b]
     if prefix >= 0:
         emitted.append(prefix)
     emitted.append(end)

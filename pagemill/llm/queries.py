@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pagemill.llm.chat import op6_chat_format
 from pagemill.llm.decontaminate import op2_decontamination
 from pagemill.llm.gif import op5_gif
+from pagemill.llm.jaccard import op8_jaccard_join
 from pagemill.llm.langid import op4_langid
+from pagemill.llm.lm import op9_lm_score
 from pagemill.llm.packing import op7_packing
 from pagemill.llm.sharding import op10_sharding
 from pagemill.llm.substring import op3_substring_dedup
@@ -23,6 +25,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_gif": op5_gif,
     "op6_chat_format": op6_chat_format,
     "op7_packing": op7_packing,
+    "op8_jaccard_join": op8_jaccard_join,
+    "op9_lm_score": op9_lm_score,
     "op10_sharding": op10_sharding,
 }
 
