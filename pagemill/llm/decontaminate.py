@@ -135,8 +135,9 @@ def decontaminate(
         rows = _verified(found, keep, window, k)
     else:
         every = df.select(*keep, F.explode_outer("prints").alias("_v")).filter(F.col("_v").isNotNull()).select("doc", "_same", *split)
-        found = every.join(prints, "key").join(df.select(*keep, "words"), (every.doc.eqNullSafe(df.doc)) & (every._same == df._same))
-        found = found.select(df.doc, df._same, "n_words", "words", F.lit(False).alias("_base"), "place", "item", "around", "need")
+        hits = every.join(prints, "key").drop("key").withColumnsRenamed({"doc": "_doc", "_same": "_text"})
+        found = hits.join(df.select(*keep, "words"), F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("_same") == F.col("_text")))
+        found = found.select(*keep, "words", F.lit(False).alias("_base"), "place", "item", "around", "need")
         base = df.select(*keep, *(F.lit(None).cast(t).alias(c) for c, t in (("item", prints.schema["item"].dataType), ("from", "int"), ("to", "int"))))
         rows = base.unionByName(_verified(found, keep, window, k))
 

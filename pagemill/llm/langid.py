@@ -26,6 +26,8 @@ CLASSES = 128
 #: About so many labelled rows are learned from, and so many characters of each, from a place that varies by row.
 TRAIN_ROWS, TRAIN_CHARS = 4000, 768
 EPOCHS, BATCH, RATE = 8, 64, 0.004
+#: Few rows are gone over more often, so that at least so many steps are made.
+MIN_STEPS = 300
 BATCH_WINDOWS = 128
 UNKNOWN = "und"
 
@@ -78,7 +80,7 @@ def train(texts: list[str], labels: list[str], seed: int = 1) -> Model:
     params = [rng.normal(0, 0.3, (w, CLASSES, FILTERS)).astype(np.float32) for w in WIDTHS]
     params += [np.zeros(len(WIDTHS) * FILTERS, np.float32), rng.normal(0, 0.2, (len(WIDTHS) * FILTERS, k)).astype(np.float32), np.zeros(k, np.float32)]
     mean, square, step = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
-    for _ in range(EPOCHS):
+    for _ in range(max(EPOCHS, -(-MIN_STEPS * BATCH // len(x)))):
         order = rng.permutation(len(x))
         for lo in range(0, len(order), BATCH):
             pick = order[lo : lo + BATCH]
