@@ -22,39 +22,49 @@ from pyspark.sql import functions as F
 
 from pagemill.llm.shared import ALNUM, LOWER, Words, mix, text_buffers
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 6 << 20
 ORDER = 3
 BACKOFF = 0.4
-#: An n-gram is known by its partition and so many bits of its hash.
-KEY_BITS = 40
-_MASK = np.uint64((1 << KEY_BITS) - 1)
+#: An n-gram is known by its partition and the rest of so many bits.
+KEY_BITS = 50
 
 
-def _keys(words: Words, order: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """Places at which n-grams of each order end or begin, and all keys: order 0 (one per word), then 1, 2 ..."""
-    at, keys, step = [], [], 0xD1B54A32D192ED03
-    for n in range(order + 1):
-        places = np.flatnonzero(words.left >= n)
-        at.append(places)
-        base = words.grams(n)[places] if n else np.zeros(len(places), np.uint64)
-        keys.append(mix(base + np.uint64((n + 1) * step % (1 << 64))))
-    return at, np.concatenate(keys)
+def _key_hashes(words: Words, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """First words of the n-grams of an order, and their hashes."""
+    at = np.flatnonzero(words.left >= order)
+    return at, mix(words.grams(order)[at] + np.uint64((order + 1) * 0xD1B54A32D192ED03 % (1 << 64)))
+
+
+#: Stands for the number of all words.
+_ALL = mix(np.array([0xD1B54A32D192ED03], np.uint64))
+
+
+def _rest_bits(parts: int) -> int:
+    return KEY_BITS - (parts.bit_length() - 1)
 
 
 def _dealt(keys: np.ndarray, parts: int) -> np.ndarray:
     """Keys so that they sort by partition, then by the bits that are kept."""
-    part = (keys >> np.uint64(KEY_BITS)) % np.uint64(parts)
-    return part << np.uint64(KEY_BITS) | keys & _MASK
+    bits = _rest_bits(parts)
+    part = (mix(keys) >> np.uint64(20)) % np.uint64(parts)
+    return part << np.uint64(bits) | keys & np.uint64((1 << bits) - 1)
+
+
+_FILL = np.uint64(0xFFFFFFFF)
 
 
 def _pack(keys: np.ndarray) -> bytes:
-    """Sorted keys as 4-byte steps, or whole where a step needs more."""
+    """Sorted distinct keys as 4-byte steps; larger steps have fillers before them."""
     steps = np.diff(keys, prepend=np.uint64(0))
-    return b"\1" + keys.astype("<u8").tobytes() if len(steps) and steps.max() >> np.uint64(32) else b"\0" + steps.astype("<u4").tobytes()
+    fillers = (steps // _FILL).astype(np.int64)
+    out = np.full(len(steps) + int(fillers.sum()), _FILL, "<u4")
+    out[np.arange(len(steps)) + np.cumsum(fillers)] = steps % _FILL
+    return out.tobytes()
 
 
 def _unpack(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, "<u8", offset=1) if data[0] else np.cumsum(np.frombuffer(data, "<u4", offset=1), dtype=np.uint64)
+    steps = np.frombuffer(data, "<u4")
+    return np.cumsum(steps, dtype=np.uint64)[steps != 0xFFFFFFFF]
 
 
 def _pack_counts(counts: np.ndarray) -> bytes:
@@ -100,12 +110,16 @@ def stupid_backoff(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     parts = blocks
 
     def count(key: tuple, table: pa.Table) -> pa.Table:
-        _, keys = _keys(_block_words(table), order)
-        keys, counts = np.unique(_dealt(keys, parts), return_counts=True)
-        part = (keys >> np.uint64(KEY_BITS)).astype(np.int64)
+        words = _block_words(table)
+        keys, counts = np.unique(np.concatenate([_dealt(_key_hashes(words, n)[1], parts) for n in range(1, order + 1)]), return_counts=True)
+        every = _dealt(_ALL, parts)
+        at = int(np.searchsorted(keys, every[0]))
+        keys, counts = np.insert(keys, at, every), np.insert(counts, at, len(words.hash))
+        bits = np.uint64(_rest_bits(parts))
+        part, rest = (keys >> bits).astype(np.int64), keys & ((np.uint64(1) << bits) - np.uint64(1))
         first = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1]) if len(part) else np.zeros(0, int)
         spans = list(zip(first.tolist(), [*first[1:].tolist(), len(keys)], strict=True)) if len(part) else []
-        columns = [part[first], np.full(len(first), key[0].as_py()), [_pack(keys[a:b] & _MASK) for a, b in spans], [_pack_counts(counts[a:b]) for a, b in spans]]
+        columns = [part[first], np.full(len(first), key[0].as_py()), [_pack(rest[a:b]) for a, b in spans], [_pack_counts(counts[a:b]) for a, b in spans]]
         return _table(columns)
 
     def add_up(key: tuple, table: pa.Table) -> pa.Table:
@@ -119,27 +133,27 @@ def stupid_backoff(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     def score(table: pa.Table, totals: pa.Table) -> pa.Table:
         words = _block_words(table)
-        at, keys = _keys(words, order)
-        distinct, back = np.unique(_dealt(keys, parts), return_inverse=True)
+        grams = []
+        for k in range(1, order + 1):
+            at, hashes = _key_hashes(words, k)
+            grams.append((at, *np.unique(_dealt(hashes, parts), return_inverse=True)))
+        distinct = np.unique(np.concatenate([_dealt(_ALL, parts), *(u for _, u, _ in grams)]))
         totals = totals.sort_by("part")
         known = np.concatenate([_unpack_counts(x) for x in totals["counts"].to_pylist()]) if totals.num_rows else np.zeros(0, np.int64)
         if len(known) != len(distinct):
             raise ValueError("the totals of a block do not belong to its n-grams")
         # counts of the other documents: each n-gram's total without the document's own
-        doc = words.row[np.concatenate(at)]
-        own = back * len(words.count) + doc
-        _, own_back, own_count = np.unique(own, return_inverse=True, return_counts=True)
-        other = known[back] - own_count[own_back]
-        cut = np.cumsum([len(x) for x in at])[:-1]
         n = len(words.hash)
-        begin = []  # of each order: counts by the n-gram's first word
-        for places, values in zip(at, np.split(other, cut), strict=True):
+        everything = known[np.searchsorted(distinct, _dealt(_ALL, parts)[0])] - words.count[words.row]
+        begin = [everything]  # of each order: counts by the n-gram's first word
+        for at, u, back in grams:
+            _, own, own_count = np.unique(back * len(words.count) + words.row[at], return_inverse=True, return_counts=True)
             c = np.zeros(n + order, np.int64)
-            c[places] = values
+            c[at] = known[np.searchsorted(distinct, u)][back] - own_count[own]
             begin.append(c)
+        del grams, known, distinct
         place = np.arange(n) - words.offs[:-1][words.row]
         longest = np.minimum(place + 1, order)
-        everything = begin[0][:n]
         value = np.log(1 / (everything + 1.0)) + np.log(backoff) * (longest - 1)
         used = np.zeros(n, np.int64)
         for k in range(1, order + 1):
