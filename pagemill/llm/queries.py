@@ -12,6 +12,7 @@ from pagemill.llm.gif import op5_gif
 from pagemill.llm.jaccard import op8_jaccard_join
 from pagemill.llm.langid import op4_langid
 from pagemill.llm.lm import op9_lm_score
+from pagemill.llm.oracle import ORACLE_SQL
 from pagemill.llm.packing import op7_packing
 from pagemill.llm.sharding import op10_sharding
 from pagemill.llm.substring import op3_substring_dedup
@@ -30,4 +31,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_sharding": op10_sharding,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]

@@ -336,7 +336,7 @@ def test_backoff_empty(none):
 def test_packed_counts_and_keys():
     counts = np.array([1, 254, 255, 256, 10**12])
     assert lm._unpack_counts(lm._pack_counts(counts)).tolist() == counts.tolist()
-    for keys in ([], [0], [5, 6, 1 << 35], [7, (1 << 40) - 1]):
+    for keys in ([], [0], [5, 6, 1 << 35], [7, (1 << 32) + 6, (1 << 40) - 1], [(1 << 32) - 1, 1 << 50]):
         assert lm._unpack(lm._pack(np.array(keys, np.uint64))).tolist() == keys
 
 
