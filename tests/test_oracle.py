@@ -3,8 +3,10 @@
 import duckdb
 import pytest
 
-from pagemill.plans.oracle import ORACLE_SQL
-from pagemill.plans.queries import QUERIES
+from pagemill.plans import crawl_queries, oracle, queries
+
+ORACLE_SQL = oracle.ORACLE_SQL | crawl_queries.ORACLE_SQL
+QUERIES = queries.QUERIES | crawl_queries.QUERIES
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "customer orders events documents pages conversations".split()
