@@ -31,20 +31,26 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def shared_path(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder; what is written there is deleted when Python ends."""
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _staged.append((spark, path))
+    return path
+
+
 def staged(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to a table in the shared folder and read it back, which cuts its lineage.
 
     A lost executor then costs at most the tasks it ran, not the jobs before them.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = shared_path(spark, label)
     df.write.parquet(path)
-    _staged.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_staged() -> None:
-    """Delete the tables that ``staged`` wrote; results that still read them must be saved before."""
+    """Delete what lies under the paths of ``shared_path``; results that still read them must be saved before."""
     while _staged:
         spark, path = _staged.pop()
         try:

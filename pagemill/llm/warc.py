@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import hashlib
 import struct
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -18,7 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm.shared import shared_dir, staged
+from pagemill.llm.shared import shared_path, staged
 
 DICTIONARY_MAGIC = 0x184D2A5D
 #: An empty skippable frame, which readers pass over.
@@ -224,6 +223,6 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = True) ->
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages written to archives and read back."""
-    path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    path = shared_path(spark, "warc")
     write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
     return read_archives(spark, path, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
