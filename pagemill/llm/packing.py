@@ -21,7 +21,11 @@ from pyspark.sql import functions as F
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 2
 SHARD_BYTES = 8 << 20
-CACHED_WORDS = 400_000
+CACHED_WORDS = 500_000
+#: The vocabulary folds case, and cuts a single mark off the letters before it. For words of characters below this
+#: one, Python folds case alike, letters stay letters, and they are in composed form.
+LATIN_END = "\u0100"
+MARKS = ".,;:!?"
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -30,7 +34,8 @@ class Encoder:
     """Token ids of texts as little-endian unsigned 32-bit bytes.
 
     The vocabulary cuts texts at white space before anything else, so the ids of words between
-    blanks and line ends are kept and joined; ``CACHED_WORDS`` words at most.
+    blanks and line ends are kept and joined. Two generations of ``CACHED_WORDS`` words are kept
+    at most; words still in use move from the older to the newer one.
     """
 
     _of: dict[str, Encoder] = {}
@@ -40,7 +45,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        added = [(k, t.content) for k, t in self.tokenizer.get_added_tokens_decoder().items() if not (t.lstrip or t.rstrip or t.single_word or t.normalized)]
+        self.mark_id, self.mark = added[-1] if added else (None, None)
         self.words: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
 
     @classmethod
     def at(cls, path: str) -> Encoder:
@@ -49,17 +57,44 @@ class Encoder:
             cls._of[path] = cls(path)
         return cls._of[path]
 
+    def _ids(self, words: list[str]) -> list[bytes]:
+        """Ids of each word. Many go in one call, parted by a special token, which cuts a text before anything else."""
+        out: list[bytes] = []
+        for lo in range(0, len(words), 1000):
+            part = words[lo : lo + 1000]
+            joined = self.mark.join(part) if self.mark else ""
+            if not self.mark or joined.count(self.mark) != len(part) - 1 or any(len(w) > 1000 for w in part):
+                out += [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+                continue
+            ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
+            cuts = np.flatnonzero(ids == self.mark_id)
+            raw = ids.tobytes()
+            out += [raw[4 * a : 4 * b] for a, b in zip([0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)], strict=True)]
+        return out
+
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [t.replace("\n", " ").split(" ") for t in texts]
         if len(self.words) > CACHED_WORDS:
-            self.words = {"": b""}
-        new = list(set().union(*split).difference(self.words))
-        known = self.words
-        for lo in range(0, len(new), 4096):
-            part = new[lo : lo + 4096]
-            for word, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[word] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join([known[w] for w in words]) for words in split]
+            self.older, self.words = self.words, {"": b""}
+        known, older = self.words, self.older
+        whole: list[tuple[str, str, str]] = []
+        new: set[str] = set()
+        for w in set().union(*split).difference(known):
+            if w in older:
+                known[w] = older[w]
+                continue
+            base, tail = w, ""
+            if max(w) < LATIN_END:
+                base = w.lower()
+                if base[-1] in MARKS and base[:-1].isalpha():
+                    base, tail = base[:-1], base[-1]
+            whole.append((w, base, tail))
+            new.update(x for x in (base, tail) if x not in known)
+        words = list(new)
+        known.update(zip(words, self._ids(words), strict=True))
+        for w, base, tail in whole:
+            known[w] = known[base] + known[tail]
+        return [b"".join(map(known.__getitem__, words)) for words in split]
 
 
 class Index:

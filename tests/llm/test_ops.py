@@ -276,6 +276,21 @@ def test_packing(docs, shard_bytes):
     check_packing(rows, DOCS, 256)
 
 
+def test_ids_of_kept_words_are_those_of_whole_texts(monkeypatch):
+    import random
+
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(packing, "CACHED_WORDS", 3000)
+    path, rng = packing.vocabulary_path(), random.Random(4)
+    tokenizer, encoder = Tokenizer.from_file(path), packing.Encoder(path)
+    letters = "aAbBzZéÉßẞİıſÀ.,;:!?'\"-0 9\n\t\x0b\x1c\xa0\u0301Σσςǅ北'sT'Re"
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 50))) for _ in range(4000)]
+    texts += ["<|endoftext|>. a.<|startoftext|>b", "x" * 1500 + " y", *(t or "" for _, t in DOCS)]
+    got = [ids for lo in range(0, len(texts), 100) for ids in encoder.encode(texts[lo : lo + 100])]
+    assert got == [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+
+
 def test_packing_empty(none):
     assert packing.pack(none, packing.vocabulary_path()).count() == 0
 
