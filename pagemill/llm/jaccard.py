@@ -28,6 +28,11 @@ from pagemill.llm.shared import ALNUM, LOWER, Words, combine, mix, row_slices, s
 SHINGLE, SIMILARITY, RECALL = 5, 0.8, 0.997
 DEPTH = 3
 BLOCK = 768
+#: In a large bucket every document is held against one of them, the leader: it is a candidate from NEAR on, and
+#: from CLOSE on it is not split further. By the triangle inequality of the Jaccard distance, what is linked (0.8) to
+#: a document that is CLOSE (0.7) has a similarity of 0.5 or more to the leader, so it is NEAR even if the sketch is
+#: two deviations off; each bucket has its own leader. All pairs of those who are candidates of one leader are compared later.
+CLOSE, NEAR = 0.7, 0.375
 #: Min-hashes of a sketch, a byte each; candidates agree in CANDIDATE of them, four deviations below what 0.8 gives.
 SKETCH, CANDIDATE = 64, 0.6
 #: Shingles are told apart by so many bits; the rest of a word holds the row.
@@ -227,6 +232,19 @@ def _candidates(table: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]
         yield pa.record_batch([pa.array(key[:, 0]), pa.array(key[:, 1])], schema=_LINK)
 
 
+def _led(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``doc, path, leader`` (if they are candidates) and whether the document is to be split further."""
+    for batch in batches:
+        both = [np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, SKETCH) for k in (2, 4)]
+        same = (both[0] == both[1]).sum(axis=1)
+        doc, leader = batch.column(0).to_numpy(), batch.column(3).to_numpy()
+        linked = (same >= NEAR * SKETCH) & (doc != leader)
+        stays = same < CLOSE * SKETCH
+        some = linked | stays
+        arrays = [pa.array(doc[some]), batch.column(1).filter(pa.array(some)), pa.array(leader[some], pa.int64(), mask=~linked[some]), pa.array(stays[some])]
+        yield pa.record_batch(arrays, names=["doc", "path", "leader", "stays"])
+
+
 _CHECKED = pa.schema([("doc", pa.int64()), ("other", pa.int64()), ("links", pa.int64())])
 
 
@@ -333,12 +351,19 @@ def near_duplicates(
         leaves = in_blocks(leaves.join(texts.select("doc", "sketch"), "doc"), "path", F.col("size"), block).select("path", "i", "j", "mine", "doc", "sketch")
         part = _by_group(leaves, ["path", "i", "j"], _candidates, "a long, b long")
         found = part if found is None else found.unionByName(part)
-        if level < depth:
-            large = sized.filter(F.col("size") > block).select("doc", F.col("path").alias("up"))
-            if large.isEmpty():
-                break
-            below = texts.select("doc", F.explode(f"paths{level + 1}").alias("p")).select("doc", "p.up", "p.path")
-            reached = below.join(large, ["doc", "up"], "left_semi").select("doc", "path")
+        if level == depth:
+            break
+        large = sized.filter(F.col("size") > block).select("doc", "path")
+        if large.isEmpty():
+            break
+        large = large.join(texts.select("doc", "sketch"), "doc")
+        leaders = large.groupBy("path").agg(F.min_by(F.struct("doc", "sketch"), F.xxhash64("doc", "path")).alias("l")).select("path", F.col("l.doc").alias("leader"), F.col("l.sketch").alias("leader_sketch"))
+        led = large.join(leaders, "path").select("doc", "path", "sketch", "leader", "leader_sketch")
+        led = staged(led.mapInArrow(_led, "doc long, path long, leader long, stays boolean"), f"led{level}")
+        found = found.unionByName(led.filter("leader IS NOT NULL").select(F.col("doc").alias("a"), F.col("leader").alias("b")))
+        stays = led.filter("stays").select("doc", F.col("path").alias("up"))
+        below = texts.join(stays.select("doc").distinct(), "doc", "left_semi").select("doc", F.explode(f"paths{level + 1}").alias("p"))
+        reached = below.select("doc", "p.up", "p.path").join(stays, ["doc", "up"], "left_semi").select("doc", "path")
 
     rough = staged(components(found), "rough")
     labelled = rough.select(F.col("node").alias("doc"), "root").unionByName(rough.select(F.col("root").alias("doc"), "root").distinct())
