@@ -4,7 +4,8 @@ Windows that repeat at one length are extended to twice that length and compared
 wished length is reached or no candidates survive. The first level looks only at winnowed places:
 of the seed-length hashes inside every full window the smallest is its anchor, so two equal windows
 have equal anchors at the same place in them. Seeds are dealt over tasks by their hash, each with
-4 bytes for every full window that it anchors; a seed that stands alone ends there.
+the 64-bit hash of every full window that it anchors; a seed that stands alone ends there. The windows
+of hot seeds (many rows, such as a common header before different texts) are dealt by their own hashes.
 
 Repeats within a slice of one task are settled before the shuffle: of equal windows only the
 earliest goes on. So a passage sends one row for each slice of text, however many documents hold it.
@@ -26,6 +27,9 @@ from pagemill.llm.shared import SAME, SPACED, Words, mix, row_slices, sliding_mi
 PARTITION_BYTES = 24 << 20
 #: Bits of a row's text hash that tell apart rows of equal id.
 SAME_BITS = 16
+#: A seed with so many rows is hot; it is looked for in slices where it has at least so many.
+HOT_ROWS, HOT_IN_SLICE = 5000, 4
+NO_SEEDS = np.zeros(0, np.uint64)
 
 
 def _repeated(values: np.ndarray) -> np.ndarray:
@@ -68,8 +72,8 @@ _ROW = pa.schema([("key", pa.int64()), ("doc", pa.int64()), ("same", pa.int32())
 _ROW_DDL = "key long, doc long, same int, place long, mask long, tail binary"
 
 
-def _anchored(doc_ids: np.ndarray, same: np.ndarray, words: Words, window: int, seed: int) -> Iterator[pa.RecordBatch]:
-    """Rows of a slice whose documents stand in order of their ids."""
+def _anchored(doc_ids: np.ndarray, same: np.ndarray, words: Words, window: int, seed: int, hot: np.ndarray = NO_SEEDS) -> Iterator[pa.RecordBatch]:
+    """Rows of a slice whose documents stand in order of their ids; windows of ``hot`` seeds (sorted) have a row each."""
     place = np.arange(len(words.hash)) - words.offs[:-1][words.row]
     full = np.flatnonzero(words.left >= window)
     if not len(full):
@@ -102,12 +106,35 @@ def _anchored(doc_ids: np.ndarray, same: np.ndarray, words: Words, window: int,
     at = full + back
     order = np.lexsort((back, at))
     full, at, back, low = full[order], at[order], back[order], low[order]
+    hashes = words.grams(window)[full]
+    if len(hot):
+        own = _is_in(low, hot)
+        a = at[own]
+        key = _window_hashes(low[own], back[own], hashes[own])
+        yield _batch(key.view(np.int64), doc[a], same[words.row][a], place[a], np.int64(1) << back[own], _cut(hashes[own], np.arange(len(a))))
+        at, back, low, hashes = at[~own], back[~own], low[~own], hashes[~own]
+        if not len(at):
+            return
     first = np.concatenate([[0], np.flatnonzero(at[1:] != at[:-1]) + 1])
     mask = np.add.reduceat(np.int64(1) << back, first)
-    tails = (words.grams(window)[full] >> np.uint64(32)).astype("<u4").tobytes()
-    ends = np.concatenate([first[1:], [len(full)]]) * 4
     a = at[first]
-    yield _batch(low[first].view(np.int64), doc[a], same[words.row][a], place[a], mask, [tails[x:y] for x, y in zip((first * 4).tolist(), ends.tolist(), strict=True)])
+    yield _batch(low[first].view(np.int64), doc[a], same[words.row][a], place[a], mask, _cut(hashes, first))
+
+
+def _is_in(values: np.ndarray, sorted_values: np.ndarray) -> np.ndarray:
+    at = np.minimum(np.searchsorted(sorted_values, values), len(sorted_values) - 1)
+    return sorted_values[at] == values
+
+
+def _window_hashes(key: np.ndarray, back: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """What tells windows apart: all bits of their seed, its place in them and their hash."""
+    return mix(key + back.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ hashes
+
+
+def _cut(hashes: np.ndarray, first: np.ndarray) -> list[bytes]:
+    """Bytes of the hashes from each of ``first`` to the next."""
+    raw = hashes.astype("<u8").tobytes()
+    return [raw[x:y] for x, y in zip((first * 8).tolist(), [*(first[1:] * 8).tolist(), len(raw)], strict=False)]
 
 
 def _batch(key, doc, same, place, mask, tail) -> pa.RecordBatch:
@@ -141,8 +168,8 @@ def _matched(table: pa.Table) -> Iterator[pa.RecordBatch]:
         bit = wanted >> k & 1
         back[(bit == 1) & (seen == nth)] = k
         seen += bit
-    hashes = np.frombuffer(b"".join(tail.to_pylist()), "<u4").astype(np.uint64)
-    value = mix(key[row].view(np.uint64) + back.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (hashes << np.uint64(32) | hashes)
+    hashes = np.frombuffer(b"".join(tail.to_pylist()), "<u8")
+    value = _window_hashes(key[row].view(np.uint64), back, hashes)
     d, s, p = doc[row], same[row], place[row] - back
     gone = np.flatnonzero(_later(value, d, p))
     gone = gone[np.lexsort((p[gone], s[gone], d[gone]))]
@@ -150,31 +177,47 @@ def _matched(table: pa.Table) -> Iterator[pa.RecordBatch]:
     yield pa.record_batch([pa.array(x, f.type) for x, f in zip(runs, _RUN, strict=True)], schema=_RUN)
 
 
-def repeated_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = 20, seed: int = 10, partition_bytes: int = PARTITION_BYTES) -> DataFrame:
+def repeated_runs(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = 20, seed: int = 10, partition_bytes: int = PARTITION_BYTES, hot_rows: int = HOT_ROWS
+) -> DataFrame:
     """Runs of windows whose words occur earlier: ``doc, same, place`` (of the first window's first word), ``n`` windows.
 
     ``same`` tells apart rows of one id by their text. Earlier: a smaller id, or the same id and an earlier place.
+    Seeds with ``hot_rows`` rows or more are looked for first; the driver gets at most one hash for so many rows.
     """
     if not 0 < seed <= window <= 62:
         raise ValueError("0 < seed <= window <= 62")
     total = docs.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
     rows = docs.select(F.col(doc_id).cast("long").alias("doc"), _same(text).alias("same"), F.col(text).alias("text"))
+    parts = max(1, -(-total // partition_bytes))
 
-    def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def anchors(batches: Iterator[pa.RecordBatch], hot: np.ndarray = NO_SEEDS) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             batch = batch.filter(batch.column(0).is_valid())
             batch = batch.take(pa.array(np.lexsort((batch.column(1).to_numpy(), batch.column(0).to_numpy()))))
             ids, same = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             buf, offs = text_buffers(batch.column(2))
             for lo, hi in row_slices(offs):
-                yield from _anchored(ids[lo:hi], same[lo:hi], Words(buf, offs[lo : hi + 1], SPACED, SAME), window, seed)
+                yield from _anchored(ids[lo:hi], same[lo:hi], Words(buf, offs[lo : hi + 1], SPACED, SAME), window, seed, hot)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in anchors(batches):
+            key, n = np.unique(rows.column(0).to_numpy()[rows.column(4).to_numpy() > 0], return_counts=True)
+            many = n >= HOT_IN_SLICE
+            yield pa.record_batch([pa.array(key[many]), pa.array(n[many])], names=["key", "n"])
+
+    found = rows.mapInArrow(counted, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= hot_rows)
+    hot = np.sort(np.array([r.key for r in found.select("key").collect()], np.int64).view(np.uint64)) if total else NO_SEEDS
+
+    def dealing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from anchors(batches, hot)
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = list(batches)
         if parts:
             yield from _matched(pa.Table.from_batches(parts))
 
-    dealt = rows.mapInArrow(anchors, _ROW_DDL).repartition(max(1, -(-total // partition_bytes)), "key")
+    dealt = rows.mapInArrow(dealing, _ROW_DDL).repartition(parts, "key")
     return dealt.mapInArrow(match, "doc long, same int, place long, n long")
 
 

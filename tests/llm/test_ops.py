@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -140,6 +141,37 @@ def test_substring_repeated_rows_and_empty(spark, none):
     assert substring.remove_repeats(none).count() == 0
 
 
+@pytest.mark.parametrize("hot_rows", [10**9, 50])
+def test_windows_that_differ_in_half_their_hash_bits_are_no_repeats(spark, monkeypatch, hot_rows):
+    """A common header before different texts, whose windows have equal upper bits."""
+    real = shared.Words.grams
+    monkeypatch.setattr(shared.Words, "grams", lambda self, n: real(self, n) & np.uint64(0xFFFFFFFF) if n == 20 else real(self, n))
+    head = [f"h{i}" for i in range(10)]
+    texts = [(i, " ".join([*head, *(f"w{i}x{k}" for k in range(14))])) for i in range(300)] + [(900, " ".join([*head, *(f"w7x{k}" for k in range(14))]))]
+    words = shared.Words(*shared.text_buffers(pa.array([t for _, t in texts])), shared.SPACED, shared.SAME)
+    ids, same = np.array([i for i, _ in texts]), np.zeros(len(texts), np.int32)
+    seeds, n = np.unique(real(words, 10)[words.left >= 20], return_counts=True)
+    hot = np.sort(seeds[n >= hot_rows])
+    # two slices, so that the repeat of text 7 is not settled before the shuffle
+    parts = []
+    for lo, hi in ((0, 300), (300, 301)):
+        part = shared.Words(*shared.text_buffers(pa.array([t for _, t in texts[lo:hi]])), shared.SPACED, shared.SAME)
+        parts += substring._anchored(ids[lo:hi], same[lo:hi], part, 20, 10, hot)
+    table = pa.Table.from_batches(parts)
+    runs = [r for b in substring._matched(table) for r in b.to_pylist()]
+    assert {(r["doc"], r["place"] + k) for r in runs for k in range(r["n"])} == {(900, k) for k in range(5)}
+    if len(hot):  # the header's seed no longer gathers all its rows under one key
+        assert Counter(table["key"].to_pylist()).most_common(1)[0][1] < 10
+
+
+@pytest.mark.parametrize("hot_rows", [2, 5000])
+def test_substring_with_hot_seeds(docs, hot_rows, monkeypatch):
+    monkeypatch.setattr(substring, "HOT_IN_SLICE", 1)
+    a, b = (substring.repeated_runs(docs.repartition(7), partition_bytes=4000, hot_rows=n).collect() for n in (hot_rows, 10**9))
+    places = lambda runs: {(r.doc, r.same, r.place + k) for r in runs for k in range(r.n)}
+    assert places(a) == places(b) != set()
+
+
 # ------------------------------------------------------------ 4
 
 
