@@ -3,8 +3,8 @@
 Documents are dealt into blocks by a hash of their id. A block counts its n-grams and sends each
 hash partition its sorted distinct n-grams; the partition adds up the blocks' counts, which is the
 count table, and sends every block the totals of its own n-grams; the block joins them to the n-grams
-of its documents and sums each document's logarithms. Rows carry packed columns of n-grams, about
-5 bytes for each, as single rows for every n-gram of every document would take several times the
+of its documents and sums each document's logarithms. Rows carry packed columns of n-grams, 6 to 7
+bytes for each, as single rows for every n-gram of every document would take several times the
 text's size. However common an n-gram is, it sends one entry per block.
 
 A document is scored by the counts of all other documents: its own are taken off, so that an n-gram
@@ -25,9 +25,6 @@ from pagemill.llm.shared import ALNUM, LOWER, Words, mix, text_buffers
 BLOCK_BYTES = 6 << 20
 ORDER = 3
 BACKOFF = 0.4
-#: An n-gram is known by its partition and the rest of so many bits.
-KEY_BITS = 50
-
 
 def _key_hashes(words: Words, order: int) -> tuple[np.ndarray, np.ndarray]:
     """First words of the n-grams of an order, and their hashes."""
@@ -39,32 +36,32 @@ def _key_hashes(words: Words, order: int) -> tuple[np.ndarray, np.ndarray]:
 _ALL = mix(np.array([0xD1B54A32D192ED03], np.uint64))
 
 
-def _rest_bits(parts: int) -> int:
-    return KEY_BITS - (parts.bit_length() - 1)
-
-
-def _dealt(keys: np.ndarray, parts: int) -> np.ndarray:
-    """Keys so that they sort by partition, then by the bits that are kept."""
-    bits = _rest_bits(parts)
-    part = (mix(keys) >> np.uint64(20)) % np.uint64(parts)
-    return part << np.uint64(bits) | keys & np.uint64((1 << bits) - 1)
-
-
-_FILL = np.uint64(0xFFFFFFFF)
+def _part_of(keys: np.ndarray, parts: int) -> np.ndarray:
+    """Partitions are even ranges of the hashes, so sorted keys (all 64 bits of the hashes) are sorted by partition too."""
+    return ((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
 
 
 def _pack(keys: np.ndarray) -> bytes:
-    """Sorted distinct keys as 4-byte steps; larger steps have fillers before them."""
-    steps = np.diff(keys, prepend=np.uint64(0))
-    fillers = (steps // _FILL).astype(np.int64)
-    out = np.full(len(steps) + int(fillers.sum()), _FILL, "<u4")
-    out[np.arange(len(steps)) + np.cumsum(fillers)] = steps % _FILL
-    return out.tobytes()
+    """Sorted distinct keys: the first one, then steps of as many bytes as the largest needs, whose highest bytes are compressed."""
+    if not len(keys):
+        return b""
+    steps = np.diff(keys)
+    width = max(1, -(-int(steps.max()).bit_length() // 8)) if len(steps) else 1
+    cells = steps.astype("<u8").view(np.uint8).reshape(-1, 8)
+    press = zlib.compressobj(1, zlib.DEFLATED, -15, 9, zlib.Z_HUFFMAN_ONLY)
+    high = press.compress(cells[:, width - 1].tobytes()) + press.flush()
+    return bytes([width]) + int(keys[0]).to_bytes(8, "little") + cells[:, : width - 1].tobytes() + high + len(steps).to_bytes(8, "little")
 
 
 def _unpack(data: bytes) -> np.ndarray:
-    steps = np.frombuffer(data, "<u4")
-    return np.cumsum(steps, dtype=np.uint64)[steps != 0xFFFFFFFF]
+    if not data:
+        return np.zeros(0, np.uint64)
+    width, n = data[0], int.from_bytes(data[-8:], "little")
+    low = n * (width - 1)
+    cells = np.zeros((n, 8), np.uint8)
+    cells[:, : width - 1] = np.frombuffer(data, np.uint8, low, 9).reshape(n, width - 1)
+    cells[:, width - 1] = np.frombuffer(zlib.decompress(data[9 + low : -8], -15), np.uint8)
+    return np.cumsum(np.concatenate([np.frombuffer(data, "<u8", 1, 1), cells.view("<u8")[:, 0]]), dtype=np.uint64)
 
 
 def _pack_counts(counts: np.ndarray) -> bytes:
@@ -111,15 +108,13 @@ def stupid_backoff(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     def count(key: tuple, table: pa.Table) -> pa.Table:
         words = _block_words(table)
-        keys, counts = np.unique(np.concatenate([_dealt(_key_hashes(words, n)[1], parts) for n in range(1, order + 1)]), return_counts=True)
-        every = _dealt(_ALL, parts)
-        at = int(np.searchsorted(keys, every[0]))
-        keys, counts = np.insert(keys, at, every), np.insert(counts, at, len(words.hash))
-        bits = np.uint64(_rest_bits(parts))
-        part, rest = (keys >> bits).astype(np.int64), keys & ((np.uint64(1) << bits) - np.uint64(1))
+        keys, counts = np.unique(np.concatenate([_key_hashes(words, n)[1] for n in range(1, order + 1)]), return_counts=True)
+        at = int(np.searchsorted(keys, _ALL[0]))
+        keys, counts = np.insert(keys, at, _ALL), np.insert(counts, at, len(words.hash))
+        part = _part_of(keys, parts)
         first = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1]) if len(part) else np.zeros(0, int)
         spans = list(zip(first.tolist(), [*first[1:].tolist(), len(keys)], strict=True)) if len(part) else []
-        columns = [part[first], np.full(len(first), key[0].as_py()), [_pack(rest[a:b]) for a, b in spans], [_pack_counts(counts[a:b]) for a, b in spans]]
+        columns = [part[first], np.full(len(first), key[0].as_py()), [_pack(keys[a:b]) for a, b in spans], [_pack_counts(counts[a:b]) for a, b in spans]]
         return _table(columns)
 
     def add_up(key: tuple, table: pa.Table) -> pa.Table:
@@ -136,15 +131,15 @@ def stupid_backoff(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         grams = []
         for k in range(1, order + 1):
             at, hashes = _key_hashes(words, k)
-            grams.append((at, *np.unique(_dealt(hashes, parts), return_inverse=True)))
-        distinct = np.unique(np.concatenate([_dealt(_ALL, parts), *(u for _, u, _ in grams)]))
+            grams.append((at, *np.unique(hashes, return_inverse=True)))
+        distinct = np.unique(np.concatenate([_ALL, *(u for _, u, _ in grams)]))
         totals = totals.sort_by("part")
         known = np.concatenate([_unpack_counts(x) for x in totals["counts"].to_pylist()]) if totals.num_rows else np.zeros(0, np.int64)
         if len(known) != len(distinct):
             raise ValueError("the totals of a block do not belong to its n-grams")
         # counts of the other documents: each n-gram's total without the document's own
         n = len(words.hash)
-        everything = known[np.searchsorted(distinct, _dealt(_ALL, parts)[0])] - words.count[words.row]
+        everything = known[np.searchsorted(distinct, _ALL[0])] - words.count[words.row]
         begin = [everything]  # of each order: counts by the n-gram's first word
         for at, u, back in grams:
             _, own, own_count = np.unique(back * len(words.count) + words.row[at], return_inverse=True, return_counts=True)

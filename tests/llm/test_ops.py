@@ -387,6 +387,24 @@ def test_packed_counts_and_keys():
         assert lm._unpack(lm._pack(np.array(keys, np.uint64))).tolist() == keys
 
 
+def test_all_bits_of_ngrams_are_kept(docs, monkeypatch):
+    """Hashes that differ in their upper 14 bits only are different n-grams."""
+    keys = [0, 3, 1 << 50, (1 << 50) + 3, (1 << 63) + 3, (1 << 64) - 1]
+    assert lm._unpack(lm._pack(np.array(keys, np.uint64))).tolist() == keys
+    real = lm._key_hashes
+
+    def upper(words, order):
+        at, hashes = real(words, order)
+        return at, hashes >> np.uint64(50) << np.uint64(50)
+
+    few = [(1, "a b c d e f"), (2, "a b c x y"), (3, "x y z a"), (4, "q r")]
+    rows = docs.sparkSession.createDataFrame(few, DDL)
+    monkeypatch.setattr(lm, "_key_hashes", upper)
+    got = {r.doc_id: r for r in lm.stupid_backoff(rows).collect()}
+    for d, (n, score, short) in brute.backoff_scores(few).items():
+        assert (got[d].n_words, got[d].n_backed_off) == (n, short) and got[d].log_score == pytest.approx(score, rel=1e-9, abs=1e-9)
+
+
 # ------------------------------------------------------------ 10
 
 
