@@ -46,9 +46,23 @@ LAYOUTS = (
 )
 
 
-def schema_of(record: Column) -> Column:
-    """Nested field paths of a JSON record, with ``*`` for every scalar type; null where it is no JSON."""
-    kind = F.schema_of_variant(F.try_parse_json(record))
+#: The JSON reader of variants takes no longer string; ``from_json`` does with the option.
+LONGEST = 20_000_000
+LONG_STRINGS = {"maxStringLen": str((1 << 31) - 1)}
+_STRING = r'"(?:[^"\\]++|\\.)*+'
+
+
+def _emptied(record: Column) -> Column:
+    """A JSON record whose string values are empty; names of fields stay."""
+    return F.regexp_replace(record, rf'(?s)({_STRING}"\s*+:)|{_STRING}(")', "$1$2$2")
+
+
+def schema_of(record: Column, longest: int = LONGEST) -> Column:
+    """Nested field paths of a JSON record, with ``*`` for every scalar type; null where it is no JSON.
+
+    Of a record with more than ``longest`` characters the strings are left out, so that texts of any length have paths.
+    """
+    kind = F.schema_of_variant(F.try_parse_json(F.when(F.length(record) > longest, _emptied(record)).otherwise(record)))
     return F.regexp_replace(kind, r"\b(STRING|BIGINT|DOUBLE|BOOLEAN|VOID|DATE|TIMESTAMP(_NTZ)?|FLOAT|DECIMAL\([0-9, ]*\)|VARIANT)", "*")
 
 
@@ -78,12 +92,12 @@ def canonical_turns(records: DataFrame, record_id: str = "conv_id", record: str
         hit = F.col("_print") == F.xxhash64(F.lit(x.paths()))
         name = F.when(hit, F.lit(x.name)).otherwise(name)
         if x.array:
-            parsed = F.from_json(F.col(record), f"struct<`{x.array}`:array<struct<`{x.role}`:string,`{x.text}`:string>>>")[x.array]
+            parsed = F.from_json(F.col(record), f"struct<`{x.array}`:array<struct<`{x.role}`:string,`{x.text}`:string>>>", LONG_STRINGS)[x.array]
 
             these = F.transform(parsed, _turn_reader(x))
         else:
             kind = "struct<" + ",".join(f"`{k}`:string" for k, _ in x.fields) + ">"
-            parsed = F.from_json(F.col(record), kind)
+            parsed = F.from_json(F.col(record), kind, LONG_STRINGS)
             these = F.array(*(F.struct(F.lit(role).alias("role"), text(parsed[k]).alias("text")) for k, role in x.fields))
         turns = F.when(hit, these).otherwise(turns)
     empty = F.expr("cast(array() as array<struct<role:string,text:string>>)")
@@ -182,7 +196,9 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     values = ", ".join(f"(-7, {k}, '{r}', {chr(39)}{CONTROL.replace(chr(92), chr(92) * 2)}{chr(39)})" for k, r in enumerate(("user", "assistant")))
     control = spark.sql(f"SELECT CAST(c AS BIGINT) conv_id, CAST(k AS BIGINT) turn, r role, t text FROM VALUES {values} AS v(c, k, r, t)")
-    done = format_turns(canonical_turns(records_of(rows.unionByName(control))))
+    turns = canonical_turns(records_of(rows.unionByName(control)))
+    lost = F.raise_error(F.concat(F.lit("no layout for conversation "), F.coalesce(F.col("conv_id").cast("string"), F.lit("null"))))
+    done = format_turns(turns.withColumn("turns", F.when(F.col("layout").isNull(), lost.cast(turns.schema["turns"].dataType)).otherwise(F.col("turns"))))
     back = done.select("conv_id", "formatted", read_turns(F.col("formatted")).alias("turns"), read_loss(F.col("formatted"), F.col("loss_spans")).alias("loss"))
     told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return back.select(

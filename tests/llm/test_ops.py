@@ -279,6 +279,27 @@ def test_chat_round_trip(spark):
         assert r.loss == "".join(t for role, t in want[r.conv_id] if role == "assistant")
 
 
+def test_chat_texts_over_the_json_readers_length(spark):
+    long = F.repeat(F.lit("x"), 20_000_001)
+    records = spark.range(1).select(F.explode(F.array(F.concat(F.lit('{"prompt": "q", "completion": "'), long, F.lit('"}')), F.concat(F.lit('{"messages": [{"role": "a", "content": "'), long, F.lit('"}]}')))).alias("record"))
+    turns = chat.canonical_turns(records.withColumn("conv_id", F.lit(1)))
+    got = turns.select("layout", F.size("turns"), F.length(F.element_at("turns", -1)["text"])).collect()
+    assert sorted(map(tuple, got)) == [("messages", 1, 20_000_001), ("prompt", 2, 20_000_001)]
+
+
+def test_chat_query_fails_rather_than_lose_a_record(spark, monkeypatch):
+    monkeypatch.setattr(chat, "records_of", lambda rows: rows.select("conv_id", F.lit('{"odd": 1}').alias("record")).limit(1))
+    with pytest.raises(Exception, match="no layout for conversation"):
+        chat.op6_chat_format(spark, "/root/testdata/sf0.001").collect()
+
+
+def test_chat_schema_without_string_values(spark):
+    records = ['{"prompt": "a\\\\", "completion": "b: \\"c\\": {"}', '{"messages": [{"role": "x", "content": null}, {"content" : "y", "role":"\\u0041"}]}', '{"\\u0070rompt": "é", "k\\"ey": [1, true, "z"]}']
+    df = spark.createDataFrame([(r,) for r in records], "r string")
+    for a, b in df.select(chat.schema_of(F.col("r")), chat.schema_of(F.col("r"), 0)).collect():
+        assert a == b is not None
+
+
 # ------------------------------------------------------------ 7
 
 
