@@ -22,8 +22,11 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which some language is found; those without a letter go."""
-    return predict(docs, fit(docs)).filter(F.col("lang_pred") != UNKNOWN).select(*COLUMNS)
+    """Documents in which some language is found; those without a letter go, and no others where there is nothing to learn from."""
+    model = fit(docs)
+    if model is None:
+        return docs.filter(F.col("text").rlike(r"\p{L}")).select(*COLUMNS)
+    return predict(docs, model).filter(F.col("lang_pred") != UNKNOWN).select(*COLUMNS)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

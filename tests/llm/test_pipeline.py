@@ -47,6 +47,12 @@ def test_stages_on_hard_documents(spark, tmp_path):
     check_packing(stages["packed"](spark, docs, str(tmp_path)).collect(), clean, 4096)
 
 
+def test_language_stage_without_labels_keeps_texts_with_letters(spark):
+    rows = [(1, "clean text"), (2, "12 !?"), (3, None), (4, "")]
+    docs = spark.createDataFrame([(i, t, None, "s", 0) for i, t in rows], SCHEMA)
+    assert [r.doc_id for r in pipeline.language(spark, docs, DIR).collect()] == [1]
+
+
 @pytest.mark.parametrize("name", [n for n, _ in pipeline.STAGES])
 def test_stages_on_empty_tables(spark, name):
     assert dict(pipeline.STAGES)[name](spark, spark.createDataFrame([], SCHEMA), DIR).count() == 0
