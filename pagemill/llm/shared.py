@@ -38,14 +38,14 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return path
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
+def staged(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` to a table in the shared folder and read it back, which cuts its lineage.
 
     A lost executor then costs at most the tasks it ran, not the jobs before them.
     """
     spark = df.sparkSession
     path = shared_path(spark, label)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -81,8 +81,8 @@ SAME = np.arange(256, dtype=np.uint8)
 LOWER = SAME.copy()
 LOWER[0x41:0x5B] += 32
 
-SLICE_BYTES = 8 << 20
-BLOCK_BYTES = 1 << 21
+SLICE_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -3,12 +3,17 @@
 Windows that repeat at one length are extended to twice that length and compared again, until the
 wished length is reached or no candidates survive. The first level looks only at winnowed places:
 of the seed-length hashes inside every full window the smallest is its anchor, so two equal windows
-have equal anchors at the same place in them. Seeds are dealt over tasks by their hash, each with
-the 64-bit hash of every full window that it anchors; a seed that stands alone ends there. The windows
-of hot seeds (many rows, such as a common header before different texts) are dealt by their own hashes.
+have equal anchors at the same place in them.
 
-Repeats within a slice of one task are settled before the shuffle: of equal windows only the
-earliest goes on. So a passage sends one row for each slice of text, however many documents hold it.
+Texts are dealt into blocks by a hash. A block settles the repeats inside itself, level by level (of
+equal windows only the earliest goes on), and sends the distinct anchors of the rest. Anchors that no
+other block has end there; only those that some other block has too go back to their blocks, which then
+send the hashes of the full windows over them. So a passage sends one row for each block, however many
+documents hold it, and text that stands alone sends its anchors only. The texts are shuffled once; the
+two levels and the removal read the same exchange.
+
+The second level deals windows over tasks by their anchor, those of hot anchors (many rows, such as a
+common header before different texts) by their own hashes.
 """
 
 from __future__ import annotations
@@ -18,18 +23,19 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from pagemill.llm.shared import SAME, SPACED, Words, mix, row_slices, sliding_min, text_buffers
+from pagemill.llm.shared import SAME, SPACED, Words, mix, sliding_min, text_buffers
 
 PARTITION_BYTES = 24 << 20
+BLOCK_BYTES = 4 << 20
 #: Bits of a row's text hash that tell apart rows of equal id.
 SAME_BITS = 16
-#: A seed with so many rows is hot; it is looked for in slices where it has at least so many.
-HOT_ROWS, HOT_IN_SLICE = 5000, 4
-NO_SEEDS = np.zeros(0, np.uint64)
+#: A seed with so many rows is hot.
+HOT_ROWS = 5000
 
 
 def _repeated(values: np.ndarray) -> np.ndarray:
@@ -72,56 +78,64 @@ _ROW = pa.schema([("key", pa.int64()), ("doc", pa.int64()), ("same", pa.int32())
 _ROW_DDL = "key long, doc long, same int, place long, mask long, tail binary"
 
 
-def _anchored(doc_ids: np.ndarray, same: np.ndarray, words: Words, window: int, seed: int, hot: np.ndarray = NO_SEEDS) -> Iterator[pa.RecordBatch]:
-    """Rows of a slice whose documents stand in order of their ids; windows of ``hot`` seeds (sorted) have a row each."""
-    place = np.arange(len(words.hash)) - words.offs[:-1][words.row]
-    full = np.flatnonzero(words.left >= window)
-    if not len(full):
-        return
-    # settle repeats inside the slice, level by level
-    doc = doc_ids[words.row]
-    found, length = full, seed
-    while len(found):
-        grams = words.grams(length)
-        if length >= window:
-            break
-        found = found[_repeated(grams[found])]
-        length = min(2 * length, window)
-    gone = found[_later(words.grams(window)[found], doc[found], place[found])] if len(found) else found
-    if len(gone):
-        d, s, p, n = _runs(doc[gone], same[words.row][gone], place[gone])
-        yield _batch(mix(d.astype(np.uint64)).view(np.int64), d, s, p, -n, [b""] * len(d))
-    stay = np.ones(len(words.hash), bool)
-    stay[gone] = False
-    full = full[stay[full]]
-    if not len(full):
-        return
-    # anchors of the windows that go on
-    seeds = np.where(words.left >= seed, words.grams(seed), np.uint64(0xFFFFFFFFFFFFFFFF))
-    width = window - seed + 1
-    low = sliding_min(seeds, width)[full]
-    back = np.full(len(full), -1)
-    for k in range(width - 1, -1, -1):
-        back[seeds[full + k] == low] = k
-    at = full + back
-    order = np.lexsort((back, at))
-    full, at, back, low = full[order], at[order], back[order], low[order]
-    hashes = words.grams(window)[full]
-    if len(hot):
-        own = _is_in(low, hot)
-        a = at[own]
-        key = _window_hashes(low[own], back[own], hashes[own])
-        yield _batch(key.view(np.int64), doc[a], same[words.row][a], place[a], np.int64(1) << back[own], _cut(hashes[own], np.arange(len(a))))
-        at, back, low, hashes = at[~own], back[~own], low[~own], hashes[~own]
-        if not len(at):
-            return
-    first = np.concatenate([[0], np.flatnonzero(at[1:] != at[:-1]) + 1])
-    mask = np.add.reduceat(np.int64(1) << back, first)
-    a = at[first]
-    yield _batch(low[first].view(np.int64), doc[a], same[words.row][a], place[a], mask, _cut(hashes, first))
+class _Block:
+    """Windows of the texts of a block: ``gone`` are repeats inside it; each of the ``full`` ones that go on (first words) has its
+    smallest seed, ``low``, at the place ``at``, ``back`` words after the window's first. Ordered by ``at``, then ``back``."""
+
+    def __init__(self, table: pa.Table, window: int, seed: int):
+        table = table.select(["doc", "same", "text"]).filter(table["doc"].is_valid()).sort_by([("doc", "ascending"), ("same", "ascending")])
+        self.window = window
+        self.words = words = Words(*text_buffers(table["text"]), SPACED, SAME)
+        self.doc, self.same = table["doc"].to_numpy()[words.row], table["same"].to_numpy()[words.row]
+        self.place = np.arange(len(words.hash)) - words.offs[:-1][words.row]
+        full = np.flatnonzero(words.left >= window)
+        found, length = full, seed
+        while len(found) and length < window:
+            found = found[_repeated(words.grams(length)[found])]
+            length = min(2 * length, window)
+        self.hash = words.grams(window)
+        self.gone = found[_later(self.hash[found], self.doc[found], self.place[found])] if len(found) else found
+        stay = np.ones(len(words.hash), bool)
+        stay[self.gone] = False
+        full = full[stay[full]]
+        seeds = np.where(words.left >= seed, words.grams(seed), np.uint64(0xFFFFFFFFFFFFFFFF))
+        width = window - seed + 1
+        low = sliding_min(seeds, width)[full]
+        back = np.full(len(full), -1)
+        for k in range(width - 1, -1, -1):
+            back[seeds[full + k] == low] = k
+        order = np.lexsort((back, full + back))
+        self.full, self.back, self.low = full[order], back[order], low[order]
+        self.at = self.full + self.back
+
+    def keep(self, which: np.ndarray) -> None:
+        self.full, self.back, self.low, self.at = self.full[which], self.back[which], self.low[which], self.at[which]
+
+    def heads(self) -> np.ndarray:
+        """The first window of each anchor's place."""
+        return np.concatenate([[0], np.flatnonzero(self.at[1:] != self.at[:-1]) + 1]) if len(self.at) else self.at
+
+    def rows(self, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """The repeats inside, and what the second level needs; windows of ``hot`` seeds (sorted) have a row each."""
+        if len(self.gone):
+            d, s, p, n = _runs(self.doc[self.gone], self.same[self.gone], self.place[self.gone])
+            yield _batch(mix(d.astype(np.uint64)).view(np.int64), d, s, p, -n, [b""] * len(d))
+        own = _is_in(self.low, hot)
+        if own.any():
+            a, hashes = self.at[own], self.hash[self.full[own]]
+            key = _window_hashes(self.low[own], self.back[own], hashes)
+            yield _batch(key.view(np.int64), self.doc[a], self.same[a], self.place[a], np.int64(1) << self.back[own], _cut(hashes, np.arange(len(a))))
+            self.keep(~own)
+        if len(self.at):
+            first = self.heads()
+            a = self.at[first]
+            mask = np.add.reduceat(np.int64(1) << self.back, first)
+            yield _batch(self.low[first].view(np.int64), self.doc[a], self.same[a], self.place[a], mask, _cut(self.hash[self.full], first))
 
 
 def _is_in(values: np.ndarray, sorted_values: np.ndarray) -> np.ndarray:
+    if not len(sorted_values):
+        return np.zeros(len(values), bool)
     at = np.minimum(np.searchsorted(sorted_values, values), len(sorted_values) - 1)
     return sorted_values[at] == values
 
@@ -177,93 +191,117 @@ def _matched(table: pa.Table) -> Iterator[pa.RecordBatch]:
     yield pa.record_batch([pa.array(x, f.type) for x, f in zip(runs, _RUN, strict=True)], schema=_RUN)
 
 
-def repeated_runs(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = 20, seed: int = 10, partition_bytes: int = PARTITION_BYTES, hot_rows: int = HOT_ROWS
-) -> DataFrame:
-    """Runs of windows whose words occur earlier: ``doc, same, place`` (of the first window's first word), ``n`` windows.
+def _dealt(docs: DataFrame, doc_id: str, text: str, block_bytes: int) -> tuple[DataFrame, int, int]:
+    """``doc, same, block, text, rest`` (the other columns); how many bytes of text, and how many blocks."""
+    total = docs.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
+    blocks = max(1, -(-total // block_bytes))
+    rest = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text))
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc"), F.pmod(F.xxhash64(text), F.lit(1 << SAME_BITS)).cast("int").alias("same"), F.col(text).alias("text"), rest.alias("rest"))
+    return rows.select("doc", "same", _block_of(blocks), "text", "rest"), total, blocks
 
-    ``same`` tells apart rows of one id by their text. Earlier: a smaller id, or the same id and an earlier place.
-    Seeds with ``hot_rows`` rows or more are looked for first; the driver gets at most one hash for so many rows.
-    """
+
+def _block_of(blocks: int):
+    return F.pmod(F.xxhash64("doc", "same"), F.lit(blocks)).alias("block")
+
+
+def _found_runs(rows: DataFrame, total: int, window: int, seed: int, partition_bytes: int, hot_rows: int) -> DataFrame:
     if not 0 < seed <= window <= 62:
         raise ValueError("0 < seed <= window <= 62")
-    total = docs.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc"), _same(text).alias("same"), F.col(text).alias("text"))
-    parts = max(1, -(-total // partition_bytes))
-
-    def anchors(batches: Iterator[pa.RecordBatch], hot: np.ndarray = NO_SEEDS) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            batch = batch.filter(batch.column(0).is_valid())
-            batch = batch.take(pa.array(np.lexsort((batch.column(1).to_numpy(), batch.column(0).to_numpy()))))
-            ids, same = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            buf, offs = text_buffers(batch.column(2))
-            for lo, hi in row_slices(offs):
-                yield from _anchored(ids[lo:hi], same[lo:hi], Words(buf, offs[lo : hi + 1], SPACED, SAME), window, seed, hot)
-
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in anchors(batches):
-            key, n = np.unique(rows.column(0).to_numpy()[rows.column(4).to_numpy() > 0], return_counts=True)
-            many = n >= HOT_IN_SLICE
-            yield pa.record_batch([pa.array(key[many]), pa.array(n[many])], names=["key", "n"])
-
-    found = rows.mapInArrow(counted, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= hot_rows)
-    hot = np.sort(np.array([r.key for r in found.select("key").collect()], np.int64).view(np.uint64)) if total else NO_SEEDS
-
-    def dealing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from anchors(batches, hot)
+
+    def anchors(key: tuple, table: pa.Table) -> pa.Table:
+        block = _Block(table, window, seed)
+        keys, n = np.unique(block.low[block.heads()], return_counts=True)
+        return pa.table({"key": keys.view(np.int64), "block": np.full(len(keys), key[0].as_py()), "n": n})
+
+    sent = rows.groupBy("block").applyInArrow(anchors, "key long, block long, n long")
+    same_key = Window.partitionBy("key")  # a row for each block at most
+    shared = sent.select("key", "block", F.count("*").over(same_key).alias("_blocks"), F.sum("n").over(same_key).alias("_rows")).filter("_blocks > 1")
+    shared = shared.select("key", "block", (F.col("_rows") >= hot_rows).alias("hot"))
+
+    def windows(table: pa.Table, shared: pa.Table) -> pa.Table:
+        if not table.num_rows:
+            return _ROW.empty_table()
+        key = shared["key"].to_numpy().view(np.uint64)
+        block = _Block(table, window, seed)
+        block.keep(_is_in(block.low, np.sort(key)))
+        return pa.Table.from_batches(block.rows(np.sort(key[shared["hot"].to_numpy()])), _ROW)
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = list(batches)
         if parts:
             yield from _matched(pa.Table.from_batches(parts))
 
-    dealt = rows.mapInArrow(dealing, _ROW_DDL).repartition(parts, "key")
-    return dealt.mapInArrow(match, "doc long, same int, place long, n long")
-
+    dealt = rows.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(windows, _ROW_DDL)
+    return dealt.repartition(max(1, -(-total // partition_bytes)), "key").mapInArrow(match, "doc long, same int, place long, n long")
 
-def _same(text: str):
-    return F.pmod(F.xxhash64(text), F.lit(1 << SAME_BITS)).cast("int")
 
+def repeated_runs(
+    docs: DataFrame,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    window: int = 20,
+    seed: int = 10,
+    block_bytes: int = BLOCK_BYTES,
+    partition_bytes: int = PARTITION_BYTES,
+    hot_rows: int = HOT_ROWS,
+) -> DataFrame:
+    """Runs of windows whose words occur earlier: ``doc, same, place`` (of the first window's first word), ``n`` windows.
 
-def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = 20, seed: int = 10) -> DataFrame:
+    ``same`` tells apart rows of one id by their text. Earlier: a smaller id, or the same id and an earlier place.
+    Null texts have no words, null ids take no part, an empty table gives no rows, and other columns are not looked at.
+    """
+    rows, total, _ = _dealt(docs.select(doc_id, text), doc_id, text, block_bytes)
+    return _found_runs(rows, total, window, seed, partition_bytes, hot_rows)
+
+
+def remove_repeats(
+    docs: DataFrame,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    window: int = 20,
+    seed: int = 10,
+    block_bytes: int = BLOCK_BYTES,
+    partition_bytes: int = PARTITION_BYTES,
+    hot_rows: int = HOT_ROWS,
+) -> DataFrame:
     """Remove every word that a window covers which occurs earlier, and put single blanks between the rest.
 
-    All columns stay, ``text`` holds what is kept, and ``n_words`` and ``n_removed`` are added. Words
-    are runs of other bytes than blank and tab to carriage return; windows are judged on the input.
-    A null text has no words and becomes empty; a null id takes no part and keeps its words; rows
-    that repeat an id and text are treated alike, so neither removes the other's words.
+    All columns stay, ``text`` holds what is kept, and ``n_words`` and ``n_removed`` are added (columns that
+    have these names give way). Words are runs of other bytes than blank and tab to carriage return; windows
+    are judged on the input. A null text has no words and becomes empty; a null id takes no part and keeps its
+    words; rows that repeat an id and text are treated alike, so neither removes the other's words. An empty
+    table gives no rows.
     """
-    runs = repeated_runs(docs, doc_id, text, window, seed)
-    runs = runs.groupBy("doc", "same").agg(F.collect_list(F.struct("place", "n")).alias("_runs"))
-    keyed = docs.withColumns({"_doc": F.col(doc_id).cast("long"), "_same": _same(text)})
-    joined = keyed.join(runs, (keyed._doc == runs.doc) & (keyed._same == runs.same), "left").select(*(docs[c] for c in docs.columns), "_runs")
+    names = [c for c in docs.columns if c not in ("n_words", "n_removed")]
+    docs = docs.select(*(F.col(f"`{c}`") for c in names))
+    rows, total, blocks = _dealt(docs, doc_id, text, block_bytes)
+    runs = _found_runs(rows, total, window, seed, partition_bytes, hot_rows).select("doc", "same", "place", "n", _block_of(blocks))
     schema = T.StructType([*docs.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
-
-    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            k = batch.schema.get_field_index(text)
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
-                kept, n_words, n_removed = [], [], []
-                for x, runs in zip(part.column(k).to_pylist(), part.column(part.num_columns - 1), strict=True):
-                    words = (x or "").encode().split()
-                    n_words.append(len(words))
-                    gone = 0
-                    if runs.is_valid:
-                        step = np.zeros(len(words) + 1, np.int64)
-                        found = runs.values
-                        a, n = found.field("place").to_numpy(), found.field("n").to_numpy()
-                        np.add.at(step, a, 1)
-                        np.add.at(step, a + n + window - 1, -1)
-                        stay = np.cumsum(step)[:-1] == 0
-                        gone = len(words) - int(stay.sum())
-                        words = compress(words, stay.tolist())
-                    n_removed.append(gone)
-                    kept.append(b" ".join(words).decode())
-                arrays = [pa.array(kept, pa.string()) if i == k else part.column(i) for i in range(part.num_columns - 1)]
-                yield pa.record_batch([*arrays, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64())], names=schema.names)
-
-    return joined.mapInArrow(clean, schema)
+    others = [c for c in names if c != text]
+
+    def clean(table: pa.Table, runs: pa.Table) -> pa.Table:
+        runs = runs.sort_by([("doc", "ascending"), ("same", "ascending")])
+        doc, same, place, n = (runs[c].to_numpy() for c in ("doc", "same", "place", "n"))
+        head = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (same[1:] != same[:-1])])) if len(doc) else np.zeros(0, np.int64)
+        ends = [*head[1:].tolist(), len(doc)]
+        spans = {(d, s): slice(a, b) for d, s, a, b in zip(doc[head].tolist(), same[head].tolist(), head.tolist(), ends, strict=False)}
+        kept, n_words, n_removed = [], [], []
+        ids = zip(table["doc"].to_pylist(), table["same"].to_pylist(), strict=True)
+        for x, span in zip(table["text"], map(spans.get, ids), strict=True):
+            words = (x.as_py() or "").encode().split()
+            n_words.append(len(words))
+            if span:
+                step = np.zeros(len(words) + 1, np.int64)
+                np.add.at(step, place[span], 1)
+                np.add.at(step, place[span] + n[span] + window - 1, -1)
+                words = list(compress(words, (np.cumsum(step)[:-1] == 0).tolist()))
+            n_removed.append(n_words[-1] - len(words))
+            kept.append(b" ".join(words).decode())
+        rest = dict(zip(others, table["rest"].combine_chunks().flatten(), strict=True)) if table.num_rows else {}
+        new = {text: pa.array(kept, pa.string()), "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64())}
+        return pa.table({c: new.get(c, rest.get(c)) for c in schema.names}) if table.num_rows else to_arrow_schema(schema).empty_table()
+
+    return rows.groupBy("block").cogroup(runs.groupBy("block")).applyInArrow(clean, schema)
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

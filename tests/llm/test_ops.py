@@ -1,6 +1,7 @@
 """The numbered operators against plain versions and on hard cases."""
 
 import hashlib
+import math
 import sys
 import zlib
 from collections import Counter, defaultdict
@@ -35,10 +36,6 @@ def none(spark):
     return spark.createDataFrame([], DDL)
 
 
-def small_slices(monkeypatch):
-    monkeypatch.setattr(shared, "SLICE_BYTES", 2000)
-
-
 # ------------------------------------------------------------ kernels
 
 
@@ -128,11 +125,6 @@ def test_substring(docs, monkeypatch, seed):
     assert {r.doc_id: (r.n_words, r.n_removed, r.text) for r in got} == brute.without_repeats(DOCS) and len(got) == len(DOCS)
 
 
-def test_substring_many_partitions(docs):
-    runs = substring.repeated_runs(docs.repartition(40), partition_bytes=4000).count()
-    assert runs > 0
-
-
 def test_substring_repeated_rows_and_empty(spark, none):
     text = " ".join(f"w{i}" for i in range(25))
     twice = spark.createDataFrame([(1, text), (1, text), (2, text), (None, text)], DDL)
@@ -148,15 +140,14 @@ def test_windows_that_differ_in_half_their_hash_bits_are_no_repeats(spark, monke
     monkeypatch.setattr(shared.Words, "grams", lambda self, n: real(self, n) & np.uint64(0xFFFFFFFF) if n == 20 else real(self, n))
     head = [f"h{i}" for i in range(10)]
     texts = [(i, " ".join([*head, *(f"w{i}x{k}" for k in range(14))])) for i in range(300)] + [(900, " ".join([*head, *(f"w7x{k}" for k in range(14))]))]
-    words = shared.Words(*shared.text_buffers(pa.array([t for _, t in texts])), shared.SPACED, shared.SAME)
-    ids, same = np.array([i for i, _ in texts]), np.zeros(len(texts), np.int32)
-    seeds, n = np.unique(real(words, 10)[words.left >= 20], return_counts=True)
-    hot = np.sort(seeds[n >= hot_rows])
-    # two slices, so that the repeat of text 7 is not settled before the shuffle
-    parts = []
-    for lo, hi in ((0, 300), (300, 301)):
-        part = shared.Words(*shared.text_buffers(pa.array([t for _, t in texts[lo:hi]])), shared.SPACED, shared.SAME)
-        parts += substring._anchored(ids[lo:hi], same[lo:hi], part, 20, 10, hot)
+    # two blocks, so that the repeat of text 7 is not settled inside one
+    blocks = []
+    for some in (texts[:300], texts[300:]):
+        table = pa.table({"doc": [i for i, _ in some], "same": pa.array([0] * len(some), pa.int32()), "text": [t for _, t in some]})
+        blocks.append(substring._Block(table, 20, 10))
+    keys, n = np.unique(np.concatenate([b.low[b.heads()] for b in blocks]), return_counts=True)
+    hot = keys[n >= hot_rows]
+    parts = [x for b in blocks for x in b.rows(hot)]
     table = pa.Table.from_batches(parts)
     runs = [r for b in substring._matched(table) for r in b.to_pylist()]
     assert {(r["doc"], r["place"] + k) for r in runs for k in range(r["n"])} == {(900, k) for k in range(5)}
@@ -165,11 +156,24 @@ def test_windows_that_differ_in_half_their_hash_bits_are_no_repeats(spark, monke
 
 
 @pytest.mark.parametrize("hot_rows", [2, 5000])
-def test_substring_with_hot_seeds(docs, hot_rows, monkeypatch):
-    monkeypatch.setattr(substring, "HOT_IN_SLICE", 1)
-    a, b = (substring.repeated_runs(docs.repartition(7), partition_bytes=4000, hot_rows=n).collect() for n in (hot_rows, 10**9))
-    places = lambda runs: {(r.doc, r.same, r.place + k) for r in runs for k in range(r.n)}
-    assert places(a) == places(b) != set()
+def test_substring_with_hot_seeds_and_small_blocks(docs, hot_rows):
+    a, b = (substring.remove_repeats(docs.repartition(7), block_bytes=n, partition_bytes=4000, hot_rows=m).collect() for n, m in ((2000, hot_rows), (10**9, 10**9)))
+    told = lambda rows: {(r.doc_id, r.n_words, r.n_removed, r.text) for r in rows}
+    assert told(a) == told(b) and any(r.n_removed for r in a)
+
+
+def test_substring_sends_windows_of_shared_seeds_only(spark):
+    """Texts that share nothing send no window to the second level."""
+    apart = spark.createDataFrame([(i, " ".join(f"w{i}x{k}" for k in range(40))) for i in range(30)], DDL)
+    assert substring.repeated_runs(apart, block_bytes=500).count() == 0
+
+
+def test_substring_replaces_columns_of_its_own_names(spark):
+    text = " ".join(f"w{i}" for i in range(25))
+    rows = spark.createDataFrame([(1, text, "a", "b"), (2, text, "c", "d"), (3, None, None, None)], "doc_id long, text string, n_words string, _doc string")
+    got = substring.remove_repeats(rows)
+    assert got.columns == ["doc_id", "text", "_doc", "n_words", "n_removed"]
+    assert {r.doc_id: (r.text, r._doc, r.n_words, r.n_removed) for r in got.collect()} == {1: (text, "b", 25, 0), 2: ("", "d", 25, 25), 3: ("", None, 0, 0)}
 
 
 # ------------------------------------------------------------ 4
@@ -323,40 +327,80 @@ def check_packing(rows, texts, window):
         assert ends[-1] == window or (ends[-1] < window and ends[-1] & (ends[-1] - 1) == 0)
 
 
-@pytest.mark.parametrize("shard_bytes", [1 << 20, 3000])
-def test_packing(docs, shard_bytes):
-    rows = packing.pack(docs, packing.vocabulary_path(), window=256, shard_bytes=shard_bytes).collect()
+@pytest.mark.parametrize("shard_tokens", [1 << 20, 1500])
+def test_packing(docs, shard_tokens):
+    rows = packing.pack(docs, packing.vocabulary_path(), window=256, shard_tokens=shard_tokens).collect()
     check_packing(rows, DOCS, 256)
 
 
-def test_ids_of_kept_words_are_those_of_whole_texts(monkeypatch):
+def test_packing_of_null_and_repeated_ids(spark):
+    rows = [(None, "one two"), (None, "one two"), (None, None), (4, "x y " * 3000), (4, "x y " * 3000), (4, "other")]
+    got = packing.pack(spark.createDataFrame(rows, DDL).withColumn("ids", F.lit("clash")), packing.vocabulary_path(), window=64).collect()
+    tokens = Counter((r.doc_id, r.doc_tokens) for r in got if r.start == 0)
+    assert tokens == {(None, 3): 2, (None, 1): 1, (4, 6001): 2, (4, 2): 1}
+    assert sum(r.length for r in got) == 3 + 3 + 1 + 6001 * 2 + 2
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_ids_are_those_of_whole_texts(monkeypatch, name):
     import random
 
     from tokenizers import Tokenizer
 
     monkeypatch.setattr(packing, "CACHED_WORDS", 3000)
-    path, rng = packing.vocabulary_path(), random.Random(4)
+    path, rng = packing.vocabulary_path(name), random.Random(4)
     tokenizer, encoder = Tokenizer.from_file(path), packing.Encoder(path)
-    letters = "aAbBzZéÉßẞİıſÀ.,;:!?'\"-0 9\n\t\x0b\x1c\xa0\u0301Σσςǅ北'sT'Re"
+    assert encoder.by_word == (name == packing.VOCABULARY) and encoder.kind.itemsize == 2
+    letters = "aAbBzZéÉßẞİıſÀªº²µÿ.,;:!?'\"-0 9\n\t\x0b\x1c\xa0\u0301Σσςǅ北'sT'Re"
     texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 50))) for _ in range(4000)]
     texts += ["<|endoftext|>. a.<|startoftext|>b", "x" * 1500 + " y", *(t or "" for _, t in DOCS)]
     got = [ids for lo in range(0, len(texts), 100) for ids in encoder.encode(texts[lo : lo + 100])]
-    assert got == [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert got == [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u2").tobytes() for t in texts]
 
 
 def test_packing_empty(none):
     assert packing.pack(none, packing.vocabulary_path()).count() == 0
 
 
-def test_neighbours_are_those_with_shared_rare_terms():
-    sets = [[1, 1, 9], [2, 9], [1, 3, 9], [4, 9], [3, 3, 3, 9]]
-    offs = np.cumsum([0, *map(len, sets)])
-    index = packing.Index(np.concatenate(sets).astype("<u4"), offs)
-    unused = np.ones(5, bool)
-    unused[0] = False
-    assert index.neighbours(0, unused)[0] == 2
-    unused[2] = False
-    assert index.neighbours(2, unused)[0] == 4
+def plain_scores(sets, stats, seed):
+    """BM25 by its formula, for every term of the seed."""
+    idf = {t: math.log1p((stats.documents - d + 0.5) / (d + 0.5)) for t, d in enumerate(stats.df.tolist())}
+    out = []
+    for s in sets:
+        norm = packing.K1 * (1 - packing.B + packing.B * len(s) / stats.mean)
+        out.append(sum(idf[t] * s.count(t) * (packing.K1 + 1) / (s.count(t) + norm) for t in set(sets[seed]) & set(s)))
+    return out
+
+
+@pytest.mark.parametrize("dense", [0, 3, 192])
+def test_scores_are_those_of_the_whole_seed(monkeypatch, dense):
+    monkeypatch.setattr(packing, "DENSE_TERMS", dense)
+    rng = np.random.default_rng(5)
+    sets = [sorted(rng.zipf(1.4, rng.integers(1, 60)).clip(0, 99).tolist()) for _ in range(50)]
+    df = np.bincount([t for s in sets for t in set(s)], minlength=100) + 7  # of a larger corpus
+    stats = packing.Statistics(500, 31.0, df)
+    index = packing.Index(np.concatenate(sets).astype("<u2"), np.cumsum([0, *map(len, sets)]), stats)
+    for seed in range(50):
+        others = np.arange(50) != seed
+        assert np.allclose(index.scores(seed)[others], np.array(plain_scores(sets, stats, seed))[others], rtol=1e-4)
+    unused = np.arange(50) % 3 > 0
+    want = sorted((-s, d) for d, s in enumerate(index.scores(0).tolist()) if s > 0 and unused[d])
+    assert index.neighbours(0, unused).tolist() == [d for _, d in want]
+
+
+def test_statistics_and_places_are_global(spark):
+    texts = ["aa bb bb", "aa cc", None, "bb", "zz zz"]
+    tokens = packing.token_table(spark.createDataFrame(list(enumerate(texts)), DDL).repartition(4), packing.vocabulary_path())
+    encoder = packing.Encoder.at(packing.vocabulary_path())
+    sets = {d: [*np.frombuffer(encoder.encode([t or ""])[0], "<u2").tolist(), 2] for d, t in enumerate(texts)}
+    stats = packing.statistics(tokens, encoder.size)
+    assert stats.documents == 5 and stats.mean == sum(map(len, sets.values())) / 5
+    assert {t: n for t, n in enumerate(stats.df.tolist()) if n} == Counter(t for s in sets.values() for t in set(s))
+    for r in packing.placed(tokens, stats, encoder.kind).collect():
+        s = sets[r.doc]
+        norm = packing.K1 * (1 - packing.B + packing.B * len(s) / stats.mean)
+        weight = {t: stats.idf()[t] * s.count(t) / (s.count(t) + norm) for t in set(s) if stats.df[t] > 1}
+        assert [r.t1, r.t2, r.t3] == [*sorted(weight, key=lambda t: (-weight[t], t)), -1, -1, -1][:3]
 
 
 # ------------------------------------------------------------ 8
