@@ -354,8 +354,13 @@ def test_ids_are_those_of_whole_texts(monkeypatch, name):
     letters = "aAbBzZéÉßẞİıſÀªº²µÿ.,;:!?'\"-0 9\n\t\x0b\x1c\xa0\u0301Σσςǅ北'sT'Re"
     texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 50))) for _ in range(4000)]
     texts += ["<|endoftext|>. a.<|startoftext|>b", "x" * 1500 + " y", *(t or "" for _, t in DOCS)]
-    got = [ids for lo in range(0, len(texts), 100) for ids in encoder.encode(texts[lo : lo + 100])]
-    assert got == [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u2").tobytes() for t in texts]
+    texts += ["".join(rng.choice("abC12.,'-_<|>$é") for _ in range(rng.randint(1, 12))) for _ in range(3000)]
+    texts += [f"{a}{b}{c}" for a in ("word", "MÉÑÜ", "ÿß", "x×y", "a÷", "Å") for b in ("", ".", "?!", "\u0301", "'s.") for c in ("", ",", "\xa0z.")]
+    got = []
+    for lo in range(0, len(texts), 100):
+        ids, n = encoder.encode(*shared.text_buffers(pa.array(["skipped", *texts[lo : lo + 100]]).slice(1)))
+        got += [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])]
+    assert got == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 def test_packing_empty(none):
@@ -392,7 +397,7 @@ def test_statistics_and_places_are_global(spark):
     texts = ["aa bb bb", "aa cc", None, "bb", "zz zz"]
     tokens = packing.token_table(spark.createDataFrame(list(enumerate(texts)), DDL).repartition(4), packing.vocabulary_path())
     encoder = packing.Encoder.at(packing.vocabulary_path())
-    sets = {d: [*np.frombuffer(encoder.encode([t or ""])[0], "<u2").tolist(), 2] for d, t in enumerate(texts)}
+    sets = {d: [*encoder.encode(*shared.text_buffers(pa.array([t or ""])))[0].tolist(), 2] for d, t in enumerate(texts)}
     stats = packing.statistics(tokens, encoder.size)
     assert stats.documents == 5 and stats.mean == sum(map(len, sets.values())) / 5
     assert {t: n for t, n in enumerate(stats.df.tolist()) if n} == Counter(t for s in sets.values() for t in set(s))
