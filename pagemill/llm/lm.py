@@ -1,6 +1,6 @@
 """Stupid-backoff scores from n-gram count tables that are partitioned by hash.
 
-Documents are dealt into blocks by a hash of their id. A block counts its n-grams and sends each
+Documents are dealt into blocks by a hash of their id and text. A block counts its n-grams and sends each
 hash partition its sorted distinct n-grams; the partition adds up the blocks' counts, which is the
 count table, and sends every block the totals of its own n-grams; the block joins them to the n-grams
 of its documents and sums each document's logarithms. Rows carry packed columns of n-grams, 6 to 7
@@ -20,12 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm.shared import ALNUM, LOWER, Words, mix, text_buffers
+from pagemill.llm.shared import ALNUM, LOWER, Words, mix, pressed, unpressed
 
 BLOCK_BYTES = 6 << 20
 ORDER = 3
 BACKOFF = 0.4
 
+
 def _key_hashes(words: Words, order: int) -> tuple[np.ndarray, np.ndarray]:
     """First words of the n-grams of an order, and their hashes."""
     at = np.flatnonzero(words.left >= order)
@@ -80,8 +81,7 @@ def _unpack_counts(data: bytes) -> np.ndarray:
 
 
 def _block_words(table: pa.Table) -> Words:
-    buf, offs = text_buffers(table["text"])
-    return Words(buf, offs, ALNUM, LOWER)
+    return Words(*unpressed(table["text"]), ALNUM, LOWER)
 
 
 _COUNTED = "part long, block long, keys binary, counts binary"
@@ -99,11 +99,12 @@ def stupid_backoff(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     Returns ``doc_id``, ``n_words``, ``log_score`` (sum of natural logarithms, 0 without words) and
     ``n_backed_off`` (words scored by a shorter n-gram). Null and empty texts have no words; each of
-    repeated rows is a document of its own, which the other supports; an empty table gives no rows.
+    repeated rows is a document of its own, which the other supports; null ids stay null; an empty table gives no
+    rows; other columns are not looked at.
     """
     total = docs.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.pmod(F.xxhash64(doc_id), F.lit(blocks)).alias("block"))
+    rows = pressed(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.pmod(F.xxhash64(doc_id, text), F.lit(blocks)).alias("block")), "text")
     parts = blocks
 
     def count(key: tuple, table: pa.Table) -> pa.Table:

@@ -10,7 +10,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # ---------------------------------------------------------------- shared storage
 
@@ -20,11 +23,13 @@ _staged: list[tuple[SparkSession, str]] = []
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Where the session names none (local runs and tests) a temporary folder is set as checkpoint
-    folder of this session.
+    Where a local session names none (as in tests) a temporary folder is set as its checkpoint folder;
+    a cluster must name one.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith(("local[", "local-cluster")) and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="pagemill-")
         spark.conf.set("spark.checkpoint.dir", found)
         spark.sparkContext.setCheckpointDir(found)
@@ -64,6 +69,41 @@ def drop_staged() -> None:
 atexit.register(drop_staged)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column of ``df`` has it."""
+    while name in df.columns:
+        name = "_" + name
+    return name
+
+
+def without(df: DataFrame, *names: str) -> DataFrame:
+    """``df`` without the columns that an operator is about to add under these names."""
+    return df.select(*(F.col(f"`{c}`") for c in df.columns if c not in names))
+
+
+def pressed(df: DataFrame, text: str) -> DataFrame:
+    """``df`` with the texts as Zstandard frames of their UTF-8 bytes, for shuffles; null stays null."""
+    schema = T.StructType([T.StructField(f.name, T.BinaryType()) if f.name == text else f for f in df.schema.fields])
+
+    def press(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            k = batch.schema.get_field_index(text)
+            for lo in range(0, batch.num_rows, 1024):
+                part = batch.slice(lo, 1024)
+                frames = pa.array([coder.compress(x.as_buffer()) if x.is_valid else None for x in part.column(k)], pa.binary())
+                yield pa.record_batch([frames if i == k else c for i, c in enumerate(part.columns)], schema.names)
+
+    return df.mapInArrow(press, schema)
+
+
+def unpressed(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and offsets of texts from ``pressed``; null counts as empty."""
+    coder = zstandard.ZstdDecompressor()
+    texts = [coder.decompress(x.as_buffer()) if x.is_valid else b"" for x in column]
+    return np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in texts], dtype=np.int64)])
+
+
 # ---------------------------------------------------------------- text kernels
 
 _MULT = np.uint64(0x9E3779B97F4A7C15)
