@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagemill.llm.shared import row_slices
+from pagemill.llm.shared import fresh, row_slices, without
 
 WIDTH = 64
 FRAME_ROWS = 1024
@@ -148,13 +148,15 @@ def _blocks(data: bytes) -> bytes:
 
 
 def encode_gif(payload: bytes, width: int = WIDTH, frame_rows: int = FRAME_ROWS, delay_cs: int = DELAY_CS) -> bytes:
-    """Samples as rows of ``width``, ``frame_rows`` to a timed frame, with the palette that keeps their values."""
+    """Samples as rows of ``width``, ``frame_rows`` to a timed frame, with the palette that keeps their values.
+
+    Each frame is cleared after its time, so that a shorter last one does not stand before the rest of the one before."""
     rows = len(payload) // width
     out = [b"GIF89a", struct.pack("<HHBBB", width, min(rows, frame_rows), 0xF7, 0, 0), GREY]
     out.append(b"\x21\xff\x0bNETSCAPE2.0\x03\x01\0\0\0")
     for lo in range(0, rows, frame_rows):
         part = payload[lo * width : (lo + frame_rows) * width]
-        out.append(struct.pack("<BBBBHBB", 0x21, 0xF9, 4, 1 << 2, delay_cs, 0, 0))
+        out.append(struct.pack("<BBBBHBB", 0x21, 0xF9, 4, 2 << 2, delay_cs, 0, 0))
         out.append(struct.pack("<BHHHHB", 0x2C, 0, 0, width, len(part) // width, 0) + b"\x08" + _blocks(lzw_encode(part)))
     return b"".join([*out, b"\x3b"])
 
@@ -252,12 +254,15 @@ _FRAME_TYPE = pa.list_(pa.struct([*((n, pa.int32()) for n in _NUMBERS), ("histog
 
 def add_gif(docs: DataFrame, text: str = "text", unit: int = WIDTH) -> DataFrame:
     """Add ``n_bytes`` and ``media``: the text's UTF-8 bytes, filled up with bytes 0 to a positive multiple of
-    ``unit``, as a GIF. A null text counts as an empty one; equal texts give equal media; rows and other columns stay."""
-    rest = docs.withColumn("_payload", F.coalesce(F.col(text), F.lit("")).cast("binary")).withColumn("n_bytes", F.octet_length("_payload").cast("long"))
+    ``unit``, as a GIF. A null text counts as an empty one; equal texts, and so repeated rows, give equal media; all rows
+    and other columns stay, but columns of the two names give way; an empty table gives no rows."""
+    filled = F.coalesce(F.col(text), F.lit("")).cast("binary")
+    rest, payload = without(docs, "n_bytes", "media"), fresh(docs, "_payload")
+    rest = rest.withColumn(payload, filled).withColumn("n_bytes", F.octet_length(payload).cast("long"))
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = batch.schema.get_field_index("_payload")
+            column = batch.schema.get_field_index(payload)
             sizes = np.concatenate([[0], np.cumsum(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False))]).astype(np.int64)
             for lo, hi in row_slices(sizes):
                 part = batch.slice(lo, hi - lo)
@@ -269,13 +274,15 @@ def add_gif(docs: DataFrame, text: str = "text", unit: int = WIDTH) -> DataFrame
                 names = [n for i, n in enumerate(part.schema.names) if i != column]
                 yield pa.record_batch([*arrays, pa.array(media, pa.binary())], [*names, "media"])
 
-    schema = T.StructType([*rest.drop("_payload").schema.fields, T.StructField("media", T.BinaryType())])
+    schema = T.StructType([*rest.drop(payload).schema.fields, T.StructField("media", T.BinaryType())])
     return rest.mapInArrow(coded, schema)
 
 
 def add_frames(df: DataFrame, media: str = "media") -> DataFrame:
     """Add ``payload`` (the samples of all frames, in order) and ``frames`` (timed, with colour histograms), decoded
-    from a column of GIFs. A null medium gives null; a damaged one fails the task."""
+    from a column of GIFs. A null medium gives null; a damaged one fails the task; columns of the two names give way;
+    an empty table gives no rows."""
+    df = without(df, "payload", "frames")
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
