@@ -2,7 +2,9 @@
 
 Bytes are taken to 128 classes (case folded). A text is cut into windows of ``WINDOW`` bytes; filters
 of several widths run over each, their largest answers in a window go through a softmax layer, and a
-text's probabilities are the means of its windows', by their letters. At prediction a filter is a sum
+text's probabilities are the means of its windows', by their letters. One more class, noise, is learned from
+labelled texts whose letters are scrambled or drawn anew, so that letters which are no language score low in
+every language. At prediction a filter is a sum
 of looked-up rows, for single classes and for pairs, so that a batch of windows needs few array steps.
 """
 
@@ -17,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagemill.llm.shared import row_slices, text_buffers
+from pagemill.llm.shared import fresh, row_slices, text_buffers, without
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -26,6 +28,10 @@ CLASSES = 128
 #: About so many labelled rows are learned from, and so many characters of each, from a place that varies by row.
 TRAIN_ROWS, TRAIN_CHARS = 4000, 768
 EPOCHS, BATCH, RATE = 8, 64, 0.004
+#: Windows of fewer letters are not learned from (where there are others): they do not show a language.
+LEAST_LETTERS = 24
+#: Every so many-th text is learned from as noise too.
+NOISE_EVERY = 4
 #: Few rows are gone over more often, so that at least so many steps are made.
 MIN_STEPS = 300
 BATCH_WINDOWS = 128
@@ -46,6 +52,8 @@ CLASS = _classes()
 
 @dataclass
 class Model:
+    """A network; the last output, after those of the languages, is noise."""
+
     languages: list[str]
     filters: list[np.ndarray]  # of each width: (width, CLASSES, FILTERS)
     bias: np.ndarray
@@ -62,21 +70,34 @@ def windows_of(raw: np.ndarray, size: int = WINDOW) -> np.ndarray:
     return np.lib.stride_tricks.as_strided(flat, (n, size + extra), (size, 1)).copy()
 
 
+def noise_of(text: str, rng: np.random.Generator) -> str:
+    """A text with other letters in the places of its letters: its own in another order, or any from a to z."""
+    at = [i for i, c in enumerate(text) if c.isalpha()]
+    own = [text[i] for i in at]
+    drawn = [own[k] for k in rng.permutation(len(own))] if rng.random() < 0.5 else [chr(97 + k) for k in rng.integers(0, 26, len(own))]
+    out = list(text)
+    for i, c in zip(at, drawn, strict=True):
+        out[i] = c
+    return "".join(out)
+
+
 def train(texts: list[str], labels: list[str], seed: int = 1) -> Model:
-    """Fit filters and softmax by Adam on the windows of labelled texts."""
+    """Fit filters and softmax by Adam on the windows of labelled texts, and of noise made from some of them."""
     languages = sorted(set(labels))
     number = {x: k for k, x in enumerate(languages)}
+    rng = np.random.default_rng(seed)
+    samples = [(t, number[lang]) for t, lang in zip(texts, labels, strict=True)]
+    samples += [(noise_of(t, rng), len(languages)) for t in texts[::NOISE_EVERY]]
     parts, target = [], []
-    for t, lang in zip(texts, labels, strict=True):
+    for t, label in samples:
         w = windows_of(np.frombuffer(t.encode(), np.uint8))
         parts.append(w)
-        target += [number[lang]] * len(w)
+        target += [label] * len(w)
     x, y = np.concatenate(parts).astype(np.int64), np.array(target)
-    keep = (x[:, :WINDOW] > 1).sum(axis=1) >= 24
+    keep = (x[:, :WINDOW] > 1).sum(axis=1) >= LEAST_LETTERS
     if keep.any():
         x, y = x[keep], y[keep]
-    rng = np.random.default_rng(seed)
-    k = len(languages)
+    k = len(languages) + 1
     params = [rng.normal(0, 0.3, (w, CLASSES, FILTERS)).astype(np.float32) for w in WIDTHS]
     params += [np.zeros(len(WIDTHS) * FILTERS, np.float32), rng.normal(0, 0.2, (len(WIDTHS) * FILTERS, k)).astype(np.float32), np.zeros(k, np.float32)]
     mean, square, step = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
@@ -137,7 +158,7 @@ class Predictor:
             self.tables.append(parts)
 
     def windows(self, x: np.ndarray) -> np.ndarray:
-        """Probabilities of each window's languages."""
+        """Probabilities of each window's languages, then of noise."""
         out = []
         for lo in range(0, len(x), BATCH_WINDOWS):
             part = x[lo : lo + BATCH_WINDOWS].astype(np.int32)
@@ -157,7 +178,7 @@ class Predictor:
 
     def texts(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Best language (its number) and score of each text; -1 and 0 for empty texts."""
-        k = len(self.model.languages)
+        k = len(self.model.languages) + 1
         total, heavy = np.zeros((len(offs) - 1, k)), np.zeros(len(offs) - 1)
         pending, rows, held = [], [], 0
 
@@ -183,7 +204,7 @@ class Predictor:
                 lo = hi
         if pending:
             flush()
-        mean = total / np.maximum(heavy, 1e-9)[:, None]
+        mean = (total / np.maximum(heavy, 1e-9)[:, None])[:, :-1]
         best = np.where(heavy > 0, mean.argmax(axis=1), -1)
         return best, np.where(heavy > 0, np.clip(mean.max(axis=1), 0, 1), 0.0)
 
@@ -197,9 +218,10 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
     """A model of the labelled rows outside the held-out fold; None where there are none.
 
     It learns from a bounded sample: rows picked by a hash of the id, about ``rows`` of them and never
-    more than twice as many, ``chars`` characters of each.
+    more than twice as many, ``chars`` characters of each. Null texts, ids and labels and empty texts are not
+    learned from; repeated rows are learned from as often as they are picked; other columns are not looked at.
     """
-    usable = docs.filter(~held_out(doc_id) & F.col(lang).isNotNull() & F.col(doc_id).isNotNull() & F.col(text).isNotNull())
+    usable = docs.filter(~held_out(doc_id) & F.col(lang).isNotNull() & F.col(doc_id).isNotNull() & (F.col(text) != ""))
     n = usable.count()
     if not n:
         return None
@@ -212,15 +234,18 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
 
 
 def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
-    """Add ``lang_pred`` and ``score`` from the whole text; every other column stays.
+    """Add ``lang_pred`` and ``score`` from the whole text; every row and every other column stays.
 
-    ``und`` with score 0 where the text is null or has no letter, or without a model.
+    The score is the mean probability of the best language (ties: the first by name); noise takes what the languages
+    do not have. ``und`` with score 0 where the text is null or has no letter, or without a model. Repeated rows get
+    equal results; columns of the two names give way; an empty table gives no rows.
     """
+    docs = without(docs, "lang_pred", "score")
     if model is None:
         return docs.withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0)})
     letter = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    given = docs.withColumn("_letter", letter)
+    given = docs.withColumn(fresh(docs, "_letter"), letter)
 
     def labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         predictor = Predictor(model)
