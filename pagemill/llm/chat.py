@@ -126,22 +126,31 @@ def _unescaped(x: Column, table=ESCAPES) -> Column:
 
 
 def format_turns(turns: DataFrame, record_id: str = "conv_id", loss_role: str = "assistant") -> DataFrame:
-    """``formatted`` text of each record and ``loss_spans``: first code point (from 0) and length of each trained stretch."""
-    rows = turns.select(record_id, F.posexplode_outer("turns").alias("pos", "turn"))
+    """``formatted`` text of each record and ``loss_spans``: first code point (from 0) and length of each trained stretch.
+
+    A record is a row: rows of one id with other turns are formatted apart, and repeated rows as often as they stand.
+    Null or no turns give an empty text without spans; null ids stay null; an empty table gives no rows; other columns
+    are not looked at.
+    """
+    records = turns.select(F.col(record_id).alias("_id"), "turns", F.xxhash64("turns").alias("_same")).groupBy("_id", "_same").agg(F.first("turns").alias("turns"), F.count("*").alias("_copies"))
+    rows = records.select("_id", "_same", "_copies", F.posexplode_outer("turns").alias("pos", "turn"))
     role, text = _escaped(F.col("turn.role"), ROLE_ESCAPES), _escaped(F.col("turn.text"))
     rows = rows.select(
-        record_id,
+        "_id",
+        "_same",
+        "_copies",
         "pos",
         F.concat(F.lit(HEAD), role, F.lit(MIDDLE)).alias("_head"),
         text.alias("_text"),
         (F.col("turn.role") == loss_role).alias("_loss"),
     ).withColumn("_piece", F.concat("_head", "_text", F.lit(TAIL)))
-    before = F.sum(F.length("_piece")).over(Window.partitionBy(record_id).orderBy("pos")) - F.length("_piece")
+    before = F.sum(F.length("_piece")).over(Window.partitionBy("_id", "_same").orderBy("pos")) - F.length("_piece")
     rows = rows.withColumn("_at", before + F.length("_head"))
     piece = F.struct("pos", F.col("_piece").alias("piece"), F.col("_at").alias("start"), F.length("_text").cast("long").alias("length"), F.col("_loss").alias("loss"))
-    kept = rows.groupBy(record_id).agg(F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), piece))).alias("_all"))
+    kept = rows.groupBy("_id", "_same").agg(F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), piece))).alias("_all"), F.first("_copies").alias("_copies"))
+    kept = kept.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
     return kept.select(
-        record_id,
+        F.col("_id").alias(record_id),
         F.array_join(F.transform("_all", lambda x: x["piece"]), "").alias("formatted"),
         F.transform(F.filter("_all", lambda x: x["loss"]), lambda x: F.struct(x["start"].alias("start"), x["length"].alias("length"))).alias("loss_spans"),
     )
