@@ -108,10 +108,11 @@ def decontaminate(
     """Where texts repeat passages of a test set.
 
     Returns ``doc_id``, ``n_words`` long, ``n_hit`` long (words inside any occurrence of a window),
-    ``spans`` (first word and end of each stretch of such words) and ``items`` (ids with an occurrence).
+    ``spans`` (first word and end of each stretch of such words), ``items`` (ids with an occurrence) and
+    ``text_hash`` (xxhash64 of the text, which tells apart rows of one id).
     A window is ``window`` consecutive words of an item; an item of fewer words is one window, one
     without words has none. A null or empty text has no words. Rows of the same id and text count
-    once; other columns are not looked at; with no items, or no documents, nothing is hit.
+    once; null ids of documents stay null; other columns are not looked at; with no items, or no documents, nothing is hit.
 
     The test set's fingerprints are counted first: up to ``broadcast_fingerprints`` they are
     broadcast and texts are read once without a shuffle; beyond, fingerprints are joined by a
@@ -156,7 +157,7 @@ def decontaminate(
     )
     out = grouped.withColumn("spans", spans)
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + (x["to"] - x["from"]))
-    return out.select(F.col("doc").alias(doc_id), "n_words", n_hit.alias("n_hit"), "spans", "items")
+    return out.select(F.col("doc").alias(doc_id), "n_words", n_hit.alias("n_hit"), "spans", "items", F.col("_same").alias("text_hash"))
 
 
 def _verified(found: DataFrame, keep: list[str], window: int, k: int) -> DataFrame:

@@ -19,7 +19,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagemill.llm.components import components
@@ -245,6 +245,17 @@ def _led(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch(arrays, names=["doc", "path", "leader", "stays"])
 
 
+def _without_repeats(table: pa.Table, starts: np.ndarray) -> tuple[pa.Table, np.ndarray]:
+    """One row of each document of a group: repeated rows are counted among its copies already."""
+    group, doc = np.repeat(np.arange(len(starts) - 1), np.diff(starts)), table["doc"].to_numpy()
+    order = np.lexsort((doc, group))
+    again = (doc[order][1:] == doc[order][:-1]) & (group[order][1:] == group[order][:-1])
+    if not again.any():
+        return table, starts
+    kept = np.sort(order[np.concatenate([[True], ~again])])
+    return table.take(pa.array(kept)), np.searchsorted(group[kept], np.arange(len(starts)))
+
+
 _CHECKED = pa.schema([("doc", pa.int64()), ("other", pa.int64()), ("links", pa.int64())])
 
 
@@ -252,7 +263,7 @@ def _exact(shingle: int, similarity: float) -> Callable:
     """Compare all pairs of each group by their n-grams; count links (with copies) and give stars."""
 
     def work(table: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
-        table = table.combine_chunks()
+        table, starts = _without_repeats(table.combine_chunks(), starts)
         buf, offs = text_buffers(table["text"])
         edges = [0]
         for s in starts[1:].tolist():  # groups whose texts are worked on together
@@ -312,6 +323,10 @@ def _exact(shingle: int, similarity: float) -> Callable:
 # ------------------------------------------------------------ the join
 
 
+def text_digest(text: str = "text") -> Column:
+    return F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
+
+
 def near_duplicates(
     docs: DataFrame,
     doc_id: str = "doc_id",
@@ -322,25 +337,32 @@ def near_duplicates(
     depth: int = DEPTH,
     block: int = BLOCK,
 ) -> DataFrame:
-    """``doc_id``, ``class_id`` and ``n_links`` of every row of ``docs``.
+    """``doc_id``, ``class_id``, ``n_links``, ``digest`` (of the text) and ``is_first`` of every row of ``docs``.
 
     Two rows are linked if the Jaccard similarity of their sets of ``shingle``-word n-grams is at
     least ``similarity``; a text of fewer words has all of them as one n-gram. Words are runs of
     digits, Latin letters and bytes from 128 on, A-Z lower-cased. ``n_links`` counts the other rows
     that a row is linked to, copies of texts one by one; ``class_id`` is the least id of all rows
     reached over links. A text that is null, empty or without words is linked to nothing, and its
-    class is its own id. Rows of one id are one document (ids should be unique); a null id stays
-    alone, with a null class. Other columns are not looked at; an empty table gives no rows.
+    class is its own id. Rows of one id with different texts are told apart by their texts, and repeated rows
+    are copies; a null id stays alone, with a null class. Other columns are not looked at; an empty table gives
+    no rows. ``is_first`` marks the row of each class with the least id (of several texts under it, that with the
+    least digest; of repeated rows all), and all rows that stay alone. Ids below -2**62 are kept for the operator's own use.
 
     ``recall`` is the probability to find a link at the threshold; copies and closer texts are surer.
     """
     runs = runs_for(recall, depth)
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc"), F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("digest"), F.col(text).alias("text"))
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc"), text_digest(text).alias("digest"), F.col(text).alias("text"))
     signed = staged(_signed(rows, shingle, similarity, runs, depth), "signed")
     members = signed.select("doc", "digest", "n")
-    kept = members.filter("doc IS NOT NULL AND n > 0").groupBy("digest").agg(F.min("doc").alias("doc"), F.count("*").alias("copies"))
-    kept = staged(kept, "texts")
-    texts = staged(signed.join(kept, ["doc", "digest"], "left_semi").dropDuplicates(["doc"]), "nodes")
+    kept = members.filter("doc IS NOT NULL AND n > 0").groupBy("digest").agg(F.min("doc").alias("first"), F.count("*").alias("copies"))
+    # a text's node is its least id; where that is the least id of several texts, the others have nodes of their own
+    nth = F.row_number().over(Window.partitionBy("first").orderBy("digest"))
+    own = -F.lit(1 << 62) - F.conv(F.substring("digest", 1, 15), 16, 10).cast("long")
+    kept = staged(kept.withColumn("doc", F.when(nth == 1, F.col("first")).otherwise(own)), "texts")
+    nodes_of = kept.select("digest", F.col("first"), F.col("doc").alias("node"))
+    texts = signed.join(nodes_of, (signed.doc == nodes_of["first"]) & (signed.digest == nodes_of.digest)).drop(nodes_of.digest).dropDuplicates(["node"])
+    texts = staged(texts.select(F.col("node").alias("doc"), "digest", "n", "sketch", *(f"paths{k + 1}" for k in range(depth))), "nodes")
 
     found = None
     reached = texts.select("doc", F.explode("paths1").alias("p")).select("doc", F.col("p.path").alias("path"))
@@ -369,23 +391,28 @@ def near_duplicates(
     labelled = rough.select(F.col("node").alias("doc"), "root").unionByName(rough.select(F.col("root").alias("doc"), "root").distinct())
     sizes = labelled.groupBy("root").agg(F.count("*").alias("size"))
     nodes = staged(labelled.join(sizes, "root").join(kept, "doc"), "candidates")
-    full = rows.join(nodes, ["doc", "digest"])
+    full = rows.withColumnRenamed("doc", "first").join(nodes, ["first", "digest"])
     full = in_blocks(full.select("root", "size", "doc", "copies", "text"), "root", F.col("size"), block).select("root", "i", "j", "mine", "doc", "copies", "text")
     checked = staged(_by_group(full, ["root", "i", "j"], _exact(shingle, similarity), "doc long, other long, links long"), "checked")
 
     classes = components(checked.filter("other IS NOT NULL").select(F.col("doc").alias("a"), F.col("other").alias("b")))
     links = checked.groupBy("doc").agg(F.sum("links").alias("links"))
     per_text = kept.join(links, "doc", "left").join(classes.withColumnRenamed("node", "doc"), "doc", "left")
-    per_text = per_text.select("digest", F.coalesce("root", "doc").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    per_text = per_text.select("digest", "first", F.coalesce("root", "doc").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    # of each class the least id and its least digest; a third of all rows can have one class, so it is added up before the shuffle
+    heads = per_text.groupBy("root").agg(F.min(F.struct("first", "digest")).alias("head"))
+    per_text = per_text.join(heads, "root").select("digest", F.col("head.first").alias("class_id"), F.col("head.digest").alias("_head"), "n_links")
     out = members.join(per_text, "digest", "left")
     alone = F.col("n_links").isNull() | F.col("doc").isNull()
     return out.select(
         F.col("doc").alias(doc_id),
         F.when(alone, F.col("doc")).otherwise(F.col("class_id")).alias("class_id"),
         F.when(alone, F.lit(0)).otherwise(F.col("n_links")).cast("long").alias("n_links"),
+        "digest",
+        (alone | ((F.col("doc") == F.col("class_id")) & (F.col("digest") == F.col("_head")))).alias("is_first"),
     )
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of near copies among all documents."""
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "class_id", "n_links")

@@ -191,7 +191,9 @@ def test_language_model_learns_and_predicts(spark):
 def test_language_of_odd_texts(spark, none):
     docs = spark.createDataFrame([(i, "the cat and the dog " * 9, "en") for i in range(20)] + [(i + 20, "der Hund und die Katze " * 9, "de") for i in range(20)], "doc_id long, text string, lang string")
     model = langid.fit(docs)
-    odd = spark.createDataFrame([(1, None), (2, ""), (3, "12 !? 34"), (4, "the dog and " * 40_000), (5, "и")], DDL).withColumn("score", F.lit("clash")).drop("score")
+    odd = spark.createDataFrame([(1, None), (2, ""), (3, "12 !? 34"), (4, "the dog and " * 40_000), (5, "и")], DDL)
+    odd = odd.withColumns({c: F.lit("clash") for c in ("score", "lang_pred", "_letter", "held_out")})
+    assert langid.predict(odd, model).columns == ["doc_id", "text", "_letter", "held_out", "lang_pred", "score"]
     got = {r.doc_id: r for r in langid.predict(odd, model).collect()}
     assert [got[i].lang_pred for i in (1, 2, 3)] == ["und"] * 3 and [got[i].score for i in (1, 2, 3)] == [0.0] * 3
     assert got[4].lang_pred == "en" and got[5].lang_pred in ("en", "de")
@@ -200,6 +202,16 @@ def test_language_of_odd_texts(spark, none):
     assert {r.lang_pred for r in langid.predict(odd, None).collect()} == {"und"}
 
 
+def test_letters_that_are_no_language_score_low(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rng = np.random.default_rng(3)
+    words = lambda low, high: " ".join("".join(chr(c) for c in rng.integers(low, high, rng.integers(2, 9))) for _ in range(60))
+    odd = [(-1 - k, words(97, 123)) for k in range(20)]
+    made = langid.predict(docs.select("doc_id", "text").unionByName(spark.createDataFrame(odd, DDL)), langid.fit(docs))
+    scores = {r.doc_id: r.score for r in made.filter(F.length(F.regexp_replace("text", r"\P{L}+", "")) >= 64).collect()}
+    assert max(s for d, s in scores.items() if d < 0) < 0.3 and min(s for d, s in scores.items() if d >= 0) > 0.4
+
+
 def test_prediction_tables_equal_filters():
     rng = np.random.default_rng(2)
     model = langid.train(["abc def " * 40, "xyz üüü " * 40], ["a", "b"])
@@ -218,7 +230,17 @@ def test_gif_round_trip(docs):
     for i, text in DOCS:
         raw = (text or "").encode()
         assert got[i].payload == raw + b"\0" * (-len(raw) % 64 if raw else 64) and got[i].n_bytes == len(raw)
-        assert sum(sum(f.histogram) for f in got[i].frames) >= 3 * len(got[i].payload)
+        assert sum(sum(f.histogram) for f in got[i].frames) == 3 * len(got[i].payload)
+
+
+def test_gif_histograms_are_of_each_frame_alone(spark):
+    text = "ab" * 35_000
+    rows = spark.createDataFrame([(1, text, 7, "m", "f", "p", "q"), (2, None, 7, "m", "f", "p", "q")], "doc_id long, text string, n_bytes int, media string, frames string, payload string, _payload string")
+    got = {r.doc_id: r for r in gif.add_frames(gif.add_gif(rows)).collect()}
+    assert [sum(f.histogram) for f in got[1].frames] == [3 * 65_536, 3 * (70_016 - 65_536)]
+    assert got[1].frames[1].histogram[:8] == [16, 0, 0, 4464, 0, 0, 0, 0]  # 16 bytes of filling, then 0x61 and 0x62
+    assert got[1].n_bytes == 70_000 and got[2].n_bytes == 0 and got[1]._payload == "q" and got[1].payload[:70_000] == text.encode()
+    assert gif.add_frames(gif.add_gif(rows)).columns == ["doc_id", "text", "_payload", "n_bytes", "media", "payload", "frames"]
 
 
 @pytest.mark.parametrize("data", [b"\0" * 64, bytes(range(256)) * 500, np.random.default_rng(1).integers(0, 256, 64 * 3000, dtype=np.uint8).tobytes(), b"ab" * 90_016])
@@ -304,6 +326,17 @@ def test_chat_schema_without_string_values(spark):
         assert a == b is not None
 
 
+def test_chat_records_of_one_id_are_formatted_apart(spark):
+    talk = lambda x: [("user", f"q{x}"), ("assistant", f"a{x}" * (x + 1))]
+    rows = [(1, talk(0)), (1, talk(1)), (2, talk(2)), (2, talk(2)), (None, talk(3)), (3, []), (4, None)]
+    df = spark.createDataFrame(rows, "conv_id long, turns array<struct<role:string,text:string>>").withColumns({"_id": F.lit(9), "pos": F.lit(9), "_same": F.lit(1)})
+    out = chat.format_turns(df)
+    out = out.select("conv_id", chat.read_turns(F.col("formatted")).alias("turns"), chat.read_loss(F.col("formatted"), F.col("loss_spans")).alias("loss"))
+    got = sorted((repr(r.conv_id), [tuple(t) for t in r.turns], r.loss) for r in out.collect())
+    assert got == sorted((repr(i), t or [], "".join(x for role, x in t or [] if role == "assistant")) for i, t in rows)
+    assert chat.format_turns(df.filter("false")).count() == 0
+
+
 # ------------------------------------------------------------ 7
 
 
@@ -424,6 +457,25 @@ def test_near_duplicates_null_ids_and_empty(spark, none):
     assert jaccard.near_duplicates(none).count() == 0
 
 
+def test_near_duplicates_of_repeated_ids_and_rows(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(12)) for x in "abc")
+    rows = [(0, a), (1, a), (1, b), (1, c), (2, b), (3, c), (3, c), (4, ""), (4, "")]
+    df = spark.createDataFrame(rows, DDL).withColumns({x: F.lit("clash") for x in ("digest", "first", "doc", "class_id")})
+    got = sorted((r.doc_id, r.class_id, r.n_links, r.is_first) for r in jaccard.near_duplicates(df).collect())
+    assert [x[:3] for x in got] == [(0, 0, 1), (1, 0, 1), (1, 1, 1), (1, 1, 2), (2, 1, 1), (3, 1, 2), (3, 1, 2), (4, 4, 0), (4, 4, 0)]
+    kept = {(r.doc_id, r.digest) for r in jaccard.near_duplicates(df).filter("is_first").collect()}
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert kept == {(0, sha(a)), (1, sha(b)), (1, sha(c)), (4, sha(""))}
+
+
+def test_near_duplicates_count_repeated_near_rows_once_each(spark):
+    a = [f"w{i}" for i in range(60)]
+    near = " ".join([*a[:59], "other"])
+    rows = [(1, " ".join(a)), (1, " ".join(a)), (2, near), (2, near), (2, near)]
+    got = sorted((r.doc_id, r.class_id, r.n_links) for r in jaccard.near_duplicates(spark.createDataFrame(rows, DDL)).collect())
+    assert got == [(1, 1, 4), (1, 1, 4), (2, 1, 4), (2, 1, 4), (2, 1, 4)]
+
+
 def test_runs_grow_with_recall():
     assert jaccard.runs_for(0.9) < jaccard.runs_for(0.997) < jaccard.runs_for(0.9999)
 

@@ -1,9 +1,11 @@
 """The pipeline's stages against plain versions, and the entry module with and without the subpackage."""
 
 import sys
+from collections import Counter
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).parent))
 import brute  # noqa: E402
@@ -53,16 +55,55 @@ def test_language_stage_without_labels_keeps_texts_with_letters(spark):
     assert [r.doc_id for r in pipeline.language(spark, docs, DIR).collect()] == [1]
 
 
+def test_language_stage_drops_letters_that_are_no_language(spark):
+    """Of the labelled documents all stay; the network's score, not the letters, decides on the others."""
+    import random
+
+    rng = random.Random(5)
+    given = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select(*pipeline.COLUMNS)
+    noise = [(-1 - k, " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(80)), None, "s", 0) for k in range(10)]
+    got = {r.doc_id for r in pipeline.language(spark, given.unionByName(spark.createDataFrame(noise, SCHEMA)), DIR).collect()}
+    lettered = {r.doc_id for r in given.collect() if any(c.isalpha() for c in r.text or "")}
+    assert got == lettered
+
+
+def test_stages_on_repeated_ids_and_rows(spark, tmp_path):
+    """Rows are judged by id and text; the result of each stage has its rows' own columns."""
+    prose = lambda x, n=40: " ".join(f"{x}word{i}" for i in range(n))
+    passage = " ".join(f"bench{i}" for i in range(12))
+    spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows = [(0, prose("a")), (0, prose("a")), (1, prose("a")), (1, prose("b")), (None, prose("c")), (None, prose("c")), (2, prose("d") + " " + passage), (2, prose("e")), (3, None), (4, "")]
+    docs = table(spark, rows).withColumns({c: F.lit("clash") for c in ("_id", "_digest", "_hash", "score", "n_words", "text_hash")})
+    stages = dict(pipeline.STAGES)
+    told = lambda df: sorted((repr(r.doc_id), repr(r.text)) for r in df.collect())
+    show = lambda rows: sorted((repr(i), repr(t)) for i, t in rows)
+
+    near = stages["near_copies"](spark, docs, str(tmp_path))
+    assert told(near) == show([(0, prose("a")), (1, prose("b")), (None, prose("c")), *rows[6:]])
+    clean = stages["clean_of_benchmark"](spark, docs, str(tmp_path))
+    assert told(clean) == show([*rows[:6], *rows[7:]])
+    cut = stages["repeated_passages"](spark, docs, str(tmp_path))
+    assert told(cut) == show([*rows[:2], *rows[3:8]])
+    pieces = stages["packed"](spark, docs, str(tmp_path)).collect()
+    assert Counter(r.doc_id for r in pieces if r.start == 0) == Counter(i for i, _ in rows)
+    assert all(df.columns == list(pipeline.COLUMNS) for df in (near, clean, cut))
+
+
+def test_run_equals_the_stages_one_by_one(spark):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{DIR}/documents.parquet").collect()]
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{DIR}/benchmark.parquet").collect()]
+    lettered = [(i, t) for i, t in docs if any(c.isalpha() for c in t or "")]
+    classes = brute.classes(lettered)
+    cut = [(i, t) for i, (_, _, t) in brute.without_repeats([(i, t) for i, t in lettered if classes[i][0] == i]).items() if t]
+    hit = brute.decontaminated(cut, items)
+    check_packing(pipeline.run(spark, DIR).collect(), [(i, t) for i, t in cut if not hit[i][1]], 4096)
+
+
 @pytest.mark.parametrize("name", [n for n, _ in pipeline.STAGES])
 def test_stages_on_empty_tables(spark, name):
     assert dict(pipeline.STAGES)[name](spark, spark.createDataFrame([], SCHEMA), DIR).count() == 0
 
 
-def test_run(spark):
-    out = pipeline.run(spark, DIR)
-    assert out.count() > 0 and "sequence_id" in out.columns
-
-
 def test_entry_names_all_queries():
     import __spark_entry__ as entry
 
