@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pagemill.functions import lexicon as L
-from pagemill.functions.text import let
+from pagemill.functions.urls import let
 
 
 def all_matches(text: Column, pattern: str, group: int = 0) -> Column:
@@ -15,7 +17,7 @@ def all_matches(text: Column, pattern: str, group: int = 0) -> Column:
 
 def first_match(text: Column, pattern: str) -> Column:
     """First match, trimmed; null if there is none."""
-    return F.nullif(F.trim(F.regexp_extract(text, pattern, 0)), F.lit(""))
+    return let(F.trim(F.regexp_extract(text, pattern, 0)), lambda m: F.when(m != "", m))
 
 
 def distinct_matches(text: Column, pattern: str, most: int = 3) -> Column:
@@ -24,21 +26,31 @@ def distinct_matches(text: Column, pattern: str, most: int = 3) -> Column:
 
 def ielts(text: Column) -> Column:
     """First overall score, with the first band score of the whole text."""
-    overall, band = first_match(text, L.IELTS), first_match(text, L.IELTS_BAND)
-    last = F.element_at(F.split(band, r"\s+"), -1)
-    return F.when(band.isNotNull(), F.concat(overall, F.lit(", no band below "), last)).otherwise(overall)
+    with_band = lambda overall: let(first_match(text, L.IELTS_BAND), lambda band: F.concat(overall, F.coalesce(F.concat(F.lit(", no band below "), F.element_at(F.split(band, r"\s+"), -1)), F.lit(""))))
+    return F.when(_holds(text, "ielts"), let(first_match(text, L.IELTS), lambda overall: F.when(overall.isNotNull(), with_band(overall))))
 
 
 def toefl(text: Column) -> Column:
     """Scores of a band table if there is one, else the first mention."""
-    before, after = (F.trim(F.regexp_extract(text, L.TOEFL_TABLE, k)) for k in (1, 2))
     head = F.lit("TOEFL iBT: ")
-    return (
-        F.when((before != "") & (after != ""), F.concat(head, before, F.lit(" (before Jan 2026) or "), after, F.lit(" (after Jan 2026)")))
-        .when(before != "", F.concat(head, before))
-        .when(after != "", F.concat(head, after))
-        .otherwise(first_match(text, L.TOEFL))
-    )
+
+    def scores(before: Column, after: Column) -> Column:
+        return (
+            F.when((before != "") & (after != ""), F.concat(head, before, F.lit(" (before Jan 2026) or "), after, F.lit(" (after Jan 2026)")))
+            .when(before != "", F.concat(head, before))
+            .when(after != "", F.concat(head, after))
+        )
+
+    row = F.regexp_extract(text, L.TOEFL_TABLE, 0)
+    cells = lambda r: F.when(r != "", scores(*(F.trim(F.regexp_extract(r, L.TOEFL_TABLE, k)) for k in (1, 2))))
+    table = F.when(_holds(text, "band b"), let(row, cells))
+    return F.coalesce(table, F.when(_holds(text, "toefl"), first_match(text, L.TOEFL)))
+
+
+def _holds(text: Column, *words: str) -> Column:
+    """A cheap look for what every match of a pattern holds, before the pattern itself."""
+    low = F.lower(text)
+    return let(low, lambda x: reduce(lambda a, b: a | b, (x.contains(w) for w in words)))
 
 
 def fee_amounts(text: Column) -> Column:
@@ -55,7 +67,9 @@ def labelled_fee(text: Column, context: str) -> Column:
 
 
 def deadlines(text: Column, most: int = 3) -> Column:
-    dates = F.zip_with(all_matches(text, L.DEADLINE, 1), all_matches(text, L.DEADLINE, 2), lambda a, b: F.trim(F.when(a != "", a).otherwise(b)))
+    found = F.when(_holds(text, "deadline", "closing", "apply", "application"), all_matches(text, L.DEADLINE))
+    either = lambda a, b: F.trim(F.when(a != "", a).otherwise(b))
+    dates = F.transform(found, lambda m: either(F.regexp_extract(m, L.DEADLINE, 1), F.regexp_extract(m, L.DEADLINE, 2)))
     return F.slice(F.array_distinct(F.filter(dates, lambda d: d != "")), 1, most)
 
 
@@ -68,44 +82,49 @@ def hints(text: Column) -> Column:
     return F.struct(
         ielts(text).alias("ielts"),
         toefl(text).alias("toefl"),
-        first_match(text, L.PTE).alias("pte"),
-        first_match(text, L.DUOLINGO).alias("duolingo"),
+        F.when(_holds(text, "pte"), first_match(text, L.PTE)).alias("pte"),
+        F.when(_holds(text, "duolingo"), first_match(text, L.DUOLINGO)).alias("duolingo"),
         _some(fee_amounts(text)).alias("fee_amounts"),
         labelled_fee(text, L.DOMESTIC_CONTEXT).alias("domestic_fee"),
         labelled_fee(text, L.INTERNATIONAL_CONTEXT).alias("international_fee"),
         first_match(text, L.DURATION).alias("duration"),
-        F.coalesce(first_match(text, L.GPA), first_match(text, L.UK_GRADE)).alias("gpa"),
+        F.coalesce(F.when(_holds(text, "gpa", "grade"), first_match(text, L.GPA)), first_match(text, L.UK_GRADE)).alias("gpa"),
         _some(deadlines(text)).alias("deadlines"),
     )
 
 
-def section_text(text: Column, headers: Column, wanted: tuple[str, ...] = ("program", "course", "admission", "requirement"), width: int = 2000) -> Column:
+TELLING = ("program", "course", "admission", "requirement")
+
+
+def _windows(text: Column, headers: Column, width: int) -> Column:
+    """What stands from each header's first place on, joined by line ends."""
+    found = F.filter(headers, lambda h: text.contains(h))
+    return F.array_join(F.transform(found, lambda h: F.substring(text, F.position(h, text), F.lit(width))), "\n")
+
+
+def section_text(text: Column, headers: Column, wanted: tuple[str, ...] = TELLING, width: int = 2000) -> Column:
     """What stands after the headers: ``width`` characters from each one's first place, telling headers first."""
     telling = lambda h: F.lower(h).rlike("|".join(wanted))
-    order = F.concat(F.filter(headers, telling), F.filter(headers, lambda h: ~telling(h)))
-    windows = F.transform(F.filter(order, lambda h: text.contains(h)), lambda h: F.substring(text, F.position(h, text), F.lit(width)))
-    return F.array_join(windows, "\n")
+    return _windows(text, F.concat(F.filter(headers, telling), F.filter(headers, lambda h: ~telling(h))), width)
+
+
+def section_hints(text: Column, headers: Column, wanted: tuple[str, ...] = TELLING, width: int = 2000) -> Column:
+    """``hints`` of the windows after telling headers, gaps filled from those after the others; where both give nothing, of the whole text."""
+    telling = lambda h: F.lower(h).rlike("|".join(wanted))
+    groups = (F.filter(headers, telling), F.filter(headers, lambda h: ~telling(h)))
+    first, then = (let(_windows(text, g, width), lambda t: F.when(t != "", hints(t))) for g in groups)
+    names = list(L.HINT_LINES)
+    both = let(first, lambda a: let(then, lambda b: F.struct(*(F.coalesce(a[n], b[n]).alias(n) for n in names))))
+    empty = lambda x: F.coalesce(*(x[n].cast("string") for n in names)).isNull()
+    return F.when(F.size(headers) > 0, let(both, lambda x: F.when(empty(x), hints(text)).otherwise(x))).otherwise(hints(text))
 
 
 def hint_lines(h: Column) -> Column:
     """Findings as lines of text; empty without any."""
-    joined = lambda c, sep: F.array_join(c, sep)
-    lines = F.array(
-        F.concat(F.lit("  - IELTS score found: "), h["ielts"]),
-        F.concat(F.lit("  - TOEFL score found: "), h["toefl"]),
-        F.concat(F.lit("  - PTE score found: "), h["pte"]),
-        F.concat(F.lit("  - Duolingo score found: "), h["duolingo"]),
-        F.concat(F.lit("  - Fee amounts found: "), joined(h["fee_amounts"], ", ")),
-        F.concat(F.lit("  - Domestic/Home fee found: "), h["domestic_fee"]),
-        F.concat(F.lit("  - International fee found: "), h["international_fee"]),
-        F.concat(F.lit("  - Duration found: "), h["duration"]),
-        F.concat(F.lit("  - Grade/GPA found: "), h["gpa"]),
-        F.concat(F.lit("  - Deadlines found: "), joined(h["deadlines"], "; ")),
-    )
-    some = F.filter(lines, lambda x: x.isNotNull())
-    head = "REGEX PRE-EXTRACTION (values found in page text — use these as anchors):"
-    tail = "Use these as starting points. Extract full context from the text."
-    return F.when(F.size(some) == 0, "").otherwise(F.concat_ws("\n", F.lit(head), F.array_join(some, "\n"), F.lit(tail)))
+    separators = {"fee_amounts": ", ", "deadlines": "; "}
+    value = lambda n: F.array_join(h[n], separators[n]) if n in separators else h[n]
+    some = F.filter(F.array(*(F.concat(F.lit(label), value(n)) for n, label in L.HINT_LINES.items())), lambda x: x.isNotNull())
+    return let(some, lambda x: F.when(F.size(x) == 0, "").otherwise(F.concat_ws("\n", F.lit(L.HINT_HEAD), F.array_join(x, "\n"), F.lit(L.HINT_TAIL))))
 
 
 def currency(amounts: Column) -> Column:

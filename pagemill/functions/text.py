@@ -2,24 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pagemill.functions import lexicon as L
-from pagemill.functions.urls import first_type, url_type
+from pagemill.functions.urls import first_type, let, url_type
 
 #: Line ends: also form feed, separators and the Unicode ones.
 LINE_END = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]"
 SPACE = r"^[\s\x{85}\x{A0}]+|[\s\x{85}\x{A0}]+$"
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is worked out once, although the body may name it often."""
-    return F.get(F.transform(F.array(value), lambda x: body(x)), 0)
-
-
 def word_count(text: Column) -> Column:
     return F.size(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"\S+"), F.lit(0)))
 
@@ -47,7 +40,10 @@ def clean_lines(text: Column, boilerplate: str = L.BOILERPLATE, relevant: str =
     lines = F.transform(lines, lambda s: F.when(F.length(s) < 4, F.lit("")).otherwise(s))
     useful = lambda s: s.rlike(relevant)
     dropped = lambda s: (s != "") & (s.rlike(L.JUNK) | (~useful(s) & (s.rlike(boilerplate) | (s.rlike(navigation) & (F.length(s) < 50)))))
-    first = let(F.filter(lines, lambda s: ~dropped(s)), lambda kept: F.filter(kept, lambda s, i: (s == "") | useful(s) | (F.array_position(kept, s) == i + 1)))
+    kept = F.filter(lines, lambda s: ~dropped(s))
+    # lines that may repeat are told apart by their number, so that one pass over a hash set drops the other repeats
+    marked = F.transform(kept, lambda s, i: F.concat(F.when((s == "") | useful(s), i.cast("string")).otherwise(F.lit("")), F.lit("\x01"), s))
+    first = F.transform(F.array_distinct(marked), lambda x: F.substring(x, F.position(F.lit("\x01"), x) + 1, F.length(x)))
     calm = let(first, lambda f: F.filter(f, lambda s, i: (s != "") | (i == 0) | (F.get(f, F.greatest(i - 1, F.lit(0))) != "")))
     return strip(F.array_join(calm, "\n"))
 
@@ -70,8 +66,8 @@ def sections(text: Column, gap: str = "\n\n", names: dict[str, list[str]] = L.SE
 
 def focused_text(found: Column, other_chars: int = 2000) -> Column:
     """Sections that matter for admission, the most telling first."""
-    parts = F.array(found["admissions"], found["english"], found["fees"], found["scholarships"], F.substring(found["other"], 1, other_chars))
-    return F.array_join(F.filter(parts, lambda p: p != ""), "\n\n")
+    parts = lambda m: F.array(m["admissions"], m["english"], m["fees"], m["scholarships"], F.substring(m["other"], 1, other_chars))
+    return F.array_join(F.filter(let(found, parts), lambda p: p != ""), "\n\n")
 
 
 def paragraph_score(p: Column, high: str = L.HIGH_PRIORITY, medium: str = L.MEDIUM_PRIORITY) -> Column:
@@ -103,15 +99,28 @@ def truncate(text: Column, most: int = 12000, gap: str = "\n{2,}") -> Column:
 
 def content_votes(text: Column, types: dict[str, list[str]] = L.CONTENT_TYPES) -> Column:
     """Struct of the best type and its number of pattern hits; the first of equals."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    votes = [
-        F.struct(sum((F.regexp_count(low, F.lit(p)) for p in patterns), F.lit(0)).alias("votes"), F.lit(-k).alias("rank"), F.lit(name).alias("type"))
-        for k, (name, patterns) in enumerate(types.items())
-    ]
-    return F.array_max(F.array(*votes))
+    def vote(low: Column) -> Column:
+        votes = [
+            F.struct(sum((F.regexp_count(low, F.lit(p)) for p in patterns), F.lit(0)).alias("votes"), F.lit(-k).alias("rank"), F.lit(name).alias("type"))
+            for k, (name, patterns) in enumerate(types.items())
+        ]
+        return F.array_max(F.array(*votes))
+
+    return let(F.lower(F.coalesce(text, F.lit(""))), vote)
 
 
 def page_type(url: Column, text: Column) -> Column:
     """Type by URL; where that says nothing, by content; else ``other``."""
-    by_url, best = url_type(url), content_votes(text)
-    return F.when(by_url != "other", by_url).when(best["votes"] > 0, best["type"]).otherwise("other")
+    by_content = let(content_votes(text), lambda best: F.when(best["votes"] > 0, best["type"]).otherwise("other"))
+    return let(url_type(url), lambda by_url: F.when(by_url != "other", by_url).otherwise(by_content))
+
+
+def looks_like_html(text: Column) -> Column:
+    """Whether a text holds a tag; null holds none."""
+    return F.coalesce(text.rlike("<[a-zA-Z][^>]{0,100}>"), F.lit(False))
+
+
+def combine(rows: Column) -> Column:
+    """One text of an array of structs ``(order, label, text)``: blank texts are left out, the others stand in order under their labels."""
+    some = F.filter(F.array_sort(rows), lambda x: strip(x["text"]) != "")
+    return F.array_join(F.transform(some, lambda x: F.concat(F.lit("=== SOURCE: "), F.upper(x["label"]), F.lit(" ===\n"), strip(x["text"]))), "\n\n")

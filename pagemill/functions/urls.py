@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -47,26 +49,47 @@ def _without_dots(path: Column) -> Column:
     return F.array_join(parts, "/")
 
 
-def normalize_url(url: Column, base: Column) -> Column:
-    """Absolute URL without query, fragment and trailing slash (a bare domain keeps its own); null for what is no page link."""
-    link = F.trim(url)
-    low = F.lower(link)
-    scheme = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1)
-    origin = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, although the body may name it often."""
+    return F.get(F.transform(F.array(value), lambda x: body(x)), 0)
+
+
+def base_parts(base: Column) -> Column:
+    """What relative links need of a page's address: struct of ``scheme``, ``origin`` and ``folder``."""
     folder = F.regexp_extract(F.regexp_replace(base, r"[?#].*$", ""), r"^[A-Za-z][A-Za-z0-9+.-]*://[^/]*(/.*/|/)?", 1)
-    folder = F.when(folder == "", F.lit("/")).otherwise(folder)
-    bare = F.regexp_replace(link, r"[?#].*$", "")
-    full = (
-        F.when(low.startswith("http://") | low.startswith("https://"), link)
-        .when(low.startswith("//"), F.concat(F.when(scheme == "", F.lit("https")).otherwise(scheme), F.lit(":"), link))
-        .when(low.startswith("/"), F.concat(origin, link))
-        .otherwise(F.concat(origin, _without_dots(F.concat(folder, bare))))
+    return F.struct(
+        F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1).alias("scheme"),
+        F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1).alias("origin"),
+        let(folder, lambda f: F.when(f == "", F.lit("/")).otherwise(f)).alias("folder"),
     )
-    cut = F.regexp_replace(full, r"[?#].*$", "")
-    path = F.regexp_extract(cut, r"^[A-Za-z]+://[^/]*(.*)$", 1)
-    cut = F.when(path.isin("", "/"), cut).otherwise(F.regexp_replace(cut, "/+$", ""))
-    skip = link.isNull() | (link == "") | low.rlike("^(mailto:|tel:|javascript:|data:|#)")
-    return F.when(~skip & (cut != ""), cut)
+
+
+def absolute_url(link: Column, base: Column) -> Column:
+    """As ``normalize_url``, with the ``base_parts`` of the page."""
+
+    def absolute(link: Column, low: Column) -> Column:
+        return (
+            F.when(low.startswith("http://") | low.startswith("https://"), link)
+            .when(low.startswith("//"), F.concat(F.when(base["scheme"] == "", F.lit("https")).otherwise(base["scheme"]), F.lit(":"), link))
+            .when(low.startswith("/"), F.concat(base["origin"], link))
+            .otherwise(F.concat(base["origin"], _without_dots(F.concat(base["folder"], F.regexp_replace(link, r"[?#].*$", "")))))
+        )
+
+    def cut(full: Column) -> Column:
+        path = F.regexp_extract(full, r"^[A-Za-z]+://[^/]*(.*)$", 1)
+        return F.when(path.isin("", "/"), full).otherwise(F.regexp_replace(full, "/+$", ""))
+
+    def page(link: Column) -> Column:
+        skip = link.isNull() | (link == "") | link.rlike("(?i)^(mailto:|tel:|javascript:|data:|#)")
+        full = let(F.lower(link), lambda low: F.regexp_replace(absolute(link, low), r"[?#].*$", ""))
+        return F.when(~skip, let(full, lambda f: F.nullif(cut(f), F.lit(""))))
+
+    return let(F.trim(link), page)
+
+
+def normalize_url(url: Column, base: Column) -> Column:
+    """Absolute URL without query, fragment and trailing slash (a bare domain keeps its own); null for what is no page link."""
+    return let(base_parts(base), lambda parts: absolute_url(url, parts))
 
 
 def link_key(url: Column) -> Column:
@@ -77,10 +100,13 @@ def link_key(url: Column) -> Column:
 def link_score(url: Column, text: Column, weights: dict[str, int] | None = None) -> Column:
     """Sum of the weights of the keywords found in URL or link text, one more for two strong ones, 0 at least."""
     weights = weights or (L.LINK_HIGH | L.LINK_LANGUAGE | L.LINK_POSITIVE | L.LINK_NEGATIVE)
-    both = F.lower(F.concat(url, F.lit(" "), F.coalesce(text, F.lit(""))))
-    total = sum((F.when(both.contains(k), w).otherwise(0) for k, w in weights.items()), F.lit(0))
-    strong = sum((both.contains(k).cast("int") for k in (L.LINK_HIGH | L.LINK_LANGUAGE)), F.lit(0))
-    return F.greatest(total + (strong >= 2).cast("int"), F.lit(0))
+
+    def score(both: Column) -> Column:
+        total = sum((F.when(both.contains(k), w).otherwise(0) for k, w in weights.items()), F.lit(0))
+        strong = sum((both.contains(k).cast("int") for k in (L.LINK_HIGH | L.LINK_LANGUAGE)), F.lit(0))
+        return F.greatest(total + (strong >= 2).cast("int"), F.lit(0))
+
+    return let(F.lower(F.concat(url, F.lit(" "), F.coalesce(text, F.lit("")))), score)
 
 
 def candidate_urls(base: Column, types: Column, most: int = L.CANDIDATES) -> Column:

@@ -24,6 +24,26 @@ def history_page(records: DataFrame, search: str | None = None, status: str | No
     return found.offset((page - 1) * limit).limit(limit).select("scrape", "university_name", "program_name", "status", "created_at")
 
 
+SUMMARY = ("scrape", "university_name", "program_name", "status", "created_at", "url_requested")
+
+
+def summary_page(records: DataFrame, search: str | None = None, status: str | None = None, page: int = 1, limit: int = 20) -> DataFrame:
+    """A page of the list with ``source_count``, the number of source addresses (none where the list is null), in place of the list itself."""
+    if not (page >= 1 and 1 <= limit <= 100):
+        raise ValueError("page from 1 on, limit from 1 to 100")
+    found = records.filter(search_filter(search, status)).orderBy(F.desc("created_at"), "scrape").offset((page - 1) * limit).limit(limit)
+    return found.select(*SUMMARY, F.coalesce(F.size("source_urls"), F.lit(0)).cast("long").alias("source_count"))
+
+
+def containing(records: DataFrame, words: str, columns: tuple[str, ...] = ("university_name", "program_name")) -> DataFrame:
+    """Records that have the words, in any case, in one of the columns; a search for nothing finds all."""
+    low = words.strip().lower()
+    hit = F.lit(not low)
+    for c in columns:
+        hit |= F.coalesce(F.lower(c).contains(low), F.lit(False))
+    return records.filter(hit)
+
+
 def history_count(records: DataFrame, search: str | None = None, status: str | None = None, limit: int = 20) -> DataFrame:
     """Matching rows and the number of pages, one at least."""
     total = records.filter(search_filter(search, status)).agg(F.count("*").alias("total"))
@@ -48,7 +68,21 @@ def batch_tally(jobs: DataFrame, results: DataFrame) -> DataFrame:
         *(count(F.col("status") == s, s) for s in ("success", "partial", "failed")),
         count(F.col("status") == "pending", "missing"),
     )
-    return out.withColumns({"completed": F.col("total") - F.col("processing") - F.col("missing"), "job_status": F.when(F.col("processing") == 0, "complete").otherwise("processing")})
+    completed = F.col("total") - F.col("processing") - F.col("missing")
+    return out.withColumns({"completed": completed, "job_status": F.when(F.col("processing") == 0, "complete").otherwise("processing")})
+
+
+def batch_progress(tally: DataFrame) -> DataFrame:
+    """Add ``percent``: of a job's scrapes, those that are done, rounded half up; 0 for a job without any."""
+    share = F.when(F.col("total") > 0, F.round(100 * (F.col("success") + F.col("partial") + F.col("failed")) / F.col("total"))).otherwise(0)
+    return tally.withColumn("percent", share.cast("long"))
+
+
+def batch_export(jobs: DataFrame, results: DataFrame) -> DataFrame:
+    """The six columns of a job's table: address, names, status (``pending`` without a result), seconds and error, null as empty text."""
+    rows = batch_rows(jobs, results)
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
+    return rows.select("batch", "scrape", *(text(c) for c in ("url_requested", "university_name", "program_name", "status", "elapsed_seconds", "error")))
 
 
 def field_rows(records: DataFrame, key: str, fields: list[str]) -> DataFrame:
@@ -61,6 +95,22 @@ def delete(records: DataFrame, gone: DataFrame, key: str) -> DataFrame:
     return records.join(gone.select(key).distinct(), key, "left_anti")
 
 
+def delete_where(records: DataFrame, url: str | None = None, pattern: str | None = None, column: str = "url_requested") -> DataFrame:
+    """Records left after all of one address, or all whose address matches a pattern, are deleted; a null address matches nothing."""
+    if (url is None) == (pattern is None):
+        raise ValueError("either url or pattern")
+    hit = F.col(column) == url if url is not None else F.col(column).rlike(pattern)
+    return records.filter(~F.coalesce(hit, F.lit(False)))
+
+
+def averages(records: DataFrame) -> DataFrame:
+    """``runs``, ``good`` (success or partial) and its ``percent`` of all, and the mean seconds and pages of those that did not fail."""
+    good, done = F.col("status").isin("success", "partial"), F.when(F.col("status") != "failed", F.lit(1))
+    mean = lambda c: F.round(F.avg(F.when(done.isNotNull(), F.col(c))), 2)
+    out = records.agg(F.count("*").alias("runs"), F.count_if(good).alias("good"), mean("elapsed_seconds").alias("mean_seconds"), mean("pages_fetched").alias("mean_pages"))
+    return out.withColumn("percent", F.round(100 * F.col("good") / F.col("runs"), 2))
+
+
 def latest(versions: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """The newest version of each key; versions are reduced before the shuffle."""
     rest = [c for c in versions.columns if c not in key]
@@ -84,3 +134,22 @@ def rate_window(calls: DataFrame, key: str, ts: str, order: str, seconds: int =
 def stagger(rows: DataFrame, key: str, order: str, seconds: int = 25) -> DataFrame:
     """``delay_s``: every further row of a job starts so many seconds later."""
     return rows.withColumn("delay_s", (F.row_number().over(Window.partitionBy(key).orderBy(order)) - 1) * seconds)
+
+
+def call_waits(calls: DataFrame, key: str, ts: str, order: str, seconds: int = 60, most: int = 3, gap: float = 20, cooldown: float = 10) -> DataFrame:
+    """What each call has to wait for, in seconds: ``window_wait`` until the oldest of at least ``most`` calls in the last ``seconds``
+    leaves them, ``gap_wait`` until ``gap`` seconds after the call before, ``cooldown_wait`` until ``cooldown`` after it if it
+    was good (boolean column ``good``), and ``wait``, the longest. Calls of one instant stand by ``order``. Measured at the times given,
+    as if no call had waited."""
+    micros = F.unix_micros(F.col(ts).cast("timestamp"))
+    calls = calls.withColumn("_us", micros)
+    last = Window.partitionBy(key).orderBy("_us", order)
+    window = Window.partitionBy(key).orderBy("_us").rangeBetween(-seconds * 1_000_000, -1)
+    left = lambda since, n: F.greatest(F.lit(0.0), F.coalesce((since + int(n * 1_000_000) - F.col("_us")) / 1_000_000, F.lit(0.0)))
+    rows = calls.withColumns({"_n": F.count("*").over(window), "_oldest": F.min("_us").over(window), "_last": F.lag("_us").over(last), "_good": F.lag("good").over(last)})
+    rows = rows.withColumns({
+        "window_wait": F.when(F.col("_n") >= most, left(F.col("_oldest"), seconds)).otherwise(0.0),
+        "gap_wait": left(F.col("_last"), gap),
+        "cooldown_wait": F.when(F.col("_good"), left(F.col("_last"), cooldown)).otherwise(0.0),
+    })
+    return rows.withColumn("wait", F.greatest("window_wait", "gap_wait", "cooldown_wait")).drop("_us", "_n", "_oldest", "_last", "_good")

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagemill.functions import lexicon as L
-from pagemill.functions.text import word_count
-from pagemill.functions.urls import is_pdf, link_key, link_score, normalize_url, same_domain
+from pagemill.functions.text import page_type, word_count
+from pagemill.functions.urls import absolute_url, base_parts, host, is_pdf, let, link_key, link_score
 
 ANCHOR = r'(?is)<a\s[^>]*href="([^"]*)"[^>]*>(.*?)</a>'
 
@@ -42,17 +42,27 @@ def first_copies(rows: DataFrame, text: str, order: str, within: list[str]) -> D
 
 
 def page_links(pages: DataFrame, url: str = "url", html: str = "html", key: str = "page_id") -> DataFrame:
-    """Links of each page: ``key, pos, target, link_text`` within the same site, no PDFs, not to itself, each target once (its first place)."""
-    found = pages.select(
-        key,
-        F.col(url).alias("base"),
-        F.posexplode(F.arrays_zip(F.regexp_extract_all(html, F.lit(ANCHOR), F.lit(1)).alias("href"), F.regexp_extract_all(html, F.lit(ANCHOR), F.lit(2)).alias("text"))).alias("pos", "a"),
-    )
-    links = found.select(key, "base", "pos", normalize_url(F.col("a.href"), F.col("base")).alias("target"), F.trim(F.regexp_replace("a.text", "<[^>]*>", "")).alias("link_text"))
-    links = links.filter(F.col("target").isNotNull() & ~F.col("target").contains("#") & same_domain(F.col("target"), F.col("base")) & ~is_pdf(F.col("target")))
-    links = links.filter(link_key(F.col("target")) != link_key(F.col("base"))).withColumn("_key", link_key(F.col("target")))
-    first = F.row_number().over(Window.partitionBy(key, "_key").orderBy("pos"))
-    return links.withColumn("_n", first).filter("_n = 1").select(key, "base", "pos", "target", "link_text")
+    """Links of each page: ``key, base, pos, target, link_text`` within the same site, no PDFs, not to itself, each target once (its first place).
+
+    All of it is worked out inside the page's own array of anchors, before links become rows, so nothing is shuffled.
+    """
+
+    def link(anchor: Column, pos: Column, base: Column) -> Column:
+        text = F.trim(F.regexp_replace(F.regexp_extract(anchor, ANCHOR, 2), "<[^>]*>", ""))
+        return let(
+            absolute_url(F.regexp_extract(anchor, ANCHOR, 1), base["parts"]),
+            lambda t: F.struct(pos.alias("pos"), t.alias("target"), text.alias("link_text"), link_key(t).alias("key"), (host(t) == base["host"]).alias("near"), is_pdf(t).alias("pdf")),
+        )
+
+    def links(base: Column) -> Column:
+        found = F.transform(F.regexp_extract_all(html, F.lit(ANCHOR), F.lit(0)), lambda a, i: link(a, i, base))
+        good = F.filter(found, lambda x: x["target"].isNotNull() & ~x["target"].contains("#") & x["near"] & ~x["pdf"] & (x["key"] != base["key"]))
+        first = lambda g, keys: F.transform(F.array_distinct(keys), lambda k: F.get(g, (F.array_position(keys, k) - 1).cast("int")))
+        return let(good, lambda g: let(F.transform(g, lambda x: x["key"]), lambda keys: first(g, keys)))
+
+    base = F.struct(base_parts(F.col(url)).alias("parts"), host(F.col(url)).alias("host"), link_key(F.col(url)).alias("key"))
+    rows = pages.select(key, F.col(url).alias("base"), F.explode(let(base, links)).alias("a"))
+    return rows.select(key, "base", "a.pos", "a.target", "a.link_text")
 
 
 def top_links(links: DataFrame, key: str = "page_id", most: int = L.MAX_SUBPAGES) -> DataFrame:
@@ -62,8 +72,56 @@ def top_links(links: DataFrame, key: str = "page_id", most: int = L.MAX_SUBPAGES
     return scored.withColumn("rank", rank).filter(F.col("rank") <= most)
 
 
-def best_fetch(fetches: DataFrame, url: str = "url", words: int = 200) -> DataFrame:
-    """One fetch per URL: good ones (status under 400, enough words) first, then by tier; blocked pages keep their row."""
+def best_fetch(fetches: DataFrame, url: str = "url", order: str | None = None, words: int = 200) -> DataFrame:
+    """One fetch per URL: a blocked one of the first kind that was tried if there is any, as that ends the attempts; else good ones
+    (status under 400, enough words) first, then by tier, then by ``order``. Fetches are reduced before the shuffle.
+
+    ``fetches`` has ``tier``, ``status_code`` and ``word_count``, and may have ``blocked``.
+    """
+    stopped = F.coalesce(F.col("blocked"), F.lit(False)) & (F.col("tier") == 1) if "blocked" in fetches.columns else F.lit(False)
     good = (F.col("status_code") < 400) & (F.col("word_count") >= words)
-    order = Window.partitionBy(url).orderBy(F.desc(good.cast("int")), "tier")
-    return fetches.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n")
+    rest = [c for c in fetches.columns if c != url]
+    rank = [(~stopped).alias("a"), (~good).alias("b"), F.col("tier").alias("c"), *([F.col(order).alias("d")] if order else [])]
+    best = fetches.groupBy(url).agg(F.min_by(F.struct(*rest), F.struct(*rank)).alias("_f"))
+    return best.select(url, "_f.*")
+
+
+def page_label(url: Column, page_type: Column, main: Column) -> Column:
+    """What a page is called in a context: MAIN PAGE, else its last path segment and type in upper case."""
+    parts = F.split(url, "/")
+    name = F.coalesce(F.nullif(F.try_element_at(parts, F.lit(-1)), F.lit("")), F.nullif(F.try_element_at(parts, F.lit(-2)), F.lit("")), url)
+    return F.when(main, "MAIN PAGE").otherwise(F.upper(F.concat(name, F.lit(" ("), page_type, F.lit(")"))))
+
+
+def label_pages(pages: DataFrame, within: str, page_id: str = "page_id") -> DataFrame:
+    """Add ``label``; the first page of each group is the main one. A given ``page_type`` is kept, an absent one found."""
+    first = pages.groupBy(within).agg(F.min(page_id).alias("_first"))
+    found = page_type(F.col("url"), F.col("content"))
+    kind = F.coalesce(F.nullif(F.col("page_type"), F.lit("")), found) if "page_type" in pages.columns else found
+    return pages.join(first, within).withColumn("label", page_label(F.col("url"), kind, F.col(page_id) == F.col("_first"))).drop("_first")
+
+
+def markdown_of(raw: Column, fit: Column, text: Column) -> Column:
+    """The first of a crawler's texts that is not empty: raw markdown, fitted markdown, plain text; null without any."""
+    return F.coalesce(*(F.nullif(x, F.lit("")) for x in (raw, fit, text)))
+
+
+def link_sources(pages: DataFrame, key: str = "page_id", suffixes: list[str] = L.KNOWN_SUFFIXES, site_paths: list[str] = L.SITE_PATHS) -> DataFrame:
+    """``key, source, link``: absolute links of a page by where they come from, each once: anchors of ``html``, markdown links and bare
+    addresses of ``content``, and addresses made from the page's own. Null texts have none."""
+    site = F.regexp_extract("url", "^[A-Za-z]+://([^/?#]*)", 1)
+    path = F.regexp_replace(F.regexp_extract("url", "^[A-Za-z]+://[^/?#]*([^?#]*)", 1), "/+$", "")
+    parts = base_parts(F.col("url"))
+    none = F.array().cast("array<string>")
+    sources = {
+        "html": let(parts, lambda p: F.transform(F.regexp_extract_all("html", F.lit(ANCHOR), F.lit(1)), lambda a: absolute_url(a, p))),
+        "markdown": F.regexp_extract_all("content", F.lit(r"\[[^\]]*\]\((https?://[^\)]+)\)"), F.lit(1)),
+        "bare": F.transform(F.regexp_extract_all("content", F.lit(r"(?<!\()https?://[^\s\)>]+"), F.lit(0)), lambda u: F.regexp_replace(u, r"[.,)]+$", "")),
+        "made": F.array(*(F.concat(F.lit("https://"), site, path, F.lit(x)) for x in suffixes), *(F.concat(F.lit("https://"), site, F.lit(x)) for x in site_paths)),
+    }
+
+    def named(name: str, found: Column) -> Column:
+        return F.transform(F.filter(F.coalesce(found, none), lambda u: u.isNotNull()), lambda u: F.struct(F.lit(name).alias("source"), u.alias("link")))
+
+    found = [named(n, v) for n, v in sources.items()]
+    return pages.select(key, F.explode(F.array_distinct(F.concat(*found))).alias("l")).select(key, "l.source", "l.link")

@@ -86,3 +86,44 @@ def export_rows(records: DataFrame) -> DataFrame:
     special |= {f"english_{k}": c(f"english_requirements.{k}") for k in ("ielts", "toefl", "pte", "duolingo", "notes")}
     special |= {f"tuition_{k}": c(f"tuition_fees.{k}") for k in ("international", "domestic", "currency", "notes")}
     return records.select(*(F.coalesce(special.get(n, c(n)).cast("string"), F.lit("")).alias(n) for n in L.EXPORT_COLUMNS))
+
+
+#: Results that an export of all gives at most.
+EXPORT_LIMIT = 10_000
+
+
+def selected_results(records: DataFrame, ids: DataFrame | None = None, every: bool = False, key: str = "scrape", limit: int = EXPORT_LIMIT) -> DataFrame:
+    """The records to export: those whose ``key`` is in ``ids``, or the first ``limit`` of all by key.
+
+    Neither is an error, and so is an export without records, which is found here by asking for one row.
+    """
+    if not every and ids is None:
+        raise ValueError("give ids, or every=True")
+    found = records.orderBy(key).limit(limit) if every else records.join(ids.select(key).distinct(), key, "left_semi")
+    if found.isEmpty():
+        raise LookupError("no record to export")
+    return found
+
+
+def json_rows(records: DataFrame, key: str = "scrape") -> DataFrame:
+    """``key, json``: each record as one JSON text, null fields included."""
+    return records.select(key, F.to_json(F.struct(*records.columns), {"ignoreNullFields": "false"}).alias("json"))
+
+
+def coverage_mark(percent: Column) -> Column:
+    """``good`` from 75 percent on, ``fair`` from 50, else ``poor``."""
+    return F.when(percent >= 75, "good").when(percent >= 50, "fair").otherwise("poor")
+
+
+def zipped(rows: DataFrame, key: str, left: str, right: str) -> DataFrame:
+    """``key, pos, left, right``: the values of two arrays by place, as far as both reach; null arrays have none."""
+    pairs = F.arrays_zip(F.col(left).alias("l"), F.col(right).alias("r"))
+    both = F.least(F.size(left), F.size(right))
+    return rows.select(key, F.posexplode(F.slice(pairs, F.lit(1), F.greatest(F.coalesce(both, F.lit(0)), F.lit(0)))).alias("pos", "p")).select(key, F.col("pos").cast("long").alias("pos"), F.col("p.l").alias(left), F.col("p.r").alias(right))
+
+
+def field_counts(simple: tuple[str, ...], parts: dict[str, tuple[str, ...]]) -> dict[str, Column]:
+    """``simple_fields``: fields with a value; ``total_fields``: those and the groups of parts of which some has one."""
+    found = sum((F.col(n).isNotNull().cast("int") for n in simple), F.lit(0))
+    grouped = sum((F.coalesce(*names).isNotNull().cast("int") for names in parts.values()), F.lit(0))
+    return {"simple_fields": found, "total_fields": found + grouped}

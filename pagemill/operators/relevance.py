@@ -42,11 +42,14 @@ def score_pages(pages: DataFrame, groups: list[str] = L.GROUPS) -> DataFrame:
     return pages.withColumn("_s", F.explode(scores)).select(*pages.columns, "_s.field_group", "_s.score")
 
 
-def pack_contexts(scored: DataFrame, within: str, budgets: dict[str, int] = L.GROUP_BUDGETS, threshold: int = L.RELEVANCE_THRESHOLD) -> DataFrame:
+def pack_contexts(scored: DataFrame, within: str, contents: DataFrame | None = None, budgets: dict[str, int] = L.GROUP_BUDGETS, threshold: int = L.RELEVANCE_THRESHOLD) -> DataFrame:
     """The best pages of each (``within``, field group) up to the group's characters: ``context``, ``pages``.
 
     Pages come by score, then ``pos``. The first that does not fit is cut if over 500 characters remain
     for it, and ends the context; so does a remainder of 500 or less.
+
+    Places are found on rows without contents; these come in for the pages kept, from ``contents`` (``within, pos, content``;
+    by default from ``scored`` itself).
     """
     keys = [within, "field_group"]
     header = F.concat(F.lit("\n--- "), F.upper("page_type"), F.lit(" (score:"), F.col("score").cast("string"), F.lit(") | "), F.col("url"), F.lit(" ---\n"))
@@ -54,18 +57,22 @@ def pack_contexts(scored: DataFrame, within: str, budgets: dict[str, int] = L.GR
     for g, n in budgets.items():
         budget = F.when(F.col("field_group") == g, n).otherwise(budget)
     order = Window.partitionBy(*keys).orderBy(F.desc("score"), "pos")
-    rows = scored.filter(F.col("score") >= threshold).select(*keys, "score", "pos", header.alias("head"), F.coalesce("content", F.lit("")).alias("content"), budget.alias("budget"))
-    rows = rows.withColumn("size", F.length("head") + F.length("content"))
-    rows = rows.withColumn("before", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1))).fillna(0, ["before"])
+    if contents is None:
+        contents = scored.select(within, "pos", "content").dropDuplicates([within, "pos"])
+    rows = scored.filter(F.col("score") >= threshold)
+    rows = rows.select(*keys, "score", "pos", header.alias("_header"), F.coalesce(F.length("content"), F.lit(0)).alias("_length"), budget.alias("_budget"))
+    size = F.length("_header") + F.col("_length")
+    rows = rows.withColumn("_before", F.sum(size).over(order.rowsBetween(Window.unboundedPreceding, -1))).fillna(0, ["_before"])
     # pages before the first one that does not fit, and that one
-    free = F.col("budget") - F.col("before")
-    fits = F.col("size") <= free
+    free = F.col("_budget") - F.col("_before")
+    fits = size <= free
     rows = rows.withColumn("_misfit", F.sum((~fits).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, -1))).fillna(0, ["_misfit"])
-    rows = rows.filter((F.col("_misfit") == 0) & (free > 500))
-    keep = free - F.length("head") - 30
-    part = F.when(fits, F.concat("head", "content")).when(keep > 500, F.concat(F.col("head"), F.substring(F.col("content"), F.lit(1), keep.cast("int")), F.lit("\n...[truncated]")))
-    rows = rows.withColumn("part", part).filter(F.col("part").isNotNull())
-    packed = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "pos", "part"))).alias("p"))
+    room = free - F.length("_header") - 30
+    rows = rows.filter((F.col("_misfit") == 0) & (free > 500) & (fits | (room > 500))).select(*keys, "score", "pos", "_header", F.when(~fits, room.cast("int")).alias("_room"))
+    content = F.coalesce("content", F.lit(""))
+    part = F.when(F.col("_room").isNull(), F.concat("_header", content)).otherwise(F.concat(F.col("_header"), F.substring(content, F.lit(1), F.col("_room")), F.lit("\n...[truncated]")))
+    parts = rows.join(contents.select(within, "pos", "content"), [within, "pos"])
+    packed = parts.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "pos", part.alias("part")))).alias("p"))
     return packed.select(*keys, F.array_join(F.transform("p", lambda x: x["part"]), "\n").alias("context"), F.size("p").alias("pages"))
 
 
@@ -80,7 +87,15 @@ def score_histogram(scored: DataFrame, steps: tuple[int, ...] = (200, 150, 100,
     return scored.groupBy("field_group").agg(*(F.count_if(F.col("score") >= s).alias(f"at_least_{s}") for s in steps))
 
 
-def field_sources(record: dict[str, Column], sources: Column) -> Column:
-    """Map from each field that has a value to the best page of its group (``sources`` maps groups to URLs)."""
-    entries = [F.when(value.isNotNull(), F.struct(F.lit(name).alias("k"), sources[L.FIELD_GROUP[name]].alias("v"))) for name, value in record.items()]
+def field_sources(record: dict[str, Column], sources: Column, default: Column | None = None, nested: dict[str, list[str]] | None = None) -> Column:
+    """Map from each field that has a value, and each sub-field of ``nested`` ones, to the best page of its group.
+
+    ``sources`` maps groups to URLs; a group without one gets ``default``, the address the scrape ended at.
+    """
+    of = lambda name: F.coalesce(F.try_element_at(sources, F.lit(L.FIELD_GROUP[name])), default if default is not None else F.lit(None))
+    entry = lambda name, value, group: F.when(value.isNotNull(), F.struct(F.lit(name).alias("k"), of(group).alias("v")))
+    entries = []
+    for name, value in record.items():
+        entries.append(entry(name, value, name))
+        entries += [F.when(value.isNotNull(), entry(f"{name}.{sub}", value[sub], name)) for sub in (nested or {}).get(name, [])]
     return F.map_from_entries(F.filter(F.array(*entries), lambda e: e.isNotNull()))

@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pagemill.functions import extract, text
-from pagemill.operators import frontier
+from pagemill.operators import frontier, records
 from pagemill.plans import derived
 from pagemill.plans.oracle import PAGES, PROGRAMS, RECORDS, key, q
 
 #: Paths that links of the derived pages are tried with.
 TRIED = ["/fees", "/english/ielts", "/news/tuition", "/2024/course/C1", "/Semester/x", "/apply?x=1", "/how-to-apply", "/modules#m", "/tuition-and-fees/a", "/2024/program/X/y", "/2026/program/X"]
 START = "/2026/program/X"
+#: Addresses beside a page that its scrape has seen, by page.
+SEEN = ["/fees/", "/Overview", "/admissions/", "/visa", "/funding/"]
 
 
 def _links(spark, d):
@@ -60,8 +62,10 @@ def tier_waterfall(spark, d):
 
 def rescan_candidates(spark, d):
     pages = derived.pages(spark, d)
-    made = pages.filter("page_id % 7 = 0").select("scrape", F.explode(frontier.subpages(F.regexp_replace("url", "/[^/]*$", ""))).alias("url"))
-    seen = pages.withColumn("url", F.upper(F.concat(F.regexp_replace(F.regexp_replace("url", "^http:", "https:"), "/[^/]*$", ""), F.lit("/fees/"))))
+    made = pages.select("scrape", F.explode(frontier.subpages(F.regexp_replace("url", "/[^/]*$", ""))).alias("url"))
+    # each page's scrape has seen one address beside it
+    name = F.element_at(F.array(*map(F.lit, SEEN)), (F.col("page_id") % len(SEEN) + 1).cast("int"))
+    seen = pages.withColumn("url", F.upper(F.concat(F.regexp_replace(F.regexp_replace("url", "^http:", "https:"), "/[^/]*$", ""), name)))
     return frontier.new_candidates(made, seen, "scrape").select("scrape", "url")
 
 
@@ -72,15 +76,16 @@ def found_fields(spark, d):
 
 def field_metrics(spark, d):
     r = derived.records(spark, d)
-    simple = ("university_name", "program_name", "degree_level", "program_duration", "application_deadlines", "min_academic_requirement", "accepted_qualifications")
-    found = lambda names: sum((F.col(n).isNotNull().cast("long") for n in names), F.lit(0))
-    some = lambda *n: F.coalesce(*n).isNotNull().cast("long")
-    return r.select("scrape", found(simple).alias("simple_fields"), (found(simple) + some("ielts", "toefl") + some("domestic", "international")).alias("total_fields"))
+    return r.select("scrape", *(v.cast("long").alias(n) for n, v in records.field_counts(SIMPLE, {"english": ("ielts", "toefl"), "fees": ("domestic", "international")}).items()))
+
+
+#: Fields of a record without parts.
+SIMPLE = ("university_name", "program_name", "degree_level", "program_duration", "application_deadlines", "min_academic_requirement", "accepted_qualifications")
 
 
 def section_hints(spark, d):
     headers = F.array(F.lit("Duration:"), F.lit("Admission requirements"), F.lit("Cost of study"), F.lit("The programme duration"))
-    part = extract.section_text(F.col("text"), headers, width=120)
+    part = extract.section_text(F.col("text"), headers)
     return derived.programs(spark, d).select("k", F.md5(part).alias("part_md5"), F.length(part).cast("long").alias("n_chars"))
 
 
@@ -136,14 +141,14 @@ SELECT page_id, pos, score::BIGINT AS score FROM s WHERE score > 0""",
 SELECT *, n >= 5 AND fees AND english AND entry AS stop FROM f""",
     "tier_waterfall": f"""WITH r AS (SELECT scrape, page_id, page_id % 3 + 1 AS tier, page_id % 2 = 0 AND page_id % 400 >= 20 AS good FROM {PAGES}), g AS (SELECT scrape, min(tier) AS t FROM r WHERE good GROUP BY 1)
 SELECT r.scrape, page_id, tier FROM r JOIN g ON g.scrape = r.scrape AND g.t = tier""",
-    "rescan_candidates": f"""WITH c AS (SELECT scrape, 'https://' || {_host('url')} || regexp_replace({_path('url')}, '/+[^/]*$', '') || unnest([{', '.join(map(q, frontier.SUBPAGES))}]) AS url FROM {PAGES} WHERE page_id % 7 = 0),
-s AS (SELECT DISTINCT scrape, 'https://' || {_host('lower(url)')} || regexp_replace({_path('lower(url)')}, '/[^/]*$', '') || '/fees' AS k FROM {PAGES})
+    "rescan_candidates": f"""WITH c AS (SELECT scrape, 'https://' || {_host('url')} || regexp_replace({_path('url')}, '/+[^/]*$', '') || unnest([{', '.join(map(q, frontier.SUBPAGES))}]) AS url FROM {PAGES}),
+s AS (SELECT DISTINCT scrape, 'https://' || {_host('lower(url)')} || regexp_replace({_path('lower(url)')}, '/[^/]*$', '') || [{', '.join(q(x.lower().rstrip('/')) for x in SEEN)}][page_id % {len(SEEN)} + 1] AS k FROM {PAGES})
 SELECT c.scrape, c.url FROM c ANTI JOIN s ON s.scrape = c.scrape AND s.k = {key('c.url')}""",
     "found_fields": " UNION ALL ".join(f"SELECT scrape, {q(f)} AS field, min_by(url, page_id) AS found_in FROM {PAGES} WHERE {_hits('lower(content)', w)} >= 2 GROUP BY 1" for f, w in frontier.FIELD_WORDS.items()),
     "field_metrics": f"""WITH r AS (SELECT *, (university_name IS NOT NULL)::BIGINT + (program_name IS NOT NULL)::BIGINT + (degree_level IS NOT NULL)::BIGINT + (program_duration IS NOT NULL)::BIGINT
  + (application_deadlines IS NOT NULL)::BIGINT + (min_academic_requirement IS NOT NULL)::BIGINT + (accepted_qualifications IS NOT NULL)::BIGINT AS s FROM {RECORDS})
 SELECT scrape, s AS simple_fields, s + (coalesce(ielts, toefl) IS NOT NULL)::BIGINT + (coalesce(domestic, international) IS NOT NULL)::BIGINT AS total_fields FROM r""",
-    "section_hints": f"""WITH p AS (SELECT k, array_to_string(list_transform(list_filter(['Admission requirements', 'The programme duration', 'Duration:', 'Cost of study'], lambda h: contains(text, h)), lambda h: substring(text, position(h IN text), 120)), chr(10)) AS t FROM {PROGRAMS})
+    "section_hints": f"""WITH p AS (SELECT k, array_to_string(list_transform(list_filter(['Admission requirements', 'The programme duration', 'Duration:', 'Cost of study'], lambda h: contains(text, h)), lambda h: substring(text, position(h IN text), 2000)), chr(10)) AS t FROM {PROGRAMS})
 SELECT k, md5(t) AS part_md5, length(t)::BIGINT AS n_chars FROM p""",
     "displayed_records": f"""SELECT scrape, coalesce(program_name, '— not found') AS program,
  regexp_replace(regexp_replace(lower(coalesce(university_name, 'Unknown?') || ' - ' || coalesce(program_name, 'x')), '[^a-z0-9_]', '_', 'g'), '__+', '_', 'g') AS slug,

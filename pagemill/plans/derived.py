@@ -33,8 +33,8 @@ def _text(k: str) -> str:
 #: ``k, degree, text`` for each order.
 PROGRAMS = f"SELECT o_orderkey AS k, CASE o_orderkey % 3 WHEN 0 THEN 'Undergraduate' WHEN 1 THEN 'Master of Science' ELSE 'PhD' END AS degree, {_text('o_orderkey')} AS text FROM orders"
 
-#: ``page_id, url, content``: pages under derived addresses, with program text for every page.
-PAGES = f"""SELECT page_id, page_id % 40 AS scrape, concat(regexp_replace(url, '[?#].*$', ''), '/', {_topic}) AS url,
+#: ``page_id, scrape, url, html, content``: pages under derived addresses, 40 to a scrape, with program text for every page.
+PAGES = f"""SELECT page_id, cast(floor(page_id / 40) as bigint) AS scrape, concat(regexp_replace(url, '[?#].*$', ''), '/', {_topic}) AS url,
  concat(html, '<a href="/apply?x=1">Apply now</a><a class="b" href="/Apply/">again</a><a href="/fees/p', cast(page_id % 9 as string), '">Tuition <b>fees</b></a><a href="/fees.pdf">fees</a><a href="https://other.org/fees">fees</a><a href="/', {_topic}, '#x">', {_topic}, '</a>') AS html,
  {_text('page_id')} AS content FROM pages"""
 

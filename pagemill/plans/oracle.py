@@ -109,8 +109,11 @@ def labelled(t: str, p: str) -> str:
 
 NEAR = f"flatten(list_transform({distinct('text', L.FEE_CONTEXT, 8)}, lambda c: list_transform(regexp_extract_all(c, {q(L.FEE)}), lambda y: trim(y))))"
 TABLE = [f"trim(regexp_extract(text, {q(L.TOEFL_TABLE)}, {k}))" for k in (1, 2)]
-HINTS = f"""h0 AS (SELECT k, degree, text, {first('text', L.IELTS)} AS overall, {first('text', L.IELTS_BAND)} AS band, {NEAR} AS near,
- list_zip(regexp_extract_all(text, {q(L.DEADLINE)}, 1), regexp_extract_all(text, {q(L.DEADLINE)}, 2)) AS dates FROM {PROGRAMS}),
+
+def hints(source: str) -> str:
+    """CTE ``h``: findings in the texts of ``source (k, degree, text)``."""
+    return f"""h0 AS (SELECT k, degree, text, {first('text', L.IELTS)} AS overall, {first('text', L.IELTS_BAND)} AS band, {NEAR} AS near,
+ list_zip(regexp_extract_all(text, {q(L.DEADLINE)}, 1), regexp_extract_all(text, {q(L.DEADLINE)}, 2)) AS dates FROM {source}),
 h1 AS (SELECT *, list_filter(list_transform(dates, lambda z: trim(CASE WHEN z[1] <> '' THEN z[1] ELSE z[2] END)), lambda x: x <> '') AS dd, {ordered_distinct('near')} AS nd FROM h0),
 h AS (SELECT k, degree, text, CASE WHEN band IS NULL THEN overall ELSE overall || ', no band below ' || regexp_split_to_array(band, '\\s+')[-1] END AS ielts,
  CASE WHEN {TABLE[0]} <> '' AND {TABLE[1]} <> '' THEN 'TOEFL iBT: ' || {TABLE[0]} || ' (before Jan 2026) or ' || {TABLE[1]} || ' (after Jan 2026)' ELSE {first('text', L.TOEFL)} END AS toefl,
@@ -120,6 +123,9 @@ h AS (SELECT k, degree, text, CASE WHEN band IS NULL THEN overall ELSE overall |
  {first('text', L.DURATION)} AS duration, coalesce({first('text', L.GPA)}, {first('text', L.UK_GRADE)}) AS gpa,
  CASE WHEN len(dd) > 0 THEN list_slice({ordered_distinct('dd')}, 1, 3) END AS deadlines FROM h1)"""
 
+
+HINTS = hints(PROGRAMS)
+
 CLEAN = _strip(
     "regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '!\\[[^\\]]*\\]\\(data:[^)]*\\)', '', 'g'), '\\[!\\[[^\\]]*\\]\\(data:[^)]*\\)\\]\\([^)]*\\)', '', 'g'), 'data:image/\\S{10,}', '[image]', 'g'), '%3[cC]svg\\S{20,}', '', 'g'), '\\n{3,}', chr(10) || chr(10), 'g')"
 )
@@ -141,6 +147,30 @@ def target(href: str, base: str) -> str:
 
 
 ANCHOR = q(r'(?is)<a\s[^>]*href="([^"]*)"[^>]*>(.*?)</a>')
+
+
+def _wave(d: int, most: int = 20, enough: int = 8, last: int = 3) -> str:
+    """A wave of the crawl: what is kept, and the next frontier."""
+    seen, before = ("", "") if not d else (f" ANTI JOIN k{d - 1} USING (crawl_id, digest)", f" UNION ALL SELECT * FROM k{d - 1}")
+    m = "AS MATERIALIZED"
+    out = f"""w{d} {m} (SELECT * FROM (SELECT crawl_id, digest, min(page) AS page FROM f{d} JOIN p USING (page) WHERE words >= 50 GROUP BY 1, 2){seen}),
+k{d} {m} (SELECT crawl_id, digest, page, {d}::BIGINT AS depth FROM w{d}{before})"""
+    if d == last:
+        return out
+    stop = f"count(*) >= {most}" + (f" OR (count(*) >= {enough} AND bool_or(page % 5 = 0) AND bool_or(page % 3 = 0) AND bool_or(page % 2 = 0))" if d else "")
+    return f"""{out},
+s{d} {m} (SELECT crawl_id, count(*) AS n, {stop} AS stop FROM k{d} GROUP BY 1),
+c{d} {m} (SELECT * FROM (SELECT w{d}.crawl_id, dst AS page, max(score) AS score FROM w{d} JOIN s{d} USING (crawl_id) JOIN l ON src = w{d}.page WHERE NOT stop AND score > 0 GROUP BY 1, 2) ANTI JOIN v{d} USING (crawl_id, page)),
+f{d + 1} {m} (SELECT crawl_id, page FROM (SELECT *, row_number() OVER (PARTITION BY crawl_id ORDER BY score DESC, page) AS place FROM c{d}) JOIN s{d} USING (crawl_id) WHERE place <= {most} - n),
+v{d + 1} {m} (SELECT * FROM v{d} UNION ALL SELECT * FROM f{d + 1})"""
+
+
+_HREFS = "regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)"
+CRAWL = f"""n AS (SELECT max(page_id) + 1 AS n FROM pages), p AS MATERIALIZED (SELECT page_id AS page, {_words('html')} AS words, md5(html) AS digest FROM pages),
+h AS (SELECT page_id, unnest({_HREFS}) AS href, generate_subscripts({_HREFS}, 1) - 1 AS i FROM pages),
+l AS MATERIALIZED (SELECT page_id AS src, (length(href) * 37 + page_id * 5 + i * 11) % n AS dst, length(href) % 7 AS score FROM h, n UNION ALL SELECT page_id, 0, 1 FROM pages),
+f0 AS MATERIALIZED (SELECT min(page_id) AS crawl_id, min(page_id) AS page FROM pages GROUP BY {host('url')}), v0 AS (SELECT * FROM f0),
+{(chr(44) + chr(10)).join(map(_wave, range(4)))}"""
 _min_by = lambda v, o: f"min_by({v}, {o}) FILTER ({v} IS NOT NULL)"
 SEARCH = "(regexp_matches(coalesce(university_name, ''), '(?i)program 1[0-9]$') OR regexp_matches(coalesce(program_name, ''), '(?i)program 1[0-9]$')) AND status = 'success'"
 
@@ -168,7 +198,8 @@ SELECT doc_id, {_words('c')}::BIGINT AS n_words FROM d WHERE {_words('c')} >= {L
     "best_fetches": """WITH r AS (SELECT event_id, user_id::VARCHAR AS url, event_id % 3 + 1 AS tier, CASE WHEN event_type = 'error' THEN 403 ELSE 200 END AS status_code, event_id % 400 AS w FROM events)
 SELECT url, tier, status_code, event_id FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY (status_code < 400 AND w >= 200) DESC, tier, event_id) AS n FROM r) WHERE n = 1""",
     "doc_first_copies": "SELECT source, min(doc_id) AS doc_id FROM documents GROUP BY source, md5(coalesce(text, ''))",
-    "crawl_waves": None,
+    "crawl_waves": f"WITH {CRAWL} SELECT crawl_id, page, depth FROM k3",
+    "crawl_depths": f"WITH {CRAWL} SELECT crawl_id, count(*) AS n, string_agg(DISTINCT depth::VARCHAR, ',' ORDER BY depth::VARCHAR) AS depths, max(depth) AS max_depth FROM k3 GROUP BY 1",
     "clean_documents": f"""WITH a AS (SELECT doc_id, list_transform(list_transform(regexp_split_to_array({CLEAN}, {q(LINE_END)}), lambda s: {_strip('s')}), lambda s: CASE WHEN length(s) < 4 THEN '' ELSE s END) AS l FROM documents),
 b AS (SELECT doc_id, list_filter(l, lambda s: s = '' OR NOT {_DROP}) AS l FROM a),
 c AS (SELECT doc_id, list_filter(l, lambda s, i: s = '' OR regexp_matches(s, {_REL}) OR list_position(l, s) = i) AS l FROM b),
@@ -254,4 +285,3 @@ SELECT batch, count(*) AS total, count(*) FILTER (s IN ('processing', 'running')
     "rate_waits": """SELECT event_id, n AS in_window, n >= 3 AS limited FROM (SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 3600000000 PRECEDING AND 1 PRECEDING) AS n FROM events)""",
     "staggered": f"SELECT scrape, ((row_number() OVER (PARTITION BY batch ORDER BY scrape) - 1) * 25)::BIGINT AS delay_s FROM {RECORDS}",
 }
-ORACLE_SQL = {k: v for k, v in ORACLE_SQL.items() if v}

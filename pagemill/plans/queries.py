@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.functions import extract, text, urls, validate
@@ -48,12 +48,7 @@ def pdf_links(spark, d):
 
 
 def page_labels(spark, d):
-    last = F.element_at(F.split("url", "/"), -1)
-    before = F.element_at(F.split("url", "/"), -2)
-    name = F.coalesce(F.nullif(last, F.lit("")), F.nullif(before, F.lit("")), F.col("url"))
-    kind = text.page_type(F.col("url"), F.col("content"))
-    first = F.row_number().over(Window.partitionBy("scrape").orderBy("page_id")) == 1
-    return derived.pages(spark, d).select("page_id", F.when(first, "MAIN PAGE").otherwise(F.upper(F.concat(name, F.lit(" ("), kind, F.lit(")")))).alias("label"))
+    return pages.label_pages(derived.pages(spark, d), "scrape").select("page_id", "label")
 
 
 def useful_pages(spark, d):
@@ -69,9 +64,7 @@ def antibot_flags(spark, d):
 def best_fetches(spark, d):
     e = _read(spark, d, "events")
     rows = e.select("event_id", F.col("user_id").cast("string").alias("url"), (F.col("event_id") % 3 + 1).alias("tier"), F.when(F.col("event_type") == "error", 403).otherwise(200).alias("status_code"), (F.col("event_id") % 400).alias("word_count"))
-    key = rows.groupBy("url", "tier", "status_code", "word_count").agg(F.min("event_id").alias("event_id"))
-    tie = Window.partitionBy("url").orderBy(F.desc(((F.col("status_code") < 400) & (F.col("word_count") >= 200)).cast("int")), "tier", "event_id")
-    return key.withColumn("n", F.row_number().over(tie)).filter("n = 1").select("url", "tier", "status_code", "event_id")
+    return pages.best_fetch(rows, order="event_id").select("url", "tier", "status_code", "event_id")
 
 
 def doc_first_copies(spark, d):
@@ -79,12 +72,21 @@ def doc_first_copies(spark, d):
 
 
 def crawl_waves(spark, d):
-    p = _read(spark, d, "pages").select(F.col("page_id").alias("page"))
-    n = p.agg(F.max("page") + 1).first()[0]
-    links = p.select(F.col("page").alias("src"), F.explode(F.array(2 * F.col("page") + 1, 2 * F.col("page") + 2, (7 * F.col("page") + 3) % n)).alias("dst")).filter(F.col("dst") < n)
-    docs = _read(spark, d, "documents").select(F.col("doc_id").alias("page"), text.word_count(F.col("text")).alias("words"), F.md5("text").alias("digest"))
-    seeds = spark.range(5).select(F.col("id").alias("crawl_id"), F.col("id").alias("page"))
-    return crawl.crawl(seeds, links, docs.join(p, "page", "left_semi"), max_depth=4).select("crawl_id", "page", F.col("depth").cast("long"))
+    """A crawl of each host from its first page, over the links in the pages; every page links to page 0 too."""
+    p = _read(spark, d, "pages")
+    n = p.agg(F.max("page_id") + 1).first()[0]
+    href = F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))
+    made = F.transform(href, lambda h, i: F.struct(((F.length(h) * 37 + F.col("page_id") * 5 + i * 11) % n).cast("long").alias("dst"), (F.length(h) % 7).cast("long").alias("score")))
+    links = p.select(F.col("page_id").alias("src"), F.explode(F.array_append(made, F.struct(F.lit(0).cast("long").alias("dst"), F.lit(1).cast("long").alias("score")))).alias("l")).select("src", "l.*")
+    sign = lambda k: F.col("page_id") % k == 0
+    known = p.select(F.col("page_id").alias("page"), text.word_count(F.col("html")).alias("words"), F.md5("html").alias("digest"), sign(5).alias("fees"), sign(3).alias("english"), sign(2).alias("entry"))
+    seeds = p.groupBy(urls.host(F.col("url")).alias("host")).agg(F.min("page_id").alias("page")).select(F.col("page").alias("crawl_id"), "page")
+    return crawl.crawl(seeds, links, known, max_depth=3, max_pages=20, needs=["fees", "english", "entry"]).select("crawl_id", "page", F.col("depth").cast("long"))
+
+
+def crawl_depths(spark, d):
+    out = crawl.crawl_depths(crawl_waves(spark, d))
+    return out.select("crawl_id", "n", F.array_join(F.transform("depths", lambda x: x.cast("string")), ",").alias("depths"), "max_depth")
 
 
 # ------------------------------------------------------------ text
@@ -112,10 +114,8 @@ def content_votes(spark, d):
 
 
 def combined_texts(spark, d):
-    rows = _read(spark, d, "conversations").filter(F.trim("text") != "")
-    part = F.concat(F.lit("=== SOURCE: "), F.upper("role"), F.lit(" ===\n"), F.trim("text"))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", part.alias("p")))), lambda x: x["p"]), "\n\n")
-    return rows.groupBy("conv_id").agg(F.md5(joined).alias("combined_md5"))
+    parts = F.collect_list(F.struct("turn", F.col("role").alias("label"), "text"))
+    return _read(spark, d, "conversations").groupBy("conv_id").agg(F.md5(text.combine(parts)).alias("combined_md5"))
 
 
 # ------------------------------------------------------------ relevance
@@ -135,7 +135,8 @@ def relevance_histogram(spark, d):
 
 
 def packed_contexts(spark, d):
-    out = relevance.pack_contexts(_scored(spark, d), "scrape")
+    contents = derived.pages(spark, d).select("scrape", F.col("page_id").alias("pos"), "content")
+    out = relevance.pack_contexts(_scored(spark, d), "scrape", contents)
     return out.select("scrape", "field_group", F.md5("context").alias("context_md5"), F.length("context").cast("long").alias("n_chars"), F.col("pages").cast("long"))
 
 
@@ -306,7 +307,7 @@ def staggered(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     page_links_topk, page_type_counts, host_counts, same_domain_pairs, normalized_urls, pdf_links, page_labels, useful_pages, antibot_flags, best_fetches,
-    doc_first_copies, crawl_waves, clean_documents, truncated_documents, program_sections, content_votes, combined_texts, relevance_scores,
+    doc_first_copies, crawl_waves, crawl_depths, clean_documents, truncated_documents, program_sections, content_votes, combined_texts, relevance_scores,
     relevance_histogram, packed_contexts, best_sources, extracted_hints, hint_blocks, filled_records, validated_records, parsed_props, record_status,
     record_coverage, coverage_total, success_rates, gap_reports, candidate_urls, merged_records, history_page, history_count, batch_tally, batch_rows,
     exported_rows, record_fields, remaining_after_delete, latest_versions, cache_hits, rate_waits, staggered,

@@ -31,12 +31,18 @@ def append_versions(results: DataFrame, path: str) -> None:
     results.write.mode("append").parquet(path)
 
 
-def write_csv(rows: DataFrame, path: str) -> None:
-    """Flat rows (``operators.records.export_rows``) as CSV with a header; an empty text stays empty."""
-    rows.write.option("header", True).option("emptyValue", "").csv(path)
+def write_csv(rows: DataFrame, path: str, bom: bool = False) -> None:
+    """Flat rows (``operators.records.export_rows``) as CSV with a header; an empty text stays empty.
+
+    ``bom`` puts a byte order mark before the header of each file, by which spreadsheets know UTF-8.
+    """
+    first, *rest = rows.columns
+    named = rows.withColumnRenamed(first, "\ufeff" + first) if bom else rows
+    named.write.option("header", True).option("emptyValue", "").csv(path)
 
 
 def write_json(rows: DataFrame, path: str) -> None:
+    """A JSON object for each row, one to a line, null fields included."""
     rows.write.option("ignoreNullFields", False).json(path)
 
 

@@ -6,8 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagemill.functions import extract, text, urls, validate
-from pagemill.operators import crawl, history, pages, records
-from pagemill.plans import queries
+from pagemill.functions import lexicon as L
+from pagemill.operators import crawl, extraction, history, pages, records, relevance
+from pagemill.plans import queries, record_queries
 from pagemill.sources import html, tables
 from pagemill.streaming import jobs
 
@@ -170,3 +171,154 @@ def test_streams(spark, tmp_path):
 def test_job_state(spark):
     log = spark.createDataFrame([("x", "running", 2), ("x", "processing", 1), ("y", "success", 3), ("y", "running", 4)], "scrape_id string, status string, ts int")
     assert {r.scrape_id: r.status for r in jobs.job_state(log).collect()} == {"x": "running", "y": "success"}
+
+
+def queued(seeds, links, words, digest, signs, max_depth, max_pages, enough):
+    """The crawl as a plain queue, for each seed."""
+    out = []
+    for crawl_id, start in seeds:
+        seen, texts, kept, wave = {start}, set(), [], [start]
+        for depth in range(max_depth + 1):
+            following = []
+            for p in sorted(wave):
+                if words[p] >= 50 and digest[p] not in texts:
+                    texts.add(digest[p])
+                    following.append(p)
+                    kept.append((p, depth))
+            if len(kept) >= max_pages or (depth >= 1 and len(kept) >= enough and all(any(s[p] for p, _ in kept) for s in signs)):
+                break
+            best = {}
+            for p, q, score in links:
+                if p in following and score > 0 and q not in seen:
+                    best[q] = max(best.get(q, 0), score)
+            wave = sorted(best, key=lambda q: (-best[q], q))[: max_pages - len(kept)]
+            seen |= set(wave)
+        out += [(crawl_id, p, d) for p, d in kept]
+    return sorted(out)
+
+
+@pytest.mark.parametrize(("max_pages", "enough"), [(9, 100), (40, 4)])
+def test_crawl_with_scores_slots_and_needs(spark, max_pages, enough):
+    n = 40
+    words = {p: 60 if p % 7 else 10 for p in range(n)}
+    digest = {p: p % 29 for p in range(n)}
+    links = [(p, (3 * p + 7 * k) % n, (p + k) % 4) for p in range(n) for k in range(5)] + [(p, 1, 1) for p in range(n)]
+    signs = [{p: p % 3 == 0 for p in range(n)}, {p: p % 5 == 0 for p in range(n)}]
+    seeds = [(100 + p, p) for p in (1, 2, 5, 7)]
+    known = spark.createDataFrame([(p, words[p], digest[p], signs[0][p], signs[1][p]) for p in range(n)], "page int, words int, digest int, a boolean, b boolean")
+    got = crawl.crawl(spark.createDataFrame(seeds, "crawl_id int, page int"), spark.createDataFrame(links, "src int, dst int, score int"), known, 3, max_pages, needs=["a", "b"], enough=enough)
+    want = queued(seeds, links, words, digest, signs, 3, max_pages, enough)
+    assert sorted((r.crawl_id, r.page, r.depth) for r in got.collect()) == want and len(want) > 20
+
+
+def test_best_fetch_stops_at_a_blocked_first_kind(spark):
+    rows = [("a", 1, 403, 5, True), ("a", 2, 200, 900, False), ("b", 1, 200, 100, False), ("b", 2, 200, 300, True), ("c", 1, 500, 900, None)]
+    got = pages.best_fetch(spark.createDataFrame(rows, "url string, tier int, status_code int, word_count int, blocked boolean"))
+    assert {r.url: r.tier for r in got.collect()} == {"a": 1, "b": 2, "c": 1}
+
+
+def test_labels_keep_given_types(spark):
+    rows = [(1, 0, "http://h/x/fees", "", None), (2, 0, "http://h/x/fees/", "", "news"), (3, 1, "http://h/", None, ""), (4, 0, "http://h/x/fees", "", "")]
+    got = pages.label_pages(spark.createDataFrame(rows, "page_id int, scrape int, url string, content string, page_type string"), "scrape")
+    assert {r.page_id: r.label for r in got.collect()} == {1: "MAIN PAGE", 2: "FEES (NEWS)", 3: "MAIN PAGE", 4: "FEES (TUITION)"}
+
+
+def test_links_of_a_page_are_each_its_first(spark):
+    anchors = "".join(f'<a href="{h}">{t}</a>' for h, t in (("/a", "one"), ("/A/", "two"), ("b", "<b>three</b>"), ("#x", "no"), ("/x.pdf", "no"), ("http://o.org/a", "no"), ("../p", "self"), ("/c?d=1#e", "four")))
+    got = pages.page_links(spark.createDataFrame([(1, "https://www.h.org/p", anchors), (2, "https://h.org", None), (3, None, anchors)], "page_id int, url string, html string")).collect()
+    assert [(r.page_id, r.pos, r.target, r.link_text) for r in got] == [(1, 0, "https://www.h.org/a", "one"), (1, 2, "https://www.h.org/b", "three"), (1, 7, "https://www.h.org/c", "four")]
+
+
+def test_line_repeats_are_dropped_unless_relevant(spark):
+    many = "\n".join(["same line here"] * 3 + ["Tuition fees are high"] * 2 + ["", "", "other line", "same line here"])
+    assert one(spark, text.clean_lines(F.col("t")), t=many) == "same line here\nTuition fees are high\nTuition fees are high\n\nother line"
+
+
+def test_html_is_told_from_text(spark):
+    for t, want in (("<p>", True), ("a < b > c", False), ("<" + "x" * 200 + ">", False), (None, False), ("", False)):
+        assert one(spark, text.looks_like_html(F.col("t")), t=t) is want
+
+
+def test_page_texts_against_a_plain_reader(spark):
+    """Every page of the smallest tables: what the query reads is what stands between the tags of its article."""
+    import hashlib
+    import html as entities
+    import re
+
+    got = {r.page_id: r for r in record_queries.page_texts(spark, "/root/testdata/sf0.001").collect()}
+    raw = {r.page_id: r.html for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()}
+    assert set(got) == set(raw)
+    plain = []
+    for i, page in raw.items():
+        body = re.search(r"(?s)<article>(.*?)</article>", page or "")
+        if body and "<table" not in body[1]:
+            inner = re.sub(r"(?s)<(script|style|nav|footer|aside|header|form|svg|noscript|iframe)\b.*?</\1>|<!--.*?-->", "", body[1])
+            plain.append((i, "\n".join(entities.unescape(x) for x in re.split(r"<[^>]*>", inner) if x)))
+    assert len(plain) > 20
+    cleaned = spark.createDataFrame(plain, "page_id long, t string").select("page_id", text.clean_lines(F.col("t")).alias("t")).collect()
+    same = sum(got[r.page_id].text_md5 == hashlib.md5(r.t.encode()).hexdigest() for r in cleaned)
+    assert same == len(cleaned)
+
+
+def test_section_hints_fill_gaps_and_fall_back(spark):
+    talk = "=== PROGRAM INFORMATION ===\nIELTS 6.5 overall.\n=== OTHER ===\nIELTS 5.0 overall. PTE Academic 58 overall."
+    heads = F.array(F.lit("=== OTHER ==="), F.lit("=== PROGRAM INFORMATION ==="), F.lit("=== MISSING ==="))
+    h = one(spark, extract.section_hints(F.col("t"), heads, width=47), t=talk)
+    assert h.ielts.startswith("IELTS 6.5") and h.pte is None
+    h = one(spark, extract.section_hints(F.col("t"), heads), t=talk)
+    assert h.ielts.startswith("IELTS 6.5") and h.pte.startswith("PTE Academic 58")
+    h = one(spark, extract.section_hints(F.col("t"), F.array(F.lit("=== NONE ==="))), t=talk)
+    assert h.ielts.startswith("IELTS 6.5")
+
+
+def test_extraction_checks_fills_and_notes(spark):
+    given = spark.createDataFrame([(1, "IELTS 6.5 overall. Tuition for home students is £9,000 per year.\n\nDuration 1 year. A GPA of 3.2 is the minimum for entry."), (2, None)], "k int, text string")
+    record = "named_struct(" + ", ".join(f"'{n}', {v}" for n, v in [*((n, {"program_duration": "'1 year'", "degree_level": "'PhD'", "confidence_notes": "'guess'"}.get(n, "cast(null as string)")) for n in L.SCALAR_FIELDS), ("english_requirements", "named_struct('ielts', 'IELTS 12', 'toefl', cast(null as string), 'pte', cast(null as string), 'duolingo', cast(null as string), 'notes', cast(null as string))"), ("tuition_fees", "cast(null as struct<domestic:string,international:string,currency:string,notes:string>)")]) + ")"
+    rows = extraction.extract_records(extraction.contexts(given).withColumn("given", F.expr(f"case when k = 1 then {record} end")), given="given")
+    got = {r.k: r for r in rows.collect()}
+    r = got[1].record
+    assert r.english_requirements.ielts == "IELTS 12" and r.tuition_fees.domestic == "£9,000 per year" and r.tuition_fees.currency == "GBP"
+    assert r.program_duration == "1 year" and r.min_academic_requirement.startswith("GPA of 3.2")  # the given duration goes, the text's comes in
+    assert r.confidence_notes == "guess. Validation warnings: Duration: Duration of 1.0 years is implausible for a PhD — likely hallucinated; English requirements: IELTS score 12.0 outside normal range (4.0-9.0)"
+    assert got[2].record.program_duration is None and got[2].hint_block == "" and got[2].context == ""
+
+
+def test_exports(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "é"), (2, None), (3, "")], "scrape int, name string")
+    with pytest.raises(ValueError, match="ids"):
+        records.selected_results(rows)
+    with pytest.raises(LookupError):
+        records.selected_results(rows, ids=rows.filter("scrape > 5"))
+    assert [r.scrape for r in records.selected_results(rows, every=True, limit=2).collect()] == [1, 2]
+    assert sorted(r.scrape for r in records.selected_results(rows, ids=rows.filter("scrape > 1")).collect()) == [2, 3]
+    assert [r.json for r in records.json_rows(rows).orderBy("scrape").collect()] == ['{"scrape":1,"name":"é"}', '{"scrape":2,"name":null}', '{"scrape":3,"name":""}']
+    tables.write_csv(rows.coalesce(1), str(tmp_path / "csv"), bom=True)
+    assert next((tmp_path / "csv").glob("part-*")).read_bytes().startswith(b"\xef\xbb\xbfscrape,name\n")
+    tables.write_json(rows.coalesce(1), str(tmp_path / "json"))
+    assert '{"scrape":2,"name":null}' in next((tmp_path / "json").glob("part-*")).read_text()
+    (tmp_path / "x.pdf").write_bytes(b"%PDF")
+    assert [bytes(r.content) for r in tables.read_binary(spark, str(tmp_path)).collect()] == [b"%PDF"]
+
+
+def test_lists_and_deletes(spark):
+    rows = spark.createDataFrame([(1, "Uni.A", None, "success", dt.datetime(2024, 1, 1), "http://a", ["x", "y"]), (2, None, "uni b", "failed", dt.datetime(2024, 1, 2), None, None)], "scrape int, university_name string, program_name string, status string, created_at timestamp, url_requested string, source_urls array<string>")
+    assert [(r.scrape, r.source_count) for r in history.summary_page(rows).collect()] == [(2, 0), (1, 2)]
+    assert [r.scrape for r in history.containing(rows, "NI.a").collect()] == [1] and history.containing(rows, " ").count() == 2
+    assert [r.scrape for r in history.delete_where(rows, url="http://a").collect()] == [2]
+    assert [r.scrape for r in history.delete_where(rows, pattern="^http").collect()] == [2]
+    with pytest.raises(ValueError, match="either"):
+        history.delete_where(rows)
+
+
+def test_waits(spark):
+    at = lambda s: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s)
+    calls = [(1, "k", at(0), True), (2, "k", at(5), False), (3, "k", at(12), True), (4, "k", at(30), True), (5, "o", at(30), True)]
+    got = {r.id: (r.window_wait, r.gap_wait, r.cooldown_wait, r.wait) for r in history.call_waits(spark.createDataFrame(calls, "id int, key string, ts timestamp, good boolean"), "key", "ts", "id").collect()}
+    assert got == {1: (0, 0, 0, 0), 2: (0, 15, 5, 15), 3: (0, 13, 0, 13), 4: (30, 2, 0, 30), 5: (0, 0, 0, 0)}
+
+
+def test_attribution_names_pages_of_groups(spark):
+    sources = F.create_map(F.lit("english_requirements"), F.lit("e"))
+    english = F.struct(F.lit("6").alias("ielts"), F.lit(None).cast("string").alias("toefl"))
+    out = relevance.field_sources({"english_requirements": english, "program_name": F.lit("p"), "scholarships": F.lit(None).cast("string")}, sources, F.lit("final"), {"english_requirements": ["ielts", "toefl"]})
+    assert one(spark, out, t="") == {"english_requirements": "e", "english_requirements.ielts": "e", "program_name": "final"}
