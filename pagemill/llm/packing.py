@@ -5,14 +5,19 @@ documents that have each term (a token id). Spark adds these up to the global do
 table no longer than the vocabulary, which with the number of documents and their mean length gives
 every BM25 weight.
 
-A document can be used once only, so the index is sharded by documents that are close to each other: a
-document's place is given by the three terms that weigh most in it, and the token table is shuffled by
-ranges of these places. Documents whose best terms agree lie side by side whatever the size of the
-corpus, and a term with many documents is split by the next ones. A task cuts its range into shards of
-about ``shard_tokens`` tokens, each with an inverted index; the seed of a window asks it with all its
-terms, and the best unused neighbours fill the window. A document that does not fit is cut: its rest
-opens the next window and is that window's seed. So all windows of a shard but the last are full, and
-the last is cut into windows whose lengths are powers of two, which need no padding.
+A document can be used once only, so the index is sharded by documents that are close to each other.
+A few documents, the pivots, are drawn from the corpus; the BM25 scores of a document against them are
+read from a table of the vocabulary's weights in each. A document's place is the list of its nearest
+pivots, nearest first, and the token table is shuffled by ranges of these places (a permutation-prefix
+index): documents that see the pivots in the same order lie side by side, and a place with many documents
+is split by further pivots. A task cuts its range into shards of about ``shard_tokens`` tokens, each with
+an inverted index; the seed of a window asks it with all its terms, and the best unused neighbours fill
+the window. A document that does not fit is cut: its rest opens the next window and is that window's
+seed. So all windows of a shard but the last are full, and the last is cut into windows whose lengths are
+powers of two, which need no padding.
+
+Neighbours in other shards are not found; how many of the true ones lie in a seed's own shard is measured
+in the README.
 """
 
 from __future__ import annotations
@@ -34,7 +39,9 @@ from pagemill.llm.shared import SAME, SPACED, Words, row_slices, staged, text_bu
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 2
-SHARD_TOKENS = 1 << 21
+SHARD_TOKENS = 1 << 22
+#: Pivots, the tokens that a document should have to be one, and how many of them, nearest first, make a place.
+PIVOTS, PIVOT_TOKENS, PREFIX = 24, (2048, 16384), 6
 CACHED_WORDS = 500_000
 #: Texts and token lists are worked on in parts of about so many bytes.
 PART_BYTES = 2 << 20
@@ -233,20 +240,6 @@ class Terms:
         norm = (K1 * (1 - B + B * lengths / max(stats.mean, 1))).astype(np.float32)
         return stats.idf()[self.term] * self.tf * np.float32(K1 + 1) / (self.tf + norm[self.doc])
 
-    def best(self, weight: np.ndarray, shared: np.ndarray, most: int = 3) -> list[np.ndarray]:
-        """Each document's terms of greatest weight (ties: the lower term) among those that are ``shared``; -1 beyond the last one."""
-        weight = np.where(shared, weight, np.float32(-1))
-        n, out = len(self.first) - 1, []
-        for _ in range(most):
-            top = np.maximum.reduceat(weight, self.first[:-1]) if n else weight
-            at = np.flatnonzero((weight == np.repeat(top, np.diff(self.first))) & (weight > 0))
-            doc, where = np.unique(self.doc[at], return_index=True)
-            found = np.full(n, -1, np.int64)
-            found[doc] = self.term[at[where]]
-            weight[at[where]] = -1
-            out.append(found)
-        return out
-
 
 class Index:
     """An inverted index over the documents of a shard, with weights of the whole corpus. Every document has a term."""
@@ -395,20 +388,47 @@ def _documents(batch: pa.RecordBatch, kind: np.dtype) -> tuple[np.ndarray, np.nd
     return np.frombuffer(raw, kind, int(n.sum()), begin), np.concatenate([[0], np.cumsum(n)])
 
 
+def pivot_weights(tokens: DataFrame, stats: Statistics, kind: np.dtype) -> np.ndarray:
+    """For every term its BM25 weight in each pivot, pivots scaled to length 1.
+
+    Pivots are ``PIVOTS`` documents by a hash of them, those of ``PIVOT_TOKENS`` tokens first: all that the driver gets.
+    """
+    low, high = PIVOT_TOKENS
+    fit = tokens.filter(F.col("n") <= high).select("ids", "n", (F.col("n") < low).alias("short"), F.xxhash64("doc", "ids").alias("h"))
+    found = fit.orderBy("short", "h").limit(PIVOTS).select("ids").collect()
+    ids = [np.frombuffer(r.ids, kind) for r in found]
+    out = np.zeros((len(stats.df), max(1, len(ids))), np.float32)
+    if ids:
+        offs = np.concatenate([[0], np.cumsum([len(x) for x in ids])])
+        terms = Terms.of(np.concatenate(ids), offs)
+        out[terms.term, terms.doc] = terms.weights(np.diff(offs), stats)
+    return out / np.maximum(np.sqrt((out**2).sum(axis=0)), 1e-9)
+
+
+def places(terms: Terms, weight: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """Each document's nearest pivots, nearest first (ties: the lower number), as digits of a number."""
+    score = np.add.reduceat(pivots[terms.term] * weight[:, None], terms.first[:-1]) if len(terms.first) > 1 else np.zeros((0, 1))
+    near = np.argsort(-score, axis=1, kind="stable")[:, :PREFIX]
+    place = np.zeros(len(near), np.int64)
+    for digit in near.T:
+        place = place * PIVOTS + digit
+    return place
+
+
 def placed(tokens: DataFrame, stats: Statistics, kind: np.dtype) -> DataFrame:
-    """``doc, ids, n`` with ``t1, t2, t3``: the terms of greatest weight that another document has too."""
+    """``doc, ids, n`` of a token table with each document's ``place``."""
+    pivots = pivot_weights(tokens, stats, kind)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi in row_slices(np.concatenate([[0], np.cumsum(batch.column(2).to_numpy())]), PART_BYTES):
+            for lo, hi in row_slices(np.concatenate([[0], np.cumsum(batch.column(2).to_numpy())]), PART_BYTES // 8):
                 part = batch.slice(lo, hi - lo)
                 ids, offs = _documents(part, kind)
                 terms = Terms.of(ids, offs)
-                best = terms.best(terms.weights(np.diff(offs), stats), stats.df[terms.term] > 1)
-                yield pa.record_batch([*part.columns, *map(pa.array, best)], names=["doc", "ids", "n", "t1", "t2", "t3"])
+                yield pa.record_batch([*part.columns, pa.array(places(terms, terms.weights(np.diff(offs), stats), pivots))], names=["doc", "ids", "n", "place"])
 
     rows = tokens.filter("ids IS NOT NULL").select("doc", "ids", "n")
-    return rows.mapInArrow(place, "doc long, ids binary, n long, t1 long, t2 long, t3 long")
+    return rows.mapInArrow(place, "doc long, ids binary, n long, place long")
 
 
 def pack(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "text", window: int = 4096, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
@@ -418,7 +438,7 @@ def pack(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "
     Returns a row per piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset``.
     A document's ids are those of its text and ``END_ID``; null and empty texts have that id alone, null ids
     stay null. Each row of repeated rows is packed; ties in score go to the document that comes first in its
-    shard (by its best terms, then by id); an empty table gives no pieces; other columns are not looked at. A shard
+    shard (by its place, then by a hash); an empty table gives no pieces; other columns are not looked at. A shard
     holds about ``shard_tokens`` tokens, or one longer document, so the memory of a task does not grow with the corpus.
     """
     encoder = Encoder.at(vocabulary)
@@ -426,7 +446,7 @@ def pack(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "
     tokens = token_table(docs, vocabulary, doc_id, text)
     stats = statistics(tokens, encoder.size)
     parts = max(1, -(-int(stats.mean * stats.documents) // shard_tokens))
-    key = ["t1", "t2", "t3", "_spread"]
+    key = ["place", "_spread"]
     rows = placed(tokens, stats, kind).withColumn("_spread", F.xxhash64("doc", "ids"))
     rows = rows.repartitionByRange(parts, *key).sortWithinPartitions(*key, "doc").select("doc", "ids", "n")
 

@@ -434,11 +434,27 @@ def test_statistics_and_places_are_global(spark):
     stats = packing.statistics(tokens, encoder.size)
     assert stats.documents == 5 and stats.mean == sum(map(len, sets.values())) / 5
     assert {t: n for t, n in enumerate(stats.df.tolist()) if n} == Counter(t for s in sets.values() for t in set(s))
+    pivots = packing.pivot_weights(tokens, stats, encoder.kind)
+    assert pivots.shape == (encoder.size, 5)  # all documents, as there are no more
     for r in packing.placed(tokens, stats, encoder.kind).collect():
         s = sets[r.doc]
         norm = packing.K1 * (1 - packing.B + packing.B * len(s) / stats.mean)
-        weight = {t: stats.idf()[t] * s.count(t) / (s.count(t) + norm) for t in set(s) if stats.df[t] > 1}
-        assert [r.t1, r.t2, r.t3] == [*sorted(weight, key=lambda t: (-weight[t], t)), -1, -1, -1][:3]
+        weight = {t: stats.idf()[t] * s.count(t) * (packing.K1 + 1) / (s.count(t) + norm) for t in set(s)}
+        scores = [sum(w * pivots[t, k] for t, w in weight.items()) for k in range(5)]
+        digits = [r.place // packing.PIVOTS**k % packing.PIVOTS for k in range(4, -1, -1)]
+        assert sorted(digits) == list(range(5)) and all(scores[a] >= scores[b] - 1e-4 for a, b in zip(digits, digits[1:], strict=False))
+
+
+def test_alike_documents_lie_in_one_shard(spark):
+    """Documents of five vocabularies: each one's nearest neighbours are those of its own."""
+    rng = np.random.default_rng(2)
+    words = [[f"{'abcde'[k]}{'aeiou'[i % 5]}{'lmnrst'[i % 6]}{i}" for i in range(60)] for k in range(5)]
+    rows = [(i, " ".join(rng.choice(words[i % 5], 80))) for i in range(400)]
+    got = packing.pack(spark.createDataFrame(rows, DDL).repartition(3), packing.vocabulary_path(), window=512, shard_tokens=4000).collect()
+    shards = defaultdict(Counter)
+    for r in got:
+        shards[r.sequence_id >> 32][r.doc_id % 5] += r.length
+    assert len(shards) > 10 and sum(max(c.values()) for c in shards.values()) > 0.8 * sum(sum(c.values()) for c in shards.values())
 
 
 # ------------------------------------------------------------ 8
