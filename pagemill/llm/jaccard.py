@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagemill.llm.components import components
-from pagemill.llm.shared import ALNUM, LOWER, Words, combine, mix, row_slices, staged, text_buffers
+from pagemill.llm.shared import ALNUM, LOWER, Words, combine, drop_staged, mix, row_slices, staged, staged_so_far, text_buffers
 
 SHINGLE, SIMILARITY, RECALL = 5, 0.8, 0.997
 DEPTH = 3
@@ -351,7 +351,7 @@ def near_duplicates(
 
     ``recall`` is the probability to find a link at the threshold; copies and closer texts are surer.
     """
-    runs = runs_for(recall, depth)
+    runs, since = runs_for(recall, depth), staged_so_far()
     rows = docs.select(F.col(doc_id).cast("long").alias("doc"), text_digest(text).alias("digest"), F.col(text).alias("text"))
     signed = staged(_signed(rows, shingle, similarity, runs, depth), "signed")
     members = signed.select("doc", "digest", "n")
@@ -395,6 +395,7 @@ def near_duplicates(
     full = in_blocks(full.select("root", "size", "doc", "copies", "text"), "root", F.col("size"), block).select("root", "i", "j", "mine", "doc", "copies", "text")
     checked = staged(_by_group(full, ["root", "i", "j"], _exact(shingle, similarity), "doc long, other long, links long"), "checked")
 
+    drop_staged(since, keep=("signed", "texts", "checked"))  # what the result is read from
     classes = components(checked.filter("other IS NOT NULL").select(F.col("doc").alias("a"), F.col("other").alias("b")))
     links = checked.groupBy("doc").agg(F.sum("links").alias("links"))
     per_text = kept.join(links, "doc", "left").join(classes.withColumnRenamed("node", "doc"), "doc", "left")

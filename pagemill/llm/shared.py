@@ -17,7 +17,8 @@ from pyspark.sql import types as T
 
 # ---------------------------------------------------------------- shared storage
 
-_staged: list[tuple[SparkSession, str]] = []
+#: What lies in the shared folder: session, label and path.
+_staged: list[tuple[SparkSession, str, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,9 +38,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def shared_path(spark: SparkSession, label: str) -> str:
-    """A new path in the shared folder; what is written there is deleted when Python ends."""
+    """A new path in the shared folder; what is written there is deleted when Python ends, or by ``drop_staged``."""
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    _staged.append((spark, path))
+    _staged.append((spark, label, path))
     return path
 
 
@@ -54,13 +55,21 @@ def staged(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_staged() -> None:
-    """Delete what lies under the paths of ``shared_path``; results that still read them must be saved before."""
-    while _staged:
-        spark, path = _staged.pop()
+def staged_so_far() -> int:
+    return len(_staged)
+
+
+def drop_staged(since: int = 0, keep: tuple[str, ...] = ()) -> None:
+    """Delete what was put into the shared folder after the first ``since`` tables, but those with a label in ``keep``.
+
+    Nothing that is still to be read may hang on what is deleted.
+    """
+    kept = _staged[:since] + [x for x in _staged[since:] if x[1] in keep]
+    gone = [x for x in _staged[since:] if x[1] not in keep]
+    _staged[:] = kept
+    for spark, _, path in gone:
         try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
+            target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
             target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
         except Exception:  # the session may have ended; the folder is then left to its owner
             return
@@ -140,11 +149,15 @@ def combine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes and offsets of a string column; null counts as empty."""
+    """Bytes and offsets of a string column, without a copy of its texts where none is null; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = pc.fill_null(column.cast(pa.large_string()), "")
-    offs = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    if column.null_count:
+        column = pc.fill_null(column, "")
+    if not len(column):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    kind = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    offs = np.frombuffer(column.buffers()[1], kind)[column.offset : column.offset + len(column) + 1].astype(np.int64)
     data = column.buffers()[2]
     return (np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)), offs
 
