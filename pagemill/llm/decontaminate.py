@@ -146,18 +146,13 @@ def decontaminate(
         F.array_sort(F.collect_set(F.when(F.col("from").isNotNull(), F.struct("from", "to")))).alias("_hits"),
         F.collect_set("item").alias("items"),
     )
-    # hits in order: each either lengthens the last stretch or begins one
-    spans = F.aggregate(
-        "_hits",
-        F.expr("struct(cast(array() as array<struct<from:int,to:int>>) as done, cast(null as int) as a, cast(null as int) as b)"),
-        lambda acc, x: F.when(acc["b"].isNull(), F.struct(acc["done"].alias("done"), x["from"].alias("a"), x["to"].alias("b")))
-        .when(x["from"] <= acc["b"], F.struct(acc["done"].alias("done"), acc["a"].alias("a"), F.greatest(acc["b"], x["to"]).alias("b")))
-        .otherwise(F.struct(F.array_append(acc["done"], F.struct(acc["a"].alias("from"), acc["b"].alias("to"))).alias("done"), x["from"].alias("a"), x["to"].alias("b"))),
-        lambda acc: F.when(acc["b"].isNull(), acc["done"]).otherwise(F.array_append(acc["done"], F.struct(acc["a"].alias("from"), acc["b"].alias("to")))),
-    )
-    out = grouped.withColumn("spans", spans)
-    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + (x["to"] - x["from"]))
-    return out.select(F.col("doc").alias(doc_id), "n_words", n_hit.alias("n_hit"), "spans", "items", F.col("_same").alias("text_hash"))
+    hit = F.transform("_hits", lambda x: F.sequence(x["from"], x["to"] - 1))
+    out = grouped.withColumn("_hit", F.sort_array(F.array_distinct(F.flatten(hit))))
+    # a stretch begins at a hit word without a hit neighbour before it, and ends likewise
+    begins = F.filter("_hit", lambda w, i: (i == 0) | (F.get("_hit", F.greatest(i - 1, F.lit(0))) != w - 1))
+    ends = F.filter("_hit", lambda w, i: F.coalesce(F.get("_hit", i + 1) != w + 1, F.lit(True)))
+    spans = F.zip_with(begins, ends, lambda a, b: F.struct(a.alias("from"), (b + 1).alias("to")))
+    return out.select(F.col("doc").alias(doc_id), "n_words", F.size("_hit").cast("long").alias("n_hit"), spans.alias("spans"), "items", F.col("_same").alias("text_hash"))
 
 
 def _verified(found: DataFrame, keep: list[str], window: int, k: int) -> DataFrame:
