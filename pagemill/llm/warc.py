@@ -25,6 +25,8 @@ EMPTY_FRAME = struct.pack("<II", 0x184D2A50, 0)
 FRAME_MAGIC = 0xFD2FB528
 #: A dictionary is made from at most so many first records of an archive, and bytes of each.
 SAMPLE_RECORDS, SAMPLE_BYTES, DICTIONARY_BYTES = 96, 16_384, 32_768
+#: Records of an archive; a task with more writes several. A reader holds an archive whole.
+RECORDS_PER_ARCHIVE = 4096
 #: Payloads from this size on are stored once.
 REVISIT_BYTES = 100
 #: Digests of repeated payloads that are broadcast at most, at 80 bytes each.
@@ -137,8 +139,10 @@ def read_archive(data: bytes) -> Iterator[dict]:
             yield parse_record(decoder.decompress(frame))
 
 
-def write_archives(pages: DataFrame, path: str, page_id: str = "page_id", uri: str = "url", text: str = "html", date: str = "1970-01-01T00:00:00Z") -> None:
-    """Write a record per row to archives in folder ``path``, one archive per task.
+def write_archives(
+    pages: DataFrame, path: str, page_id: str = "page_id", uri: str = "url", text: str = "html", date: str = "1970-01-01T00:00:00Z", most: int = RECORDS_PER_ARCHIVE
+) -> None:
+    """Write a record per row to archives in folder ``path``, with up to ``most`` records each; an empty table gives none.
 
     Payloads are texts in UTF-8; null counts as empty. Of rows with equal payloads of at least
     ``REVISIT_BYTES`` the one with the smallest id is a response and the others revisit it (a row
@@ -159,34 +163,41 @@ def write_archives(pages: DataFrame, path: str, page_id: str = "page_id", uri: s
 
     def archive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pending: list[bytes] = []
-        coder = None
-
-        def begin():
+        coder, head, written = None, b"", 0
+
+        def coded(raws: list[bytes]) -> pa.RecordBatch:
+            """Frames of records, with the dictionary before each archive's first, where Spark begins a new file."""
+            nonlocal written
+            out = []
+            for raw in raws:
+                if not written % most:
+                    out.append(head)
+                out.append(coder.compress(raw))
+                written += 1
+            return pa.record_batch([pa.array(out, pa.binary())], ["frame"])
+
+        def begin() -> None:
+            nonlocal coder, head
             dictionary = make_dictionary(pending)
             coder = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(dictionary), write_content_size=True)
-            return coder, [struct.pack("<II", DICTIONARY_MAGIC, len(dictionary)) + dictionary, *map(coder.compress, pending)]
+            head = struct.pack("<II", DICTIONARY_MAGIC, len(dictionary)) + dictionary
 
-        emit = lambda out: pa.record_batch([pa.array(out, pa.binary())], ["frame"])
         for batch in batches:
-            out: list[bytes] = []
             for lo in range(0, batch.num_rows, 64):
                 for r in batch.slice(lo, 64).to_pylist():
                     payload = r["html"].encode() if r["refers_to"] is None else b""
-                    raw = record_bytes(r["page_id"], r["uri"], payload, r["digest"], r["length"], r["refers_to"], date)
-                    if coder:
-                        out.append(coder.compress(raw))
-                        continue
-                    pending.append(raw)
-                    if len(pending) >= SAMPLE_RECORDS:
-                        coder, out = begin()
-                if out:
-                    yield emit(out)
-                    out = []
-        if not coder and pending:
-            yield emit(begin()[1])
+                    pending.append(record_bytes(r["page_id"], r["uri"], payload, r["digest"], r["length"], r["refers_to"], date))
+                if not coder and len(pending) >= SAMPLE_RECORDS:
+                    begin()
+                if coder:
+                    yield coded(pending)
+                    pending = []
+        if pending:
+            begin()
+            yield coded(pending)
 
     made = rows.mapInArrow(archive, "frame binary").select(F.col("frame").cast("string").alias("value"))
-    made.write.option("lineSep", EMPTY_FRAME.decode("ascii")).text(path)
+    made.write.option("lineSep", EMPTY_FRAME.decode("ascii")).option("maxRecordsPerFile", most + 1).text(path)
 
 
 RECORDS = "record_type string, page_id long, uri string, refers_to long, payload_bytes long, payload_digest string, payload binary"

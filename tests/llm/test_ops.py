@@ -76,6 +76,18 @@ def test_warc_round_trip(spark, tmp_path):
     assert raw[:4] == (0x184D2A5D).to_bytes(4, "little")
 
 
+@pytest.mark.parametrize("digests", [250_000, 0])
+def test_warc_archives_have_few_records_and_repeats_are_joined_by_either_way(spark, tmp_path, monkeypatch, digests):
+    monkeypatch.setattr(warc, "BROADCAST_DIGESTS", digests)
+    rows = [(i, None, f"<p>{i % 7}</p>" * 40) for i in range(500)] + [(None, "u", "x"), (3, None, "<p>3</p>" * 40)]
+    warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2), str(tmp_path / "w"), most=70)
+    got = warc.read_archives(spark, str(tmp_path / "w")).collect()
+    want = [(i, "response" if i is None or i < 7 else "revisit", None if i is None or i < 7 else i % 7) for i, _, _ in rows]
+    assert sorted(map(repr, ((r.page_id, r.record_type, r.refers_to) for r in got))) == sorted(map(repr, want))
+    files = [p.read_bytes() for p in (tmp_path / "w").glob("part-*") if p.stat().st_size]
+    assert len(files) >= 8 and all(f[:4] == (0x184D2A5D).to_bytes(4, "little") and len(list(warc.read_archive(f))) <= 70 for f in files)
+
+
 def test_warc_empty_table(spark, tmp_path):
     warc.write_archives(spark.createDataFrame([], "page_id long, url string, html string"), str(tmp_path / "e"))
     assert warc.read_archives(spark, str(tmp_path / "e")).count() == 0
@@ -484,6 +496,15 @@ def test_near_duplicates_of_repeated_ids_and_rows(spark):
     assert kept == {(0, sha(a)), (1, sha(b)), (1, sha(c)), (4, sha(""))}
 
 
+def test_staged_tables_are_dropped_but_for_those_still_read(spark):
+    a = " ".join(f"w{i}" for i in range(30))
+    since = shared.staged_so_far()
+    out = jaccard.near_duplicates(spark.createDataFrame([(1, a), (2, a + " x"), (3, "other")], DDL))
+    labels = [x[1] for x in shared._staged[since:]]
+    assert len(labels) == 4 and set(labels[:3]) == {"signed", "texts", "checked"} and labels[3].startswith("links")
+    assert sorted((r.doc_id, r.class_id) for r in out.collect()) == [(1, 1), (2, 1), (3, 3)]
+
+
 def test_near_duplicates_count_repeated_near_rows_once_each(spark):
     a = [f"w{i}" for i in range(60)]
     near = " ".join([*a[:59], "other"])
