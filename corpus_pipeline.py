@@ -15,7 +15,7 @@ from pagemill.llm.decontaminate import decontaminate
 from pagemill.llm.jaccard import near_duplicates, text_digest
 from pagemill.llm.langid import UNKNOWN, fit, predict
 from pagemill.llm.packing import pack, vocabulary_path
-from pagemill.llm.shared import staged
+from pagemill.llm.shared import drop_staged, staged, staged_so_far
 from pagemill.llm.substring import remove_repeats
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -96,8 +96,9 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order over the documents table."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages in order over the documents table; of the tables in the shared folder the last stage's is left."""
+    docs, since = spark.read.parquet(f"{sf_dir}/documents.parquet"), staged_so_far()
     for name, stage in STAGES:
         docs = staged(stage(spark, docs, sf_dir), f"stage-{name}")
+        drop_staged(since, keep=(f"stage-{name}",))
     return docs
