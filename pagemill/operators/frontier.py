@@ -7,39 +7,22 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagemill.functions.lexicon import (
+    BROAD_SKIPPED,
+    BROAD_WORDS,
+    CRITICAL,
+    FIELD_WORDS,
+    NARROW_SKIPPED,
+    NARROW_WORDS,
+    PROGRAM_PATHS,
+    PROGRAM_WORDS,
+    SEMESTER_PATHS,
+    SITE_WIDE,
+    SUBPAGES,
+)
 from pagemill.functions.text import let
 from pagemill.functions.urls import link_key
 
-# Results depend on each entry.
-SEMESTER_PATHS = ["/First%20Semester/", "/Second%20Semester/", "/Semester/", "/semester/"]
-PROGRAM_PATHS = ["/program/", "/course/", "/msc-", "/mba-", "/master"]
-PROGRAM_WORDS = ["programme", "program", "course", "masters", "msc", "mba", "phd", "postgraduate", "graduate", "taught", "study"]
-BROAD_SKIPPED = [
-    "login", "logout", "signin", "signup", "register", "cart", "shop", "news", "event", "blog", "staff", "contact", "sitemap", "search",
-    "privacy", "cookie", "legal", "accessibility", "alumni", "donate", "mailto:", "javascript:", "#", ".pdf", ".doc", ".zip",
-    "/find/", "/find?", "study-with-us", "graduate-courses", "in_c=", "?in_c", "courses/list",
-]
-BROAD_WORDS = [
-    "entry-requirement", "entry_requirement", "admission", "requirement", "english", "language", "ielts", "toefl", "fee", "tuition", "cost",
-    "funding", "scholarship", "finance", "how-to-apply", "apply", "application", "deadline", "overview", "about", "programme", "program",
-    "course", "structure", "modules", "curriculum", "admissions-and-aid", "tuition-and-fees", "international-students", "graduate-admissions", "graduate-tuition",
-]
-SITE_WIDE = ["admissions-and-aid", "tuition-and-fees", "tuition-fees", "international-students", "graduate-admissions", "graduate-tuition", "financial-aid", "scholarships"]
-NARROW_SKIPPED = ["login", "staff", "news", "event", "alumni", "donate", "privacy", "cookie", "visa", "undergraduate"]
-NARROW_WORDS = ["entry-requirement", "fees", "tuition", "english", "ielts", "how-to-apply", "admission", "scholarship", "funding", "international", "structure", "curriculum"]
-SUBPAGES = [
-    "/entry-requirements", "/fees", "/how-to-apply", "/application", "/english-requirements", "/english-language-requirements", "/scholarships", "/funding",
-    "/overview", "/admissions", "/structure", "/modules", "/curriculum", "/international-students", "/international",
-]
-CRITICAL = {"fees": ["tuition", "fees", "cost", "bursar"], "english": ["english", "ielts", "toefl", "language"], "entry": ["entry", "admission", "requirement", "apply"]}
-FIELD_WORDS = {
-    "tuition_fees": ["tuition", "fee", "cost", "$", "£", "€", "usd", "gbp"],
-    "english_requirements": ["ielts", "toefl", "pte", "duolingo", "english language"],
-    "application_deadlines": ["deadline", "closing date", "apply by", "submission"],
-    "min_academic_requirement": ["gpa", "grade", "academic requirement", "qualification"],
-}
-
-
 def _any(x: Column, words: list[str]) -> Column:
     return x.rlike("|".join(re.escape(w) for w in words))
 
@@ -111,6 +94,29 @@ def waterfall(pages: DataFrame, seed: str, tier: str = "tier", main: str = "is_m
     return pages.join(good, seed).filter(F.col(tier) == F.col("_tier")).drop("_tier")
 
 
+def fetch_by_tiers(fetches: DataFrame, url: str = "url", words: int = 200) -> DataFrame:
+    """One row per URL: that of the first tier with content and enough words; where none has, method ``all_failed``, tier 0 and an error.
+
+    ``fetches`` has ``tier``, ``method``, ``content`` and ``word_count``; of several good rows of a tier the one with most words counts.
+    """
+    good = (F.col("content") != "") & (F.col("word_count") >= words)
+    best = F.min_by(F.when(good, F.struct("tier", "method", "content", "word_count")), F.when(good, F.struct("tier", (-F.col("word_count")).alias("w"), "content")))
+    failed = F.struct(F.lit(0).alias("tier"), F.lit("all_failed").alias("method"), F.lit("").alias("content"), F.lit(0).alias("word_count"))
+    rows = fetches.groupBy(url).agg(best.alias("b")).select(url, F.col("b").isNull().alias("_none"), F.coalesce(F.col("b"), failed.cast(fetches.select(F.struct("tier", "method", "content", "word_count").alias("b")).schema["b"].dataType)).alias("b"))
+    return rows.select(url, "b.*", F.when(F.col("_none"), "All tiers failed").alias("error"))
+
+
+#: Sources of program links: a site map first, then the crawl, then the browser.
+DISCOVERY_ORDER = (2, 1, 3)
+
+
+def discovered(links: DataFrame, site: str, tier: str = "tier", order: tuple[int, ...] = DISCOVERY_ORDER) -> DataFrame:
+    """The links of each site's first source, in ``order``, that has any; sites without links have no rows."""
+    place = F.array_position(F.array(*map(F.lit, order)), F.col(tier))
+    first = links.filter(place > 0).groupBy(site).agg(F.min(place).alias("_first"))
+    return links.join(first, site).filter(place == F.col("_first")).drop("_first").distinct()
+
+
 def new_candidates(candidates: DataFrame, pages: DataFrame, by: str, url: str = "url") -> DataFrame:
     """Candidates (``by``, ``url``) that no page of the same group has, up to case and trailing slash."""
     seen = pages.select(by, link_key(F.col(url)).alias("_key")).distinct()

@@ -91,6 +91,18 @@ def field_rows(records: DataFrame, key: str, fields: list[str]) -> DataFrame:
     return records.select(key, F.explode(pairs).alias("p")).select(key, "p.field", "p.value")
 
 
+def record_csv(records: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """``key, csv``: each record as a table of two columns, field and value, every cell in quotes; null as empty text."""
+    quoted = lambda c: F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))
+    lines = [F.concat(quoted(F.lit(f)), F.lit(","), quoted(F.coalesce(F.col(f).cast("string"), F.lit("")))) for f in fields]
+    return records.select(key, F.concat_ws("\n", F.lit("field,value"), *lines).alias("csv"))
+
+
+def elapsed(started: Column, ended: Column) -> Column:
+    """Seconds between two times, with two decimals; null while one is missing."""
+    return F.round((F.unix_micros(ended) - F.unix_micros(started)) / 1_000_000, 2)
+
+
 def delete(records: DataFrame, gone: DataFrame, key: str) -> DataFrame:
     return records.join(gone.select(key).distinct(), key, "left_anti")
 

@@ -164,8 +164,31 @@ def call_waits(spark, d):
     return out.select("event_id", *(F.round(c, 3).alias(c) for c in ("window_wait", "gap_wait", "cooldown_wait", "wait")))
 
 
+def tier_results(spark, d):
+    """Pages by the first tier that gave enough of them."""
+    p = derived.pages(spark, d)
+    rows = p.select("page_id", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("tier"), "content")
+    rows = rows.select("page_id", "tier", F.concat(F.lit("m"), F.col("tier").cast("string")).alias("method"), F.when((F.col("page_id") + F.col("tier")) % 3 > 0, F.col("content")).alias("content"), ((F.col("page_id") * F.col("tier")) % 300).cast("int").alias("word_count"))
+    return frontier.fetch_by_tiers(rows, "page_id", words=120).select("page_id", "tier", "method", "word_count", "error", F.length("content").cast("long").alias("n_chars"))
+
+
+def discovered_programs(spark, d):
+    p = derived.pages(spark, d)
+    return frontier.discovered(p.select("scrape", (F.col("page_id") % 5).cast("int").alias("tier"), "url").filter("scrape % 3 > 0 OR tier <> 2"), "scrape").groupBy("scrape", "tier").agg(F.count("*").alias("n"))
+
+
+def record_sheets(spark, d):
+    r = derived.records(spark, d).withColumn("degree_level", F.concat(F.lit('say "'), F.col("degree_level"), F.lit('", so')))
+    return history.record_csv(r, "scrape", FIELDS).select("scrape", F.md5("csv").alias("csv_md5"))
+
+
+def run_seconds(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    return e.groupBy("user_id").agg(F.min("ts").alias("a"), F.max("ts").alias("b")).select("user_id", history.elapsed(F.col("a"), F.col("b")).alias("seconds"))
+
+
 QUERIES = {f.__name__: f for f in (
-    page_texts, html_flags, markdown_picks, link_unions, rescanned_pages, extracted_records, attributed_records, summary_list, searched_records, exported_json,
+    tier_results, discovered_programs, record_sheets, run_seconds, page_texts, html_flags, markdown_picks, link_unions, rescanned_pages, extracted_records, attributed_records, summary_list, searched_records, exported_json,
     exported_first, deleted_by_address, run_averages, batch_progress, batch_table, coverage_marks, zipped_sources, call_waits,
 )}
 
@@ -190,6 +213,16 @@ _GIVEN_SQL = {
 _WAIT = "greatest(0, coalesce(({0} + {1} * 1000000 - us) / 1000000, 0))"
 
 ORACLE_SQL = {
+    "tier_results": f"""WITH r AS (SELECT page_id, t AS tier, (page_id * t) % 300 AS w, length(content) AS n FROM {PAGES}, (SELECT unnest([1, 2, 3]) AS t) WHERE (page_id + t) % 3 > 0 AND content <> ''),
+g AS (SELECT page_id, min(tier) AS tier FROM r WHERE w >= 120 GROUP BY 1)
+SELECT p.page_id, coalesce(g.tier, 0)::INT AS tier, coalesce('m' || g.tier, 'all_failed') AS method, coalesce(r.w, 0)::INT AS word_count, CASE WHEN g.tier IS NULL THEN 'All tiers failed' END AS error, coalesce(r.n, 0)::BIGINT AS n_chars
+FROM pages p LEFT JOIN g ON g.page_id = p.page_id LEFT JOIN r ON r.page_id = g.page_id AND r.tier = g.tier""",
+    "discovered_programs": f"""WITH l AS (SELECT DISTINCT scrape, (page_id % 5)::INT AS tier, url FROM {PAGES} WHERE (scrape % 3 > 0 OR page_id % 5 <> 2) AND page_id % 5 IN (1, 2, 3)),
+f AS (SELECT scrape, min(CASE tier WHEN 2 THEN 1 WHEN 1 THEN 2 ELSE 3 END) AS o FROM l GROUP BY 1)
+SELECT scrape, tier, count(*) AS n FROM l JOIN f USING (scrape) WHERE CASE tier WHEN 2 THEN 1 WHEN 1 THEN 2 ELSE 3 END = o GROUP BY 1, 2""",
+    "record_sheets": f"""SELECT scrape, md5('field,value' || {' || '.join(f"chr(10) || {q(chr(34) + f + chr(34) + ',' + chr(34))} || replace(coalesce({f}, ''), '{chr(34)}', '{chr(34) * 2}') || '{chr(34)}'" for f in FIELDS)}) AS csv_md5
+FROM (SELECT * REPLACE ('say "' || degree_level || '", so' AS degree_level) FROM {RECORDS})""",
+    "run_seconds": "SELECT user_id, round((max(epoch_us(ts)) - min(epoch_us(ts))) / 1000000, 2) AS seconds FROM events GROUP BY 1",
     "html_flags": f"SELECT page_id, regexp_matches(html, '<[a-zA-Z][^>]{{0,100}}>') AS html_is, regexp_matches('a < b and c > d: ' || content, '<[a-zA-Z][^>]{{0,100}}>') AS content_is FROM {PAGES}",
     "markdown_picks": "SELECT page_id, coalesce(CASE WHEN page_id % 2 > 1 THEN 'raw' END, CASE WHEN page_id % 3 > 1 THEN 'fit' END, CASE WHEN page_id % 5 > 1 THEN 'plain' END) AS picked FROM pages",
     "link_unions": f"""WITH p AS (SELECT page_id, url, html, content || ' [x](https://h.org/a?b) see https://k.org/b). and (https://l.org/c)' AS content FROM {PAGES}),
