@@ -146,3 +146,56 @@ def smallest_capacity(sizes, shards):
         mid = (low + high) // 2
         low, high = (low, mid) if fits(mid) else (mid + 1, high)
     return low
+
+
+def quality_counts(text):
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words."""
+    text = text or ""
+    w = re.findall(r"[^\x20\x09-\x0D]+", text)
+    windows = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+    twice = Counter(windows)
+    covered = {i + k for i, g in enumerate(windows) if twice[g] > 1 for k in range(3)}
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(covered)
+
+
+def ranked(docs, items, k=10):
+    """(item position, rank, doc, score) by scoring every pair."""
+    split = [(d, words(t)) for d, t in docs]
+    counts = [(d, Counter(w), len(w)) for d, w in split]
+    n_docs, length = sum(n > 0 for *_, n in counts), sum(n for *_, n in counts)
+    df = Counter(t for _, c, _ in counts for t in c)
+    out = []
+    for i, (_, text) in enumerate(items):
+        weight = {t: math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df[t] + 1))) for t in set(words(text))}
+        found = []
+        for d, c, n in counts:
+            m = 10 + 90 * n * n_docs // max(length, 1)
+            score = sum(w * (1_000_000_000 * c[t] // (1000 * c[t] + 8 * m)) for t, w in weight.items() if t in c)
+            if score > 0:
+                found.append((-score, d is None, d or 0))
+        out += [(i, r, None if null else d, -s) for r, (s, null, d) in enumerate(sorted(found)[:k], 1)]
+    return out
+
+
+def resampled(docs, target, buckets=10_000, percent=25, least=20, seed=7):
+    """(doc, n_features, weight, score, rank) by a sort of all documents."""
+    import zlib
+
+    def features(text):
+        w = words(text)
+        return [zlib.crc32(x.encode()) % buckets for x in [*w, *(f"{a} {b}" for a, b in zip(w, w[1:], strict=False))]]
+
+    mine = [(d, len(words(t)), features(t)) for d, t in docs]
+    s, t = Counter(b for *_, f in mine for b in f), Counter(b for _, x in target for b in features(x))
+    total_s, total_t = sum(s.values()), sum(t.values())
+    gain = lambda b: math.floor(1000 * math.log((t[b] + 1) * (total_s + buckets) / ((s[b] + 1) * (total_t + buckets))))
+    rows = []
+    for i, (d, n, f) in enumerate(mine):
+        weight = sum(map(gain, f)) // len(f) if f else 0
+        h = int(sha(f"{seed}:{'null' if d is None else d}")[:8], 16)
+        rows.append([d, len(f), weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296))), None, n, i])
+    able = sorted((r for r in rows if r[5] >= least), key=lambda r: (-r[3], r[0] is None, r[0] or 0, r[6]))
+    for k, r in enumerate(able[: percent * len(able) // 100], 1):
+        r[4] = k
+    return [tuple(r[:5]) for r in rows]
