@@ -38,10 +38,10 @@ LEARNING_DIGITS = "01234"
 
 
 class Rule(NamedTuple):
-    """A measure (long, higher is worse) and its cutoffs, from the strictest on."""
+    """A measure (SQL over the counts of a text; long, higher is worse) and its cutoffs, from the strictest on."""
 
     name: str
-    measure: Column
+    measure: str
     cutoffs: Sequence[int]
 
 
@@ -52,15 +52,15 @@ def steps(top: int, least: int, ratio: float = 0.85) -> list[int]:
 
 def standard_rules() -> list[Rule]:
     """Shares in thousandths, mean word lengths in hundredths, and distinct flagged words."""
-    share = lambda part, whole: F.expr(f"1000 * {part} div greatest({whole}, 1)")
-    length = F.expr("100 * word_chars div greatest(n_words, 1)")
+    share = lambda part, whole: f"1000 * {part} div greatest({whole}, 1)"
+    length = "100 * word_chars div greatest(n_words, 1)"
     return [
         Rule("symbols", share("n_symbols", "word_chars"), steps(1000, 5)),
         Rule("lines", share("n_dup_lines", "n_lines"), steps(1000, 50)),
         Rule("repeats", share("n_repeat_words", "n_words"), steps(500, 20)),
         Rule("long_words", length, steps(3000, 500, 0.95)),
-        Rule("short_words", F.lit(1000) - length, [1000 - x for x in steps(500, 100, 0.95)[::-1]]),
-        Rule("flagged", F.col("n_flagged"), [5, 4, 3, 2, 1]),
+        Rule("short_words", f"1000 - {length}", [1000 - x for x in steps(500, 100, 0.95)[::-1]]),
+        Rule("flagged", "n_flagged", [5, 4, 3, 2, 1]),
     ]
 
 
@@ -216,7 +216,7 @@ def quality_rules(
     rows = docs.select(F.col(doc_id).alias("doc"), F.col(stratum).alias("stratum"), F.col(text).alias("text"))
     flagged = flagged_words(rows, known)
     seen = staged(text_measures(rows, "text", flagged), "measures")
-    valued = seen.withColumn("values", F.array(*(r.measure.cast("long") for r in rules)))
+    valued = seen.withColumn("values", F.array(*(F.expr(r.measure).cast("long") for r in rules)))
     # what the base rules reject is not left for the others to judge
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     labelled = valued.filter(~failed).join(known, "doc").select("stratum", "values", ((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("good"), learning("doc").alias("learn"))

@@ -94,7 +94,7 @@ def test_thresholds_against_a_plain_choice(spark):
         values = [int(rng.gauss(20 if good else 60, 12)), rng.choice([0, 0, 0, 7] if good else [0, 7, 9]), rng.choice([0, 1])]
         rows.append((s, good, rng.random() < 0.3, values))
     rows += [("only bad", False, False, [90, 9, 1])] * 20
-    rules = [quality.Rule("first", F.lit(0), [90, 70, 60, 50, 40, 30]), quality.Rule("second", F.lit(0), [9, 8, 7]), quality.Rule("third", F.lit(0), [1])]
+    rules = [quality.Rule("first", "0", [90, 70, 60, 50, 40, 30]), quality.Rule("second", "0", [9, 8, 7]), quality.Rule("third", "0", [1])]
     df = spark.createDataFrame(rows, "stratum string, good boolean, learn boolean, values array<bigint>").repartition(3)
     tested = quality.certified(df, rules, 0.3, 0.05)
     got = {r.stratum: [tuple(c) for c in r.cutoffs] for r in quality.chosen(tested, 2).collect()}
@@ -106,7 +106,7 @@ def test_thresholds_against_a_plain_choice(spark):
 def test_false_rejections_stay_below_the_limit(spark):
     """Over many draws in which a measure says nothing, a limit is broken in at most the share of ``error``."""
     rng, broken, rate, runs = np.random.default_rng(3), 0, 0.1, 60
-    rules = [quality.Rule("noise", F.lit(0), list(range(99, 0, -3)))]
+    rules = [quality.Rule("noise", "0", list(range(99, 0, -3)))]
     rows = [(f"r{k}", bool(rng.random() < 0.7), bool(rng.random() < 0.3), [int(rng.integers(0, 100))]) for k in range(runs) for _ in range(400)]
     df = spark.createDataFrame(rows, "stratum string, good boolean, learn boolean, values array<bigint>")
     for r in quality.certified(df, rules, rate, 0.05 * runs).filter("certified").groupBy("stratum").agg(F.min("cutoff").alias("c")).collect():
@@ -131,7 +131,7 @@ def test_quality_rules(spark, docs):
     by = {r.doc_id: r for r in got if r.doc_id is not None}
     assert all(by[i].kept == (i % 10 > 1) for i in range(3000) if i % 7)
     assert all(by[i].kept for i in range(0, 3000, 7))  # too few labels to certify anything
-    assert by[10].rejected_by == "symbols" and by[1].rejected_by == "flagged"
+    assert by[10].rejected_by == "symbols,short_words" and by[1].rejected_by == "flagged"
     assert by[10_000].base_failed and by[10_001].base_failed and not by[10_000].kept
     assert by[10_002].kept and not by[10_003].kept and next(r for r in got if r.doc_id is None).kept
     again = quality.quality_rules(df, marks.limit(0)).collect()
