@@ -3,10 +3,10 @@
 import duckdb
 import pytest
 
-from pagemill.plans import crawl_queries, oracle, queries, record_queries
+from pagemill.plans import crawl_queries, oracle, queries, record_queries, state_queries
 
-ORACLE_SQL = oracle.ORACLE_SQL | crawl_queries.ORACLE_SQL | record_queries.ORACLE_SQL
-QUERIES = queries.QUERIES | crawl_queries.QUERIES | record_queries.QUERIES
+ORACLE_SQL = oracle.ORACLE_SQL | crawl_queries.ORACLE_SQL | record_queries.ORACLE_SQL | state_queries.ORACLE_SQL
+QUERIES = queries.QUERIES | crawl_queries.QUERIES | record_queries.QUERIES | state_queries.QUERIES
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "customer orders events documents pages conversations".split()
