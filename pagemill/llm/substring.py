@@ -23,7 +23,7 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -32,8 +32,6 @@ from pagemill.llm.shared import SAME, SPACED, Words, mix, sliding_min, text_buff
 
 PARTITION_BYTES = 24 << 20
 BLOCK_BYTES = 4 << 20
-#: Bits of a row's text hash that tell apart rows of equal id.
-SAME_BITS = 16
 #: A seed with so many rows is hot.
 HOT_ROWS = 5000
 
@@ -74,8 +72,8 @@ def _runs(doc: np.ndarray, same: np.ndarray, place: np.ndarray) -> tuple[np.ndar
     return doc[at], same[at], place[at], np.diff(np.concatenate([at, [len(doc)]]))
 
 
-_ROW = pa.schema([("key", pa.int64()), ("doc", pa.int64()), ("same", pa.int32()), ("place", pa.int64()), ("mask", pa.int64()), ("tail", pa.binary())])
-_ROW_DDL = "key long, doc long, same int, place long, mask long, tail binary"
+_ROW = pa.schema([("key", pa.int64()), ("doc", pa.int64()), ("same", pa.int64()), ("place", pa.int64()), ("mask", pa.int64()), ("tail", pa.binary())])
+_ROW_DDL = "key long, doc long, same long, place long, mask long, tail binary"
 
 
 class _Block:
@@ -156,7 +154,7 @@ def _batch(key, doc, same, place, mask, tail) -> pa.RecordBatch:
     return pa.record_batch([*arrays, pa.array(tail, pa.binary())], schema=_ROW)
 
 
-_RUN = pa.schema([("doc", pa.int64()), ("same", pa.int32()), ("place", pa.int64()), ("n", pa.int64())])
+_RUN = pa.schema([("doc", pa.int64()), ("same", pa.int64()), ("place", pa.int64()), ("n", pa.int64())])
 
 
 def _matched(table: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -196,7 +194,7 @@ def _dealt(docs: DataFrame, doc_id: str, text: str, block_bytes: int) -> tuple[D
     total = docs.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
     rest = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text))
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc"), F.pmod(F.xxhash64(text), F.lit(1 << SAME_BITS)).cast("int").alias("same"), F.col(text).alias("text"), rest.alias("rest"))
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc"), F.xxhash64(text).alias("same"), F.col(text).alias("text"), rest.alias("rest"))
     return rows.select("doc", "same", _block_of(blocks), "text", "rest"), total, blocks
 
 
@@ -214,9 +212,9 @@ def _found_runs(rows: DataFrame, total: int, window: int, seed: int, partition_b
         return pa.table({"key": keys.view(np.int64), "block": np.full(len(keys), key[0].as_py()), "n": n})
 
     sent = rows.groupBy("block").applyInArrow(anchors, "key long, block long, n long")
-    same_key = Window.partitionBy("key")  # a row for each block at most
-    shared = sent.select("key", "block", F.count("*").over(same_key).alias("_blocks"), F.sum("n").over(same_key).alias("_rows")).filter("_blocks > 1")
-    shared = shared.select("key", "block", (F.col("_rows") >= hot_rows).alias("hot"))
+    # counts are added up in the tasks first, and the join may split a key, so that an anchor of all blocks is no task's own
+    counts = sent.groupBy("key").agg(F.count("*").alias("_blocks"), F.sum("n").alias("_rows")).filter("_blocks > 1")
+    shared = sent.select("key", "block").join(counts, "key").select("key", "block", (F.col("_rows") >= hot_rows).alias("hot"))
 
     def windows(table: pa.Table, shared: pa.Table) -> pa.Table:
         if not table.num_rows:
@@ -232,7 +230,7 @@ def _found_runs(rows: DataFrame, total: int, window: int, seed: int, partition_b
             yield from _matched(pa.Table.from_batches(parts))
 
     dealt = rows.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(windows, _ROW_DDL)
-    return dealt.repartition(max(1, -(-total // partition_bytes)), "key").mapInArrow(match, "doc long, same int, place long, n long")
+    return dealt.repartition(max(1, -(-total // partition_bytes)), "key").mapInArrow(match, "doc long, same long, place long, n long")
 
 
 def repeated_runs(
@@ -247,7 +245,7 @@ def repeated_runs(
 ) -> DataFrame:
     """Runs of windows whose words occur earlier: ``doc, same, place`` (of the first window's first word), ``n`` windows.
 
-    ``same`` tells apart rows of one id by their text. Earlier: a smaller id, or the same id and an earlier place.
+    ``same``, the 64-bit hash of the text, tells apart rows of one id. Earlier: a smaller id, or the same id and an earlier place.
     Null texts have no words, null ids take no part, an empty table gives no rows, and other columns are not looked at.
     """
     rows, total, _ = _dealt(docs.select(doc_id, text), doc_id, text, block_bytes)
@@ -268,9 +266,10 @@ def remove_repeats(
 
     All columns stay, ``text`` holds what is kept, and ``n_words`` and ``n_removed`` are added (columns that
     have these names give way). Words are runs of other bytes than blank and tab to carriage return; windows
-    are judged on the input. A null text has no words and becomes empty; a null id takes no part and keeps its
-    words; rows that repeat an id and text are treated alike, so neither removes the other's words. An empty
-    table gives no rows.
+    are judged on the input. A null text has no words and becomes empty; texts are read whole, and one longer than
+    ``block_bytes`` makes its block so much larger; a null id takes no part and keeps its words. Of equal windows in
+    different texts of one id one stays, or those that stand at equal places; rows that repeat an id and text are treated
+    alike, so neither removes the other's words. An empty table gives no rows.
     """
     names = [c for c in docs.columns if c not in ("n_words", "n_removed")]
     docs = docs.select(*(F.col(f"`{c}`") for c in names))

@@ -114,6 +114,15 @@ def test_decontamination(spark, docs, most):
     assert all(sum(s["to"] - s["from"] for s in r.spans) == r.n_hit for r in got)
 
 
+@pytest.mark.parametrize("most", [10_000, 0])
+def test_decontamination_keeps_repeated_rows(spark, most):
+    rows = [(1, ITEMS[0][1]), (1, ITEMS[0][1]), (2, "clean"), (2, "clean"), (2, "clean"), (None, None), (None, None), (1, "else")]
+    items = spark.createDataFrame([*ITEMS[:1], *ITEMS[:1]], "item_id long, text string")
+    got = decontaminate.decontaminate(spark.createDataFrame(rows, DDL).repartition(3), items, broadcast_fingerprints=most).collect()
+    n = len(brute.words(ITEMS[0][1]))
+    assert sorted((r.doc_id or 0, r.n_words, r.n_hit, r["items"]) for r in got) == [(0, 0, 0, []), (0, 0, 0, []), (1, 1, 0, []), (1, n, n, [1]), (1, n, n, [1]), (2, 1, 0, []), (2, 1, 0, []), (2, 1, 0, [])]
+
+
 def test_decontamination_of_far_places(spark, docs, monkeypatch):
     monkeypatch.setattr(decontaminate, "PLACE_BITS", 7)
     monkeypatch.setattr(decontaminate, "PLACES", 128)
@@ -145,6 +154,28 @@ def test_substring_repeated_rows_and_empty(spark, none):
     assert substring.remove_repeats(none).count() == 0
 
 
+def test_many_texts_of_one_id_are_told_apart(spark):
+    """Among 2,000 texts of one id some have hashes that agree in their low bits; every text keeps its own words."""
+    words = " ".join(f"r{i}" for i in range(30))
+    texts = [f"{words} {words} own{i}" if i % 500 == 7 else f"other short text {i}" for i in range(2000)]
+    got = [r.text for r in substring.remove_repeats(spark.createDataFrame([(1, t) for t in texts], DDL).repartition(3), block_bytes=20_000).collect()]
+    assert sorted(got) == sorted(f"{words} own{i}" if i % 500 == 7 else t for i, t in enumerate(texts))
+    low = F.pmod(F.xxhash64("t"), F.lit(1 << 16))
+    some = spark.range(3000).select(F.concat(F.lit("other short text "), F.col("id").cast("string")).alias("t"))
+    pair = some.withColumn("low", low).groupBy("low").agg(F.collect_list("t").alias("ts")).filter("size(ts) > 1").first().ts[:2]
+    both = spark.createDataFrame([(1, f"{words} {words}"), (1, pair[0]), (1, pair[1]), (1, f"{words} {words} {pair[0]}")], DDL)
+    assert sorted(r.text for r in substring.remove_repeats(both).collect()) == sorted([words, pair[0], pair[1], f"{words} {pair[0]}"])
+
+
+def test_substring_of_a_very_long_text(spark):
+    rng = np.random.default_rng(1)
+    long = " ".join(f"w{x}" for x in rng.integers(0, 50_000, 1_000_000))
+    rows = [(2, long), (1, long[-1500:].split(" ", 1)[1]), (3, "x" * 3_000_000), (4, long.split(" ", 700_000)[-1])]
+    got = {r.doc_id: (r.n_words, r.n_removed) for r in substring.remove_repeats(spark.createDataFrame(rows, DDL)).collect()}
+    first = len(rows[1][1].split())
+    assert got == {1: (first, 0), 2: (1_000_000, first), 3: (1, 0), 4: (300_000, 300_000)}
+
+
 @pytest.mark.parametrize("hot_rows", [10**9, 50])
 def test_windows_that_differ_in_half_their_hash_bits_are_no_repeats(spark, monkeypatch, hot_rows):
     """A common header before different texts, whose windows have equal upper bits."""
@@ -155,7 +186,7 @@ def test_windows_that_differ_in_half_their_hash_bits_are_no_repeats(spark, monke
     # two blocks, so that the repeat of text 7 is not settled inside one
     blocks = []
     for some in (texts[:300], texts[300:]):
-        table = pa.table({"doc": [i for i, _ in some], "same": pa.array([0] * len(some), pa.int32()), "text": [t for _, t in some]})
+        table = pa.table({"doc": [i for i, _ in some], "same": pa.array([0] * len(some), pa.int64()), "text": [t for _, t in some]})
         blocks.append(substring._Block(table, 20, 10))
     keys, n = np.unique(np.concatenate([b.low[b.heads()] for b in blocks]), return_counts=True)
     hot = keys[n >= hot_rows]
