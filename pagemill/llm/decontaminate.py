@@ -111,8 +111,9 @@ def decontaminate(
     ``spans`` (first word and end of each stretch of such words), ``items`` (ids with an occurrence) and
     ``text_hash`` (xxhash64 of the text, which tells apart rows of one id).
     A window is ``window`` consecutive words of an item; an item of fewer words is one window, one
-    without words has none. A null or empty text has no words. Rows of the same id and text count
-    once; null ids of documents stay null; other columns are not looked at; with no items, or no documents, nothing is hit.
+    without words has none. A null or empty text has no words; texts of any length are read whole. Repeated rows each have
+    their row, all alike, and so have items, whose repeats change nothing; null ids of documents stay null; where windows of
+    several items meet, all of these are named; other columns are not looked at; with no items, or no documents, nothing is hit.
 
     The test set's fingerprints are counted first: up to ``broadcast_fingerprints`` they are
     broadcast and texts are read once without a shuffle; beyond, fingerprints are joined by a
@@ -145,6 +146,7 @@ def decontaminate(
     grouped = rows.groupBy(*keep).agg(
         F.array_sort(F.collect_set(F.when(F.col("from").isNotNull(), F.struct("from", "to")))).alias("_hits"),
         F.collect_set("item").alias("items"),
+        F.count_if(F.col("from").isNull()).cast("int").alias("_times"),  # each row of a text sends one without a hit
     )
     hit = F.transform("_hits", lambda x: F.sequence(x["from"], x["to"] - 1))
     out = grouped.withColumn("_hit", F.sort_array(F.array_distinct(F.flatten(hit))))
@@ -152,7 +154,8 @@ def decontaminate(
     begins = F.filter("_hit", lambda w, i: (i == 0) | (F.get("_hit", F.greatest(i - 1, F.lit(0))) != w - 1))
     ends = F.filter("_hit", lambda w, i: F.coalesce(F.get("_hit", i + 1) != w + 1, F.lit(True)))
     spans = F.zip_with(begins, ends, lambda a, b: F.struct(a.alias("from"), (b + 1).alias("to")))
-    return out.select(F.col("doc").alias(doc_id), "n_words", F.size("_hit").cast("long").alias("n_hit"), spans.alias("spans"), "items", F.col("_same").alias("text_hash"))
+    out = out.select(F.col("doc").alias(doc_id), "n_words", F.size("_hit").cast("long").alias("n_hit"), spans.alias("spans"), "items", F.col("_same").alias("text_hash"), "_times")
+    return out.withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("_times")))).drop("_time", "_times")
 
 
 def _verified(found: DataFrame, keep: list[str], window: int, k: int) -> DataFrame:
