@@ -6,11 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagemill.functions import lexicon as L
+from pagemill.functions.markup import anchors
 from pagemill.functions.text import page_type, word_count
 from pagemill.functions.urls import absolute_url, base_parts, host, is_pdf, let, link_key, link_score
 
-ANCHOR = r'(?is)<a\s[^>]*href="([^"]*)"[^>]*>(.*?)</a>'
-
 
 def presence(text: Column, words: list[str]) -> Column:
     """How many of the words are in a text."""
@@ -44,18 +43,17 @@ def first_copies(rows: DataFrame, text: str, order: str, within: list[str]) -> D
 def page_links(pages: DataFrame, url: str = "url", html: str = "html", key: str = "page_id") -> DataFrame:
     """Links of each page: ``key, base, pos, target, link_text`` within the same site, no PDFs, not to itself, each target once (its first place).
 
-    All of it is worked out inside the page's own array of anchors, before links become rows, so nothing is shuffled.
+    ``pos`` counts the anchors of the page that have an address (``functions.markup.anchors``). All of it is worked out inside the page's own array of anchors, before links become rows, so nothing is shuffled.
     """
 
     def link(anchor: Column, pos: Column, base: Column) -> Column:
-        text = F.trim(F.regexp_replace(F.regexp_extract(anchor, ANCHOR, 2), "<[^>]*>", ""))
         return let(
-            absolute_url(F.regexp_extract(anchor, ANCHOR, 1), base["parts"]),
-            lambda t: F.struct(pos.alias("pos"), t.alias("target"), text.alias("link_text"), link_key(t).alias("key"), (host(t) == base["host"]).alias("near"), is_pdf(t).alias("pdf")),
+            absolute_url(anchor["href"], base["parts"]),
+            lambda t: F.struct(pos.alias("pos"), t.alias("target"), anchor["text"].alias("link_text"), link_key(t).alias("key"), (host(t) == base["host"]).alias("near"), is_pdf(t).alias("pdf")),
         )
 
     def links(base: Column) -> Column:
-        found = F.transform(F.regexp_extract_all(html, F.lit(ANCHOR), F.lit(0)), lambda a, i: link(a, i, base))
+        found = F.transform(anchors(F.col(html)), lambda a, i: link(a, i, base))
         good = F.filter(found, lambda x: x["target"].isNotNull() & ~x["target"].contains("#") & x["near"] & ~x["pdf"] & (x["key"] != base["key"]))
         first = lambda g, keys: F.transform(F.array_distinct(keys), lambda k: F.get(g, (F.array_position(keys, k) - 1).cast("int")))
         return let(good, lambda g: let(F.transform(g, lambda x: x["key"]), lambda keys: first(g, keys)))
@@ -114,7 +112,7 @@ def link_sources(pages: DataFrame, key: str = "page_id", suffixes: list[str] = L
     parts = base_parts(F.col("url"))
     none = F.array().cast("array<string>")
     sources = {
-        "html": let(parts, lambda p: F.transform(F.regexp_extract_all("html", F.lit(ANCHOR), F.lit(1)), lambda a: absolute_url(a, p))),
+        "html": let(parts, lambda p: F.transform(anchors(F.col("html")), lambda a: absolute_url(a["href"], p))),
         "markdown": F.regexp_extract_all("content", F.lit(r"\[[^\]]*\]\((https?://[^\)]+)\)"), F.lit(1)),
         "bare": F.transform(F.regexp_extract_all("content", F.lit(r"(?<!\()https?://[^\s\)>]+"), F.lit(0)), lambda u: F.regexp_replace(u, r"[.,)]+$", "")),
         "made": F.array(*(F.concat(F.lit("https://"), site, path, F.lit(x)) for x in suffixes), *(F.concat(F.lit("https://"), site, F.lit(x)) for x in site_paths)),

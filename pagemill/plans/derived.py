@@ -35,7 +35,7 @@ PROGRAMS = f"SELECT o_orderkey AS k, CASE o_orderkey % 3 WHEN 0 THEN 'Undergradu
 
 #: ``page_id, scrape, url, html, content``: pages under derived addresses, 40 to a scrape, with program text for every page.
 PAGES = f"""SELECT page_id, cast(floor(page_id / 40) as bigint) AS scrape, concat(regexp_replace(url, '[?#].*$', ''), '/', {_topic}) AS url,
- concat(html, '<a href="/apply?x=1">Apply now</a><a class="b" href="/Apply/">again</a><a href="/fees/p', cast(page_id % 9 as string), '">Tuition <b>fees</b></a><a href="/fees.pdf">fees</a><a href="https://other.org/fees">fees</a><a href="/', {_topic}, '#x">', {_topic}, '</a>') AS html,
+ concat(html, '<a href="/apply?x=1">Apply now</a><a class="b" href="/Apply/">again</a><a href="/fees/p', cast(page_id % 9 as string), '">Tuition <b>fees</b></a><a href="/fees.pdf">fees</a><a href="https://other.org/fees">fees</a><a class=x href=', chr(39), '/fees/q', cast(page_id % 5 as string), chr(39), '>Fees &amp; <i> costs </i></a><A HREF=/ielts/b>English</A><!-- <a href="/tuition/hidden">Tuition</a> --><a href="/', {_topic}, '#x">', {_topic}, '</a>') AS html,
  {_text('page_id')} AS content FROM pages"""
 
 #: Records of scrapes: fields of each order, some of them missing.

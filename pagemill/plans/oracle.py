@@ -146,7 +146,14 @@ def target(href: str, base: str) -> str:
     return f"CASE WHEN regexp_extract({cut}, '^[A-Za-z]+://[^/]*(.*)$', 1) IN ('', '/') THEN {cut} ELSE regexp_replace({cut}, '/+$', '') END"
 
 
-ANCHOR = q(r'(?is)<a\s[^>]*href="([^"]*)"[^>]*>(.*?)</a>')
+_PLAIN = lambda x: f"trim(replace(replace(replace(replace({x}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&'))"  # noqa: E731  the entities that the pages have
+#: Anchors of the derived pages: cut at each ``<a``, then at the end of the tag and of the anchor.
+ANCHORS = rf"""h AS (SELECT page_id, url, regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?is)<(script|style).*?</(script|style)>', '', 'g') AS x FROM {PAGES}),
+cut AS (SELECT page_id, url, unnest(l) AS piece, generate_subscripts(l, 1) AS i FROM (SELECT page_id, url, string_split_regex(x, '(?i)<a\s')[2:] AS l FROM h)),
+tag AS (SELECT page_id, url, i, ' ' || split_part(piece, '>', 1) AS given, substr(piece, strpos(piece, '>') + 1) AS rest FROM cut),
+given AS (SELECT page_id, url, i, regexp_extract(given, '(?i)\shref\s*=\s*("[^"]*"|''[^'']*''|[^\s"'']+)', 1) AS v, string_split_regex(string_split_regex(rest, '(?i)</a')[1], '<[^>]*>') AS pieces FROM tag),
+anchors AS (SELECT page_id, url, row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS pos, {_PLAIN('''regexp_replace(v, '^["'']|["'']$', '', 'g')''')} AS href,
+ array_to_string([{_PLAIN('y')} FOR y IN pieces], '') AS text FROM given WHERE v <> '')"""
 
 
 def _wave(d: int, most: int = 20, enough: int = 8, last: int = 3) -> str:
@@ -175,9 +182,8 @@ _min_by = lambda v, o: f"min_by({v}, {o}) FILTER ({v} IS NOT NULL)"  # noqa: E73
 SEARCH = "(regexp_matches(coalesce(university_name, ''), '(?i)program 1[0-9]$') OR regexp_matches(coalesce(program_name, ''), '(?i)program 1[0-9]$')) AND status = 'success'"
 
 ORACLE_SQL = {
-    "page_links_topk": f"""WITH a AS (SELECT page_id, url AS base, unnest(list_zip(regexp_extract_all(html, {ANCHOR}, 1), regexp_extract_all(html, {ANCHOR}, 2))) AS z,
- generate_subscripts(regexp_extract_all(html, {ANCHOR}, 1), 1) - 1 AS pos FROM {PAGES}),
-b AS (SELECT page_id, base, pos, trim(regexp_replace(z[2], '<[^>]*>', '', 'g')) AS t, {target('trim(z[1])', 'base')} AS target FROM a WHERE trim(z[1]) <> ''),
+    "page_links_topk": f"""WITH {ANCHORS},
+b AS (SELECT page_id, url AS base, pos, text AS t, {target('href', 'url')} AS target FROM anchors WHERE href <> ''),
 c AS (SELECT *, row_number() OVER (PARTITION BY page_id, {key('target')} ORDER BY pos) AS n FROM b WHERE target IS NOT NULL AND {host('target')} = {host('base')}
  AND NOT (ends_with(lower(target), '.pdf') OR contains(lower(target), '/pdf/') OR contains(lower(target), 'format=pdf')) AND {key('target')} <> {key('base')}),
 s AS (SELECT page_id, pos, target, {link_score('target', 't')} AS score FROM c WHERE n = 1)

@@ -9,7 +9,7 @@ from pagemill.functions import lexicon as L
 from pagemill.functions import text
 from pagemill.operators import crawl, extraction, frontier, history, pages, records, relevance
 from pagemill.plans import derived
-from pagemill.plans.oracle import ANCHOR, FIELDS, PAGES, PROGRAMS, RECORDS, SCORED, _cased, _present, _strip, hints, q, target
+from pagemill.plans.oracle import ANCHORS, FIELDS, PAGES, PROGRAMS, RECORDS, SCORED, _cased, _present, _strip, hints, q, target
 from pagemill.sources import html
 
 # ------------------------------------------------------------ page texts
@@ -226,8 +226,8 @@ FROM (SELECT * REPLACE ('say "' || degree_level || '", so' AS degree_level) FROM
     "html_flags": f"SELECT page_id, regexp_matches(html, '<[a-zA-Z][^>]{{0,100}}>') AS html_is, regexp_matches('a < b and c > d: ' || content, '<[a-zA-Z][^>]{{0,100}}>') AS content_is FROM {PAGES}",
     "markdown_picks": "SELECT page_id, coalesce(CASE WHEN page_id % 2 > 1 THEN 'raw' END, CASE WHEN page_id % 3 > 1 THEN 'fit' END, CASE WHEN page_id % 5 > 1 THEN 'plain' END) AS picked FROM pages",
     "link_unions": f"""WITH p AS (SELECT page_id, url, html, content || ' [x](https://h.org/a?b) see https://k.org/b). and (https://l.org/c)' AS content FROM {PAGES}),
-a AS (SELECT page_id, url, trim(unnest(regexp_extract_all(html, {ANCHOR}, 1))) AS href FROM p),
-s AS (SELECT page_id, 'html' AS source, {target('href', 'url')} AS link FROM a WHERE href <> '' UNION ALL SELECT page_id, 'markdown', unnest(regexp_extract_all(content, '\\[[^\\]]*\\]\\((https?://[^\\)]+)\\)', 1)) FROM p
+{ANCHORS},
+s AS (SELECT page_id, 'html' AS source, {target('href', 'url')} AS link FROM anchors WHERE href <> '' UNION ALL SELECT page_id, 'markdown', unnest(regexp_extract_all(content, '\\[[^\\]]*\\]\\((https?://[^\\)]+)\\)', 1)) FROM p
  UNION ALL SELECT page_id, 'bare', regexp_replace(unnest(regexp_extract_all(content, '(?:^|[^(])(https?://[^\\s\\)>]+)', 1)), '[.,)]+$', '') FROM p
  UNION ALL SELECT page_id, 'made', unnest([{', '.join(f"'https://' || {_SITE} || {_PATH} || {q(x)}" for x in L.KNOWN_SUFFIXES)}, {', '.join(f"'https://' || {_SITE} || {q(x)}" for x in L.SITE_PATHS)}]) FROM p)
 SELECT page_id, source, count(*) AS n, md5(string_agg(link, ' ' ORDER BY link)) AS links_md5 FROM (SELECT DISTINCT * FROM s WHERE link IS NOT NULL) GROUP BY 1, 2""",
