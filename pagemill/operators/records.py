@@ -122,8 +122,37 @@ def zipped(rows: DataFrame, key: str, left: str, right: str) -> DataFrame:
     return rows.select(key, F.posexplode(F.slice(pairs, F.lit(1), F.greatest(F.coalesce(both, F.lit(0)), F.lit(0)))).alias("pos", "p")).select(key, F.col("pos").cast("long").alias("pos"), F.col("p.l").alias(left), F.col("p.r").alias(right))
 
 
-def field_counts(simple: tuple[str, ...], parts: dict[str, tuple[str, ...]]) -> dict[str, Column]:
-    """``simple_fields``: fields with a value; ``total_fields``: those and the groups of parts of which some has one."""
-    found = sum((F.col(n).isNotNull().cast("int") for n in simple), F.lit(0))
-    grouped = sum((F.coalesce(*names).isNotNull().cast("int") for names in parts.values()), F.lit(0))
+def shown(value: Column, kind: str = "string") -> Column:
+    """Whether a value is shown: not null, and neither an empty text, the text ``null`` nor an empty list."""
+    if kind.startswith("array"):
+        return F.coalesce(F.size(value) > 0, F.lit(False))
+    return F.coalesce(~value.cast("string").isin("", "null"), F.lit(False))
+
+
+def field_counts(simple: tuple[str, ...], parts: dict[str, tuple[str, ...]], lists: tuple[str, ...] = ()) -> dict[str, Column]:
+    """``simple_fields``: fields, and ``lists``, with a value that is shown; ``total_fields``: those and the groups of parts of which some has one."""
+    each = [*(shown(F.col(n)) for n in simple), *(shown(F.col(n), "array") for n in lists)]
+    found = sum((x.cast("int") for x in each), F.lit(0))
+    grouped = sum((F.greatest(*(shown(F.col(n)) for n in names), F.lit(False)).cast("int") for names in parts.values()), F.lit(0))
     return {"simple_fields": found, "total_fields": found + grouped}
+
+
+def validation_report(records: DataFrame, key: str, fields: dict[str, Column], elapsed: Column, error: Column, most: int = 4) -> DataFrame:
+    """A line of the report for each record: ``mark`` (``error`` for one that failed, else that of its coverage), ``covered`` (found of all, and
+    the percent rounded down), ``seconds``, and ``missing``: the last names of the first ``most`` missing fields and how many more, or the head of the error.
+    """
+    c = coverage(fields)
+    rows = records.select(key, c.alias("c"), elapsed.alias("_s"), error.alias("_e"))
+    percent = F.floor(100 * F.col("c.found") / F.col("c.total"))
+    names = F.array_join(F.transform(F.slice("c.missing", 1, most), lambda f: F.element_at(F.split(f, "[.]"), -1)), ", ")
+    more = F.size("c.missing") - most
+    listed = F.when(more > 0, F.concat(names, F.lit(" +"), more.cast("string"), F.lit(" more"))).otherwise(names)
+    failed = F.col("_e").isNotNull()
+    covered = F.concat(F.col("c.found").cast("string"), F.lit("/"), F.col("c.total").cast("string"), F.lit(" ("), percent.cast("string"), F.lit("%)"))
+    return rows.select(
+        key,
+        F.when(failed, "error").otherwise(coverage_mark(percent)).alias("mark"),
+        F.when(~failed, covered).alias("covered"),
+        F.round("_s", 1).alias("seconds"),
+        F.when(failed, F.substring("_e", 1, 50)).otherwise(listed).alias("missing"),
+    )

@@ -76,6 +76,8 @@ def found_fields(spark, d):
 
 def field_metrics(spark, d):
     r = derived.records(spark, d)
+    blank = F.when(F.col("scrape") % 11 == 0, "").when(F.col("scrape") % 19 == 0, "null")
+    r = r.withColumns({c: F.coalesce(blank, c) for c in ("degree_level", "ielts", "toefl")})
     return r.select("scrape", *(v.cast("long").alias(n) for n, v in records.field_counts(SIMPLE, {"english": ("ielts", "toefl"), "fees": ("domestic", "international")}).items()))
 
 
@@ -145,9 +147,10 @@ SELECT r.scrape, page_id, tier FROM r JOIN g ON g.scrape = r.scrape AND g.t = ti
 s AS (SELECT DISTINCT scrape, 'https://' || {_host('lower(url)')} || regexp_replace({_path('lower(url)')}, '/[^/]*$', '') || [{', '.join(q(x.lower().rstrip('/')) for x in SEEN)}][page_id % {len(SEEN)} + 1] AS k FROM {PAGES})
 SELECT c.scrape, c.url FROM c ANTI JOIN s ON s.scrape = c.scrape AND s.k = {key('c.url')}""",
     "found_fields": " UNION ALL ".join(f"SELECT scrape, {q(f)} AS field, min_by(url, page_id) AS found_in FROM {PAGES} WHERE {_hits('lower(content)', w)} >= 2 GROUP BY 1" for f, w in frontier.FIELD_WORDS.items()),
-    "field_metrics": f"""WITH r AS (SELECT *, (university_name IS NOT NULL)::BIGINT + (program_name IS NOT NULL)::BIGINT + (degree_level IS NOT NULL)::BIGINT + (program_duration IS NOT NULL)::BIGINT
- + (application_deadlines IS NOT NULL)::BIGINT + (min_academic_requirement IS NOT NULL)::BIGINT + (accepted_qualifications IS NOT NULL)::BIGINT AS s FROM {RECORDS})
-SELECT scrape, s AS simple_fields, s + (coalesce(ielts, toefl) IS NOT NULL)::BIGINT + (coalesce(domestic, international) IS NOT NULL)::BIGINT AS total_fields FROM r""",
+    "field_metrics": f"""WITH b AS (SELECT *, CASE WHEN scrape % 11 = 0 THEN '' WHEN scrape % 19 = 0 THEN 'null' END AS z FROM {RECORDS}),
+r AS (SELECT scrape, len([x FOR x IN [university_name, program_name, coalesce(z, degree_level), program_duration, application_deadlines, min_academic_requirement, accepted_qualifications] IF coalesce(x, '') NOT IN ('', 'null')])::BIGINT AS s,
+ (coalesce(nullif(nullif(coalesce(z, ielts), ''), 'null'), nullif(nullif(coalesce(z, toefl), ''), 'null')) IS NOT NULL)::BIGINT + (coalesce(domestic, international) IS NOT NULL)::BIGINT AS g FROM b)
+SELECT scrape, s AS simple_fields, s + g AS total_fields FROM r""",
     "section_hints": f"""WITH p AS (SELECT k, array_to_string(list_transform(list_filter(['Admission requirements', 'The programme duration', 'Duration:', 'Cost of study'], lambda h: contains(text, h)), lambda h: substring(text, position(h IN text), 2000)), chr(10)) AS t FROM {PROGRAMS})
 SELECT k, md5(t) AS part_md5, length(t)::BIGINT AS n_chars FROM p""",
     "displayed_records": f"""SELECT scrape, coalesce(program_name, '— not found') AS program,

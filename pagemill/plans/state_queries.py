@@ -6,7 +6,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from pagemill.operators import updates
+from pagemill.operators import records, updates
 from pagemill.plans import derived
 from pagemill.plans.oracle import RECORDS
 from pagemill.sources import captures, documents, lookups
@@ -127,9 +127,19 @@ def document_coverage(spark, d):
     return documents.path_coverage(_documents(spark, d), "doc", COVERED)
 
 
+def validation_report(spark, d):
+    """A line for every record, some of which failed."""
+    r = derived.records(spark, d)
+    fields = {n: F.col(n.rpartition(".")[2]) for n in REPORTED}
+    return records.validation_report(r, "scrape", fields, F.col("scrape") % 400 / F.lit(16.0), F.when(F.col("status") == "failed", F.lit("timed out after " + "x" * 60)))
+
+
+#: Fields of the report by their dotted names.
+REPORTED = ["university_name", "program_name", "degree_level", "program_duration", "application_deadlines", "min_academic_requirement", "english_requirements.ielts", "english_requirements.toefl", "tuition_fees.domestic", "tuition_fees.international"]
+
 QUERIES = {
     f.__name__: f
-    for f in (job_end_states, streamed_job_states, completed_batches, updated_records, looked_up_records, cache_answers, captured_pages, document_paths, document_coverage)
+    for f in (job_end_states, streamed_job_states, completed_batches, updated_records, looked_up_records, cache_answers, captured_pages, document_paths, document_coverage, validation_report)
 }
 
 # ---------------------------------------------------------------- SQL
@@ -165,5 +175,9 @@ SELECT request, url, v.scrape AS scrape, v.created_at AS created_at FROM j""",
 SELECT coalesce(regexp_replace(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://([^/?#]*)', 1), '^www\.', ''), '') AS host, url, url || '?seen' || chr(10) || '%' AS final_url, status_code,
  CASE WHEN status_code IN (403, 503) THEN 'Access denied (HTTP ' || status_code || ')' END AS error, md5(html) AS html_md5 FROM p""",
     "document_paths": f"SELECT event_id, {', '.join(f'{_read(p, k)} AS {n}' for n, (p, k) in PATHS.items() if n != 'none')}, NULL::VARCHAR AS none FROM ({_JSON})",
+    "validation_report": f"""WITH r AS (SELECT *, [n.k FOR n IN [{', '.join(f"{{'k': '{n.rpartition('.')[2]}', 'v': {n.rpartition('.')[2]}}}" for n in REPORTED)}] IF coalesce(n.v, '') = ''] AS gone FROM {RECORDS}),
+c AS (SELECT *, {len(REPORTED)} - len(gone) AS found, (100 * ({len(REPORTED)} - len(gone))) // {len(REPORTED)} AS percent FROM r)
+SELECT scrape, CASE WHEN status = 'failed' THEN 'error' WHEN percent >= 75 THEN 'good' WHEN percent >= 50 THEN 'fair' ELSE 'poor' END AS mark, CASE WHEN status <> 'failed' THEN found || '/{len(REPORTED)} (' || percent || '%)' END AS covered,
+ round((scrape % 400) / 16.0::DOUBLE, 1) AS seconds, CASE WHEN status = 'failed' THEN 'timed out after ' || repeat('x', 34) ELSE array_to_string(gone[1:4], ', ') || CASE WHEN len(gone) > 4 THEN ' +' || (len(gone) - 4) || ' more' ELSE '' END END AS missing FROM c""",
     "document_coverage": " UNION ALL ".join(f"SELECT '{p}' AS path, count(*) AS n, count(*) FILTER (json_type(doc, '{_POINTER[p]}') IS NOT NULL) AS present, count(*) FILTER (coalesce(doc->>'{_POINTER[p]}', '') <> '') AS filled FROM ({_JSON})" for p in COVERED),
 }
