@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagemill.sources.shared import shared_folder
+
 
 def crawl(
     seeds: DataFrame,
@@ -27,7 +29,9 @@ def crawl(
 
     The driver loops over at most ``max_depth`` waves and asks once in each whether a frontier is left. Everything is keyed by crawl
     and page, or added up before it is shuffled, so a page that all others link to or a crawl with a third of all pages is no task's own.
+    Waves are checkpointed in the folder of ``spark.checkpoint.dir``; without one a local session gets its own, a cluster a ValueError.
     """
+    shared_folder(seeds.sparkSession)
     scored = links if "score" in links.columns else links.withColumn("score", F.lit(1))
     signs = needs or []
     known = pages.select("page", "words", "digest", *signs)

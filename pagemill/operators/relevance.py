@@ -18,21 +18,14 @@ def relevance(group: str, url: Column, page_type: Column, content: Column) -> Co
     by_type = F.lit(0)
     for name, points in L.TYPE_SCORES.get(group, {}).items():
         by_type = F.when(page_type == name, points).otherwise(by_type)
-    points = F.lit(50) + by_type
-    fees = group == "tuition_fees"
-    if fees:
-        points += F.when(_any(url, L.TUITION_URLS), 200).otherwise(0)
+    points = F.lit(L.RELEVANCE_BASE) + by_type
+    if group == "tuition_fees":
+        points += F.when(_any(url, L.TUITION_URLS), L.FEE_URL_POINTS).otherwise(0)
         made_up = url.endswith(".html/fees") | _any(url, L.CONSTRUCTED_URLS)
-        points += F.when(made_up, -100).when(_any(url, L.AID_URLS), 60).otherwise(0)
-    signs = (
-        (["language", "english", "ielts", "toefl"], 40 if group == "english_requirements" else -20),
-        (["fee", "tuition", "cost", "funding"], 40 if fees else -10),
-        (["admission", "apply", "entry", "requirement"], 20 if group in ("application_deadlines", "program_duration") else 0),
-        (["visa", "immigration", "cas", "undergraduate"], -30),
-    )
-    for words, worth in signs:
-        points += F.when(_any(url, words), worth).otherwise(0)
-    points += 20 * sum((content.contains(w).cast("int") for w in L.GROUP_KEYWORDS.get(group, [])), F.lit(0))
+        points += F.when(made_up, L.MADE_UP_POINTS).when(_any(url, L.AID_URLS), L.AID_POINTS).otherwise(0)
+    for words, worth, else_worth in L.URL_SIGNS:
+        points += F.when(_any(url, words), worth.get(group, else_worth)).otherwise(0)
+    points += L.KEYWORD_POINTS * sum((content.contains(w).cast("int") for w in L.GROUP_KEYWORDS.get(group, [])), F.lit(0))
     return F.greatest(points, F.lit(0))
 
 

@@ -11,8 +11,8 @@ from pyspark.sql import SparkSession
 _made: list[tuple[SparkSession, str]] = []
 
 
-def shared_path(spark: SparkSession, label: str) -> str:
-    """A new path below ``spark.checkpoint.dir`` of the session, deleted when Python ends.
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir`` of the session, in which ``checkpoint()`` writes too.
 
     Where a local session names no such folder (as in tests) a temporary one is set; a cluster must name one.
     """
@@ -22,8 +22,14 @@ def shared_path(spark: SparkSession, label: str) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="pagemill-")
         spark.conf.set("spark.checkpoint.dir", found)
+    if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(found)
-    path = f"{found}/{label}-{uuid.uuid4().hex}"
+    return found
+
+
+def shared_path(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder, deleted when Python ends."""
+    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
     _made.append((spark, path))
     return path
 

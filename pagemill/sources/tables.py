@@ -14,10 +14,6 @@ RESULT_SCHEMA = """scrape_id string, batch_id string, status string, created_at
  field_sources map<string,string>, method_used string, tier_used int, pages_fetched int, llm_model string, elapsed_seconds double, error string"""
 
 
-def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
-
-
 def new_results(seeds: DataFrame) -> DataFrame:
     """A first record, status processing and all fields null, for each ``url`` of ``seeds`` (and its other result columns)."""
     schema = seeds.sparkSession.createDataFrame([], RESULT_SCHEMA).schema
