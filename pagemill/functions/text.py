@@ -39,11 +39,18 @@ def clean_lines(text: Column, boilerplate: str = L.BOILERPLATE, relevant: str =
     lines = F.transform(F.split(strip_noise(text), LINE_END), strip)
     lines = F.transform(lines, lambda s: F.when(F.length(s) < 4, F.lit("")).otherwise(s))
     useful = lambda s: s.rlike(relevant)
-    dropped = lambda s: (s != "") & (s.rlike(L.JUNK) | (~useful(s) & (s.rlike(boilerplate) | (s.rlike(navigation) & (F.length(s) < 50)))))
-    kept = F.filter(lines, lambda s: ~dropped(s))
-    # lines that may repeat are told apart by their number, so that one pass over a hash set drops the other repeats
-    marked = F.transform(kept, lambda s, i: F.concat(F.when((s == "") | useful(s), i.cast("string")).otherwise(F.lit("")), F.lit("\x01"), s))
-    first = F.transform(F.array_distinct(marked), lambda x: F.substring(x, F.position(F.lit("\x01"), x) + 1, F.length(x)))
+    # a line is only looked through for what makes it relevant where something speaks against it
+    against = lambda s: s.rlike(boilerplate) | ((F.length(s) < 50) & s.rlike(navigation))
+    dropped = lambda s: (s != "") & (s.rlike(L.JUNK) | (against(s) & ~useful(s)))
+
+    def once(kept: Column) -> Column:
+        # lines that may repeat are told apart by their number, so that one pass over a hash set drops the other repeats
+        marked = F.transform(kept, lambda s, i: F.concat(F.when((s == "") | useful(s), i.cast("string")).otherwise(F.lit("")), F.lit("\x01"), s))
+        first = F.transform(F.array_distinct(marked), lambda x: F.substring(x, F.position(F.lit("\x01"), x) + 1, F.length(x)))
+        alone = let(F.filter(kept, lambda s: s != ""), lambda k: F.size(F.array_distinct(k)) == F.size(k))
+        return F.when(alone, kept).otherwise(first)
+
+    first = let(F.filter(lines, lambda s: ~dropped(s)), once)
     calm = let(first, lambda f: F.filter(f, lambda s, i: (s != "") | (i == 0) | (F.get(f, F.greatest(i - 1, F.lit(0))) != "")))
     return strip(F.array_join(calm, "\n"))
 
