@@ -25,8 +25,8 @@ EMPTY_FRAME = struct.pack("<II", 0x184D2A50, 0)
 FRAME_MAGIC = 0xFD2FB528
 #: A dictionary is made from at most so many first records of an archive, and bytes of each.
 SAMPLE_RECORDS, SAMPLE_BYTES, DICTIONARY_BYTES = 96, 16_384, 32_768
-#: Records of an archive; a task with more writes several. A reader holds an archive whole.
-RECORDS_PER_ARCHIVE = 4096
+#: Records of an archive, and their bytes before compression (one record at least); a task with more writes several. A reader holds an archive whole.
+RECORDS_PER_ARCHIVE, ARCHIVE_BYTES = 4096, 128 << 20
 #: Payloads from this size on are stored once.
 REVISIT_BYTES = 100
 #: Digests of repeated payloads that are broadcast at most, at 80 bytes each.
@@ -140,11 +140,11 @@ def read_archive(data: bytes) -> Iterator[dict]:
 
 
 def write_archives(
-    pages: DataFrame, path: str, page_id: str = "page_id", uri: str = "url", text: str = "html", date: str = "1970-01-01T00:00:00Z", most: int = RECORDS_PER_ARCHIVE
+    pages: DataFrame, path: str, page_id: str = "page_id", uri: str = "url", text: str = "html", date: str = "1970-01-01T00:00:00Z", most: int = RECORDS_PER_ARCHIVE, most_bytes: int = ARCHIVE_BYTES
 ) -> None:
-    """Write a record per row to archives in folder ``path``, with up to ``most`` records each; an empty table gives none.
+    """Write a record per row to archives in folder ``path``, with up to ``most`` records each, and ``most_bytes`` or a single record; an empty table gives none.
 
-    Payloads are texts in UTF-8; null counts as empty. Of rows with equal payloads of at least
+    Payloads are whole texts of any length in UTF-8; null counts as empty. Columns are named, so others may have any names. Of rows with equal payloads of at least
     ``REVISIT_BYTES`` the one with the smallest id is a response and the others revisit it (a row
     repeated under that id is a response again). Other columns are not looked at.
 
@@ -163,15 +163,22 @@ def write_archives(
 
     def archive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pending: list[bytes] = []
-        coder, head, written = None, b"", 0
+        coder, head, written, size = None, b"", 0, 0
 
         def coded(raws: list[bytes]) -> pa.RecordBatch:
             """Frames of records, with the dictionary before each archive's first, where Spark begins a new file."""
-            nonlocal written
+            nonlocal written, size
             out = []
             for raw in raws:
+                if written % most and size + len(raw) > most_bytes:
+                    # empty rows, which become empty frames, up to where Spark begins a new file
+                    left = most - written % most
+                    out += [b""] * left
+                    written += left
                 if not written % most:
                     out.append(head)
+                    size = 0
+                size += len(raw)
                 out.append(coder.compress(raw))
                 written += 1
             return pa.record_batch([pa.array(out, pa.binary())], ["frame"])
@@ -204,7 +211,10 @@ RECORDS = "record_type string, page_id long, uri string, refers_to long, payload
 
 
 def read_archives(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
-    """A row per record of the archives in ``path``; a task fails where headers, lengths or digests are wrong."""
+    """A row per record of the archives in ``path``; a task fails where headers, lengths or digests are wrong.
+
+    Null ids and addresses come back as null, repeated rows as often as they were written, null texts as empty payloads; without archives there are no rows.
+    """
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [c.split()[0] for c in RECORDS.split(", ")]

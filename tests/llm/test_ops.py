@@ -88,6 +88,16 @@ def test_warc_archives_have_few_records_and_repeats_are_joined_by_either_way(spa
     assert len(files) >= 8 and all(f[:4] == (0x184D2A5D).to_bytes(4, "little") and len(list(warc.read_archive(f))) <= 70 for f in files)
 
 
+def test_warc_archives_are_bounded_by_bytes(spark, tmp_path):
+    rows = [(i, None, f"{i}" * 2000 if i % 50 else "".join(map(chr, range(300, 300 + 9000)))) for i in range(300)] + [(300, "u", "z" * 3_000_000)]
+    warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), str(tmp_path / "w"), most=100, most_bytes=60_000)
+    got = {r.page_id: r.payload_bytes for r in warc.read_archives(spark, str(tmp_path / "w")).collect()}
+    assert got == {i: len(t.encode()) for i, _, t in rows}
+    files = [list(warc.read_archive(p.read_bytes())) for p in (tmp_path / "w").glob("part-*")]
+    sizes = [sum(len(warc.payload_of(r)[0] or b"") for r in f) for f in files if f]
+    assert len(sizes) > 10 and all(len(f) == 1 or size <= 60_000 for f, size in zip([f for f in files if f], sizes, strict=True))
+
+
 def test_warc_empty_table(spark, tmp_path):
     warc.write_archives(spark.createDataFrame([], "page_id long, url string, html string"), str(tmp_path / "e"))
     assert warc.read_archives(spark, str(tmp_path / "e")).count() == 0
