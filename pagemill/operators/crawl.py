@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagemill.sources.shared import shared_folder
@@ -17,12 +19,14 @@ def crawl(
     min_words: int = 50,
     needs: list[str] | None = None,
     enough: int = 8,
+    score: Callable[[Column, Column], Column] | None = None,
 ) -> DataFrame:
     """Breadth-first crawl from ``seeds(crawl_id, page)``: ``crawl_id, page, depth``.
 
     A wave is the frontier joined with ``pages(page, words, digest)``: pages with too few words, and texts that the crawl has
     seen, are dropped and their links not followed (of equal texts in a wave the least page stays). Then it is joined with
     ``links(src, dst)`` or ``links(src, dst, score)``, without pages queued before; only scores over 0 are followed.
+    With ``score``, a link's score is that of its address and the address of the crawl's seed, null for what is not followed; a crawl has one seed then.
 
     With ``max_pages`` a crawl queues as many pages as it has slots left, by their greatest score, then the least page. With
     ``needs``, boolean columns of ``pages``, a crawl stops from depth 1 on once it has ``enough`` pages and each need is met by one.
@@ -36,6 +40,7 @@ def crawl(
     signs = needs or []
     known = pages.select("page", "words", "digest", *signs)
     frontier = seeds.select("crawl_id", "page").distinct()
+    bases = frontier.withColumnRenamed("page", "_base")
     visited, kept = frontier, None
     for depth in range(max_depth + 1):
         wave = frontier.join(known, "page").filter(F.col("words") >= min_words)
@@ -58,7 +63,12 @@ def crawl(
             stop |= F.col("_n") >= max_pages
         if max_pages or signs:
             go = go.join(state.filter(stop), "crawl_id", "left_anti")
-        found = go.join(scored.filter("score > 0"), go.page == scored.src).groupBy("crawl_id", F.col("dst").alias("page")).agg(F.max("score").alias("score"))
+        if score:
+            step = go.join(links.select("src", "dst"), go.page == F.col("src")).select("crawl_id", "dst").distinct().join(bases, "crawl_id")
+            step = step.withColumn("score", score(F.col("dst"), F.col("_base"))).filter("score > 0")
+        else:
+            step = go.join(scored.filter("score > 0"), go.page == scored.src)
+        found = step.groupBy("crawl_id", F.col("dst").alias("page")).agg(F.max("score").alias("score"))
         frontier = found.join(visited, ["crawl_id", "page"], "left_anti")
         if max_pages:
             # the constant bound lets Spark keep the best of each task before the shuffle; the slots left cut further

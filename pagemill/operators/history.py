@@ -165,3 +165,32 @@ def call_waits(calls: DataFrame, key: str, ts: str, order: str, seconds: int = 6
         "cooldown_wait": F.when(F.col("_good"), left(F.col("_last"), cooldown)).otherwise(0.0),
     })
     return rows.withColumn("wait", F.greatest("window_wait", "gap_wait", "cooldown_wait")).drop("_us", "_n", "_oldest", "_last", "_good")
+
+
+def paced_calls(calls: DataFrame, key: str, ts: str, order: str, seconds: int = 60, most: int = 3, gap: float = 20, cooldown: float = 10, block: float = 86_400) -> DataFrame:
+    """When each call is made if the calls of a key wait for each other: ``called_us``, microseconds of the Unix epoch, and ``wait``, seconds since ``ts``.
+
+    One call of a key runs at a time, in the order of ``ts``, then ``order``: it begins once that before has ended (``took`` seconds, null as 0, and
+    ``cooldown`` more if it was ``good``) and ``gap`` seconds have passed since it began, so a wait moves all later calls. No more than ``most``
+    begin in ``seconds``: with ``most * gap`` of at least ``seconds`` the gaps see to that, and other settings are a ValueError. Calls without a time or key have no wait.
+
+    A call begins at the greatest, over itself and all calls before, of that one's time and what has to pass between the two; both are sums and maxima
+    over the calls in order. They are taken in blocks of ``block`` seconds of a key first, then over the blocks, so a key with many calls is not a single task's.
+    """
+    if most * gap < seconds:
+        raise ValueError("most * gap has to be seconds at least")
+    micros = lambda n: int(n * 1_000_000)
+    took = F.round(F.coalesce(F.col("took"), F.lit(0.0)) * 1_000_000).cast("long") + F.when(F.col("good"), micros(cooldown)).otherwise(0)
+    us = F.unix_micros(F.col(ts).cast("timestamp"))
+    rows = calls.withColumns({"_us": us, "_after": F.greatest(took, F.lit(micros(gap)))}).withColumn("_block", F.floor(F.col("_us") / micros(block)))
+    inside = Window.partitionBy(key, "_block").orderBy("_us", order)
+    rows = rows.withColumn("_before", F.sum("_after").over(inside) - F.col("_after")).withColumn("_free", F.col("_us") - F.col("_before"))
+    rows = rows.withColumn("_top", F.max("_free").over(inside))
+    blocks = rows.groupBy(key, "_block").agg(F.sum("_after").alias("_sum"), F.max("_free").alias("_most"))
+    along = Window.partitionBy(key).orderBy("_block")
+    blocks = blocks.withColumn("_passed", F.sum("_sum").over(along) - F.col("_sum")).withColumn("_level", F.max(F.col("_most") - F.col("_passed")).over(along.rowsBetween(Window.unboundedPreceding, -1)))
+    # of the blocks before only the highest level counts, and the seconds passed in them
+    both = rows.join(blocks.select(key, "_block", "_passed", "_level"), [key, "_block"], "left")
+    called = F.col("_before") + F.greatest(F.col("_top"), F.col("_level") + F.col("_passed"))
+    called = F.when(F.col(key).isNotNull(), called)
+    return both.withColumns({"called_us": called, "wait": (called - F.col("_us")) / 1_000_000}).drop("_us", "_after", "_block", "_before", "_free", "_top", "_passed", "_level").select(*calls.columns, "called_us", "wait")

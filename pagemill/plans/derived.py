@@ -38,6 +38,21 @@ PAGES = f"""SELECT page_id, cast(floor(page_id / 40) as bigint) AS scrape, conca
  concat(html, '<a href="/apply?x=1">Apply now</a><a class="b" href="/Apply/">again</a><a href="/fees/p', cast(page_id % 9 as string), '">Tuition <b>fees</b></a><a href="/fees.pdf">fees</a><a href="https://other.org/fees">fees</a><a class=x href=', chr(39), '/fees/q', cast(page_id % 5 as string), chr(39), '>Fees &amp; <i> costs </i></a><A HREF=/ielts/b>English</A><!-- <a href="/tuition/hidden">Tuition</a> --><a href="/', {_topic}, '#x">', {_topic}, '</a>') AS html,
  {_text('page_id')} AS content FROM pages"""
 
+_place = "(page_id % 40)"
+_site = "floor(page_id / 40)"
+_named = lambda n: f"CASE {n} % {len(TOPICS)} " + " ".join(f"WHEN {k} THEN '{'about' if k in (1, 10) else t}'" for k, t in enumerate(TOPICS)) + " END"
+_below = lambda n: f"concat('/prog/', CASE WHEN {_site} % 2 = 0 THEN {_named(n)} ELSE CASE {n} % 3 WHEN 0 THEN 'fees' WHEN 1 THEN 'international/english' ELSE 'curriculum' END END, '/', cast({n} as string))"
+_child = lambda j, before, after: f"CASE WHEN {_place} * 3 + {j} < 38 THEN concat({before}, {_below(f'({_place} * 3 + {j})')}, {after}) ELSE '' END"
+_children = [("'<a class=\"c\" href=\"'", "'\">more</a>'"), ("'<a href='", "' >more</a>'"), ("'<A HREF=', chr(39)", "'?from=page#x', chr(39), '>more</A>'")]
+#: ``page_id, crawl_id, url, html, content``: sites of 40 pages whose anchors, in all forms of quotes, lead to three more each; some are missing pages or
+#: have the text of another. The last two are an address made by a pass over English pages and the other view of the page on fees.
+SITES = f"""SELECT page_id, cast({_site} as bigint) AS crawl_id, concat('https://u', cast(cast({_site} as bigint) as string), '.edu', CASE WHEN {_place} = 0 THEN '/prog' WHEN {_place} = 1 THEN '/prog/fees'
+ WHEN {_place} = 38 THEN '/prog/fees?view=international' WHEN {_place} = 39 THEN CASE {_site} % 3 WHEN 0 THEN '/study/english-language-requirements' WHEN 1 THEN '/english-language-requirements' ELSE '/prog/english/39' END
+ ELSE {_below(_place)} END) AS url,
+ concat(html, {', '.join(_child(j + 1, *x) for j, x in enumerate(_children))}, '<a href="/prog">up</a>') AS html,
+ CASE WHEN {_place} % 10 = 7 THEN concat('Page not found. ', t) WHEN {_place} % 13 = 12 THEN 'Too short' WHEN {_place} = 1 THEN replace(concat(t, t), 'International', 'Other') ELSE concat(t, t) END AS content
+ FROM (SELECT page_id, url, html, {_text('k')} AS t FROM (SELECT page_id, url, html, CASE WHEN {_place} BETWEEN 29 AND 36 THEN page_id - 26 ELSE page_id END AS k FROM pages))"""
+
 #: Records of scrapes: fields of each order, some of them missing.
 RECORDS = """SELECT o_orderkey AS scrape, o_custkey AS batch, o_orderdate AS created_at,
  CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE concat('University ', cast(o_custkey % 50 as string)) END AS university_name,
@@ -71,5 +86,9 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, PAGES, "pages")
 
 
+def sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return view(spark, sf_dir, SITES, "pages")
+
+
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, RECORDS, "orders")
