@@ -63,6 +63,25 @@ def page_links(pages: DataFrame, url: str = "url", html: str = "html", key: str
     return rows.select(key, "base", "a.pos", "a.target", "a.link_text")
 
 
+def page_pdfs(pages: DataFrame, url: str = "url", html: str = "html", key: str = "page_id", most: int = L.MAX_PDFS) -> DataFrame:
+    """``key, pos, pdf_url``: the first PDFs that a page's anchors lead to, each once, on any site; pages without any have no row."""
+    found = lambda base: F.filter(F.transform(anchors(F.col(html)), lambda a: absolute_url(a["href"], base)), lambda t: t.isNotNull() & is_pdf(t))
+    first = F.slice(F.array_distinct(let(base_parts(F.col(url)), found)), 1, most)
+    return pages.select(key, F.posexplode(first).alias("pos", "pdf_url"))
+
+
+def listed_pages(pages: DataFrame, within: str, most: int = L.LISTED_PAGES) -> DataFrame:
+    """``within, listed``: the first pages by ``pos`` as lines ``- url (page_type)``, as a prompt on gaps lists them.
+
+    The rank's limit holds before the shuffle, so a scrape sends at most ``most`` rows from each task.
+    """
+    place = F.row_number().over(Window.partitionBy(within).orderBy("pos"))
+    first = pages.select(within, "pos", "url", "page_type").withColumn("_n", place).filter(F.col("_n") <= most)
+    line = F.concat(F.lit("- "), F.coalesce("url", F.lit("unknown")), F.lit(" ("), F.coalesce("page_type", F.lit("unknown")), F.lit(")"))
+    lines = first.groupBy(within).agg(F.array_sort(F.collect_list(F.struct("_n", line.alias("line")))).alias("l"))
+    return lines.select(within, F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("listed"))
+
+
 def top_links(links: DataFrame, key: str = "page_id", most: int = L.MAX_SUBPAGES) -> DataFrame:
     """The best-scored links of each page: ``rank`` from 1, ties by place."""
     scored = links.withColumn("score", link_score(F.col("target"), F.col("link_text"))).filter("score >= 1")

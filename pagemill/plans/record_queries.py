@@ -197,10 +197,16 @@ QUERIES = {f.__name__: f for f in (
 _RESULTS = f"(SELECT *, {_MORE.replace(' as string', ' as varchar')}, CASE WHEN scrape % 4 <> 0 THEN range(0, scrape % 4 + 1) END AS source_urls FROM {RECORDS})"
 _SITE = "regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1)"
 _PATH = "regexp_replace(regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1), '/+$', '')"
-_FOCUS = f"""f0 AS (SELECT k, degree, unnest(string_split(text, chr(10) || chr(10))) AS p, generate_subscripts(string_split(text, chr(10) || chr(10)), 1) AS i FROM {PROGRAMS}),
+
+
+def focus(source: str) -> str:
+    """CTE ``focused (k, degree, text)`` of a table with these columns."""
+    return f"""f0 AS (SELECT k, degree, unnest(string_split(text, chr(10) || chr(10))) AS p, generate_subscripts(string_split(text, chr(10) || chr(10)), 1) AS i FROM {source}),
 f1 AS (SELECT k, degree, i, p, {_cased('lower(p)', L.SECTIONS, 'other')} AS s FROM (SELECT k, degree, i, {_strip('p')} AS p FROM f0) WHERE p <> ''),
 f2 AS (SELECT k, any_value(degree) AS degree, {', '.join(f"string_agg(p, chr(10) || chr(10) ORDER BY i) FILTER (s = {q(n)}) AS s_{n}" for n in [*L.SECTIONS, 'other'])} FROM f1 GROUP BY k),
 focused AS (SELECT k, degree, concat_ws(chr(10) || chr(10), s_admissions, s_english, s_fees, s_scholarships, left(s_other, 2000)) AS text FROM f2)"""
+
+
 _YEARS = "coalesce(TRY_CAST(nullif(regexp_extract(lower({0}), '(\\d+(?:\\.\\d+)?)\\s*years?', 1), '') AS DOUBLE), TRY_CAST(nullif(regexp_extract(lower({0}), '(\\d+)\\s*months?', 1), '') AS DOUBLE) / 12)"
 _KIND = "CASE WHEN degree = 'Undergraduate' THEN 'undergraduate' WHEN degree = 'PhD' THEN 'doctoral' ELSE 'masters' END"
 _SAID = " ".join(f"WHEN kind = {q(k)} AND verdict = {q(v)} THEN replace({q(t)}, '%s', years::VARCHAR)" for (k, v), t in L.DURATION_NOTES.items())
@@ -235,7 +241,7 @@ SELECT page_id, source, count(*) AS n, md5(string_agg(link, ' ' ORDER BY link))
 t AS (SELECT scrape, page_id, unnest([{', '.join(f"regexp_extract(url, '^([A-Za-z]+://[^/]*)', 1) || {q(x)}" for x in frontier.SUBPAGES)}]) AS url, unnest(range({len(frontier.SUBPAGES)})) AS k FROM p JOIN m USING (scrape, page_id)),
 g AS (SELECT *, row_number() OVER (PARTITION BY scrape ORDER BY k) AS n FROM t WHERE k < 15 AND (page_id + k) % 4 <> 0 AND k * 40 >= 100 AND k * 15 >= 50)
 SELECT scrape, page_id, url, false AS rescan FROM p UNION ALL SELECT scrape, page_id, url, true FROM g WHERE n <= 5""",
-    "extracted_records": f"""WITH {_FOCUS}, {hints('focused')},
+    "extracted_records": f"""WITH {focus(PROGRAMS)}, {hints('focused')},
 g AS (SELECT *, {_GIVEN_SQL['duration']} AS gd, {_GIVEN_SQL['ielts']} AS gi, {_GIVEN_SQL['toefl']} AS gt, CASE WHEN k % 3 = 0 THEN 'GPA 3.1' END AS gg, CASE WHEN k % 7 = 0 THEN 'seen once' END AS gn, CASE WHEN k % 5 = 0 THEN '1 May' END AS ga,
  CASE WHEN k % 8 = 0 THEN '£1' END AS gf, {_KIND} AS kind FROM h),
 y AS (SELECT *, {_YEARS.format('gd')} AS years, TRY_CAST(nullif(regexp_extract(gi, '(\\d+\\.?\\d*)', 1), '') AS DOUBLE) AS ni, TRY_CAST(nullif(regexp_extract(gt, '(\\d+)', 1), '') AS BIGINT) AS nt FROM g),

@@ -3,10 +3,10 @@
 import duckdb
 import pytest
 
-from pagemill.plans import crawl_queries, oracle, queries, record_queries, site_queries, state_queries
+from pagemill.plans import crawl_queries, oracle, queries, record_queries, scrape_queries, site_queries, state_queries
 
-ORACLE_SQL = oracle.ORACLE_SQL | crawl_queries.ORACLE_SQL | record_queries.ORACLE_SQL | state_queries.ORACLE_SQL | site_queries.ORACLE_SQL
-QUERIES = queries.QUERIES | crawl_queries.QUERIES | record_queries.QUERIES | state_queries.QUERIES | site_queries.QUERIES
+ORACLE_SQL = oracle.ORACLE_SQL | crawl_queries.ORACLE_SQL | record_queries.ORACLE_SQL | state_queries.ORACLE_SQL | site_queries.ORACLE_SQL | scrape_queries.ORACLE_SQL
+QUERIES = queries.QUERIES | crawl_queries.QUERIES | record_queries.QUERIES | state_queries.QUERIES | site_queries.QUERIES | scrape_queries.QUERIES
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "customer orders events documents pages conversations".split()
