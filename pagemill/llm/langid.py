@@ -10,6 +10,7 @@ of looked-up rows, for single classes and for pairs, so that a batch of windows
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,11 +26,11 @@ WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 12
 CLASSES = 128
-#: About so many labelled rows are learned from, and so many characters of each, from a place that varies by row.
-TRAIN_ROWS, TRAIN_CHARS = 4000, 768
+#: About so many labelled rows are learned from, and of each language at least so many where it has them.
+TRAIN_ROWS, TRAIN_FEW = 4000, 64
 EPOCHS, BATCH, RATE = 8, 64, 0.004
-#: Windows of fewer letters are not learned from (where there are others): they do not show a language.
-LEAST_LETTERS = 24
+#: Windows of a text that each epoch learns from; over all epochs they are drawn from the whole text.
+EACH = 3
 #: Every so many-th text is learned from as noise too.
 NOISE_EVERY = 4
 #: Few rows are gone over more often, so that at least so many steps are made.
@@ -70,42 +71,64 @@ def windows_of(raw: np.ndarray, size: int = WINDOW) -> np.ndarray:
     return np.lib.stride_tricks.as_strided(flat, (n, size + extra), (size, 1)).copy()
 
 
+def letters_of(windows: np.ndarray) -> np.ndarray:
+    """Letters (and bytes of other scripts) in each window: how much it can show of a language."""
+    return (windows[:, :WINDOW] > 1).sum(axis=1)
+
+
 def noise_of(text: str, rng: np.random.Generator) -> str:
     """A text with other letters in the places of its letters: its own in another order, or any from a to z."""
-    at = [i for i, c in enumerate(text) if c.isalpha()]
-    own = [text[i] for i in at]
-    drawn = [own[k] for k in rng.permutation(len(own))] if rng.random() < 0.5 else [chr(97 + k) for k in rng.integers(0, 26, len(own))]
-    out = list(text)
-    for i, c in zip(at, drawn, strict=True):
-        out[i] = c
-    return "".join(out)
+    codes = np.frombuffer(text.encode("utf-32-le"), np.uint32).copy()
+    kinds, which = np.unique(codes, return_inverse=True)
+    letter = np.array([chr(c).isalpha() for c in kinds], bool)[which]
+    own = codes[letter]
+    codes[letter] = rng.permutation(own) if rng.random() < 0.5 else rng.integers(97, 123, len(own))
+    return codes.tobytes().decode("utf-32-le")
+
+
+def draw(text: str, rng: np.random.Generator, most: int = EPOCHS * EACH) -> np.ndarray:
+    """Windows of a whole text to learn from, those with more letters more often; all that have letters if these are few enough."""
+    w = windows_of(np.frombuffer(text.encode(), np.uint8))
+    letters = letters_of(w)
+    if np.count_nonzero(letters) <= most:
+        return w[letters > 0]
+    return w[rng.choice(len(w), most, replace=False, p=letters / letters.sum())]
+
+
+def draws(text: str, noise: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Windows of a text, and of noise made from it (none without ``noise``); equal texts give equal windows."""
+    rng = np.random.default_rng(zlib.crc32(text.encode()))
+    return draw(text, rng), draw(noise_of(text, rng) if noise else "", rng)
 
 
 def train(texts: list[str], labels: list[str], seed: int = 1) -> Model:
-    """Fit filters and softmax by Adam on the windows of labelled texts, and of noise made from some of them."""
-    languages = sorted(set(labels))
+    """A model of labelled texts; every ``NOISE_EVERY``-th is learned from as noise too."""
+    return train_windows([(lang, *draws(t, i % NOISE_EVERY == 0)) for i, (t, lang) in enumerate(zip(texts, labels, strict=True))], seed)
+
+
+def train_windows(samples: list[tuple[str, np.ndarray, np.ndarray]], seed: int = 1) -> Model:
+    """Fit filters and softmax by Adam on texts' ``(language, windows, windows of noise)``.
+
+    An epoch takes the next ``EACH`` windows of each text, so that long texts weigh no more than others; a window counts by its letters.
+    """
+    languages = sorted({lang for lang, w, _ in samples if len(w)})
     number = {x: k for k, x in enumerate(languages)}
     rng = np.random.default_rng(seed)
-    samples = [(t, number[lang]) for t, lang in zip(texts, labels, strict=True)]
-    samples += [(noise_of(t, rng), len(languages)) for t in texts[::NOISE_EVERY]]
-    parts, target = [], []
-    for t, label in samples:
-        w = windows_of(np.frombuffer(t.encode(), np.uint8))
-        parts.append(w)
-        target += [label] * len(w)
-    x, y = np.concatenate(parts).astype(np.int64), np.array(target)
-    keep = (x[:, :WINDOW] > 1).sum(axis=1) >= LEAST_LETTERS
-    if keep.any():
-        x, y = x[keep], y[keep]
+    parts = [(w, number[lang]) for lang, w, _ in samples if len(w)] + [(w, len(languages)) for _, _, w in samples if len(w)]
+    sizes = np.array([len(w) for w, _ in parts])
+    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    x, y = np.concatenate([w for w, _ in parts]), np.repeat([k for _, k in parts], sizes)
+    heavy = letters_of(x).astype(np.float32)
     k = len(languages) + 1
     params = [rng.normal(0, 0.3, (w, CLASSES, FILTERS)).astype(np.float32) for w in WIDTHS]
     params += [np.zeros(len(WIDTHS) * FILTERS, np.float32), rng.normal(0, 0.2, (len(WIDTHS) * FILTERS, k)).astype(np.float32), np.zeros(k, np.float32)]
     mean, square, step = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
-    for _ in range(max(EPOCHS, -(-MIN_STEPS * BATCH // len(x)))):
-        order = rng.permutation(len(x))
+    for epoch in range(max(EPOCHS, -(-MIN_STEPS * BATCH // int(np.minimum(sizes, EACH).sum())))):
+        turn = [(starts + (epoch * EACH + j) % sizes)[sizes > j] for j in range(EACH)]
+        order = rng.permutation(np.concatenate(turn))
         for lo in range(0, len(order), BATCH):
             pick = order[lo : lo + BATCH]
-            grads = _gradients(params, x[pick], y[pick])
+            grads = _gradients(params, x[pick].astype(np.int64), y[pick], heavy[pick])
             step += 1
             for p, g, m, v in zip(params, grads, mean, square, strict=True):
                 m += 0.1 * (g - m)
@@ -115,7 +138,7 @@ def train(texts: list[str], labels: list[str], seed: int = 1) -> Model:
     return Model(languages, params[:n], params[n], params[n + 1], params[n + 2])
 
 
-def _gradients(params: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
+def _gradients(params: list[np.ndarray], x: np.ndarray, y: np.ndarray, heavy: np.ndarray) -> list[np.ndarray]:
     n = len(WIDTHS)
     filters, bias, weight, offset = params[:n], params[n], params[n + 1], params[n + 2]
     tops, best = [], []
@@ -130,7 +153,7 @@ def _gradients(params: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> list[n
     p = np.exp(logits - logits.max(axis=1, keepdims=True))
     p /= p.sum(axis=1, keepdims=True)
     p[np.arange(len(y)), y] -= 1
-    p /= len(y)
+    p *= (heavy / heavy.sum())[:, None]
     back = (p @ weight.T) * (pre > 0)
     out = []
     for i, (w, f) in enumerate(zip(WIDTHS, filters, strict=True)):
@@ -185,7 +208,7 @@ class Predictor:
         def flush():
             nonlocal pending, rows, held
             x, row = np.concatenate(pending), np.concatenate(rows)
-            p, letters = self.windows(x), (x[:, :WINDOW] > 1).sum(axis=1) + 1e-3
+            p, letters = self.windows(x), letters_of(x) + 1e-3
             for c in range(k):
                 total[:, c] += np.bincount(row, p[:, c] * letters, minlength=len(total))
             heavy[:] += np.bincount(row, letters, minlength=len(total))
@@ -214,23 +237,35 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS) -> Model | None:
-    """A model of the labelled rows outside the held-out fold; None where there are none.
+def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", rows: int = TRAIN_ROWS, few: int = TRAIN_FEW) -> Model | None:
+    """A model of the labelled rows outside the held-out fold; None where there are none with a letter.
 
-    It learns from a bounded sample: rows picked by a hash of the id, about ``rows`` of them and never
-    more than twice as many, ``chars`` characters of each. Null texts, ids and labels and empty texts are not
-    learned from; repeated rows are learned from as often as they are picked; other columns are not looked at.
+    It learns from a bounded sample of rows, picked by a hash of id and text: about 1.2 times ``rows``, shared over the languages by
+    their rows, and about ``few`` of a language whose share is less (all it has, if fewer). Of each, windows are drawn in the tasks from the
+    whole text, however long, so that the driver gets at most ``EPOCHS * EACH`` windows a row, and as many of noise for some. Null texts, ids and labels and
+    empty texts are not learned from; rows that repeat count once; other columns are not looked at.
     """
     usable = docs.filter(~held_out(doc_id) & F.col(lang).isNotNull() & F.col(doc_id).isNotNull() & (F.col(text) != ""))
-    n = usable.count()
-    if not n:
+    counts = {r[0]: r[1] for r in usable.groupBy(lang).count().collect()}
+    total = sum(counts.values())
+    if not total:
         return None
-    share = min(1.0, 1.2 * rows / n)
-    picked = usable.filter(F.pmod(F.xxhash64(doc_id, F.lit(11)), F.lit(1_000_000)) < int(share * 1_000_000))
-    start = F.pmod(F.xxhash64(doc_id, F.lit(12)), F.greatest(F.length(text) - chars, F.lit(1))).cast("int") + 1
-    found = picked.select(F.substring(F.col(text), start, F.lit(chars)).alias("t"), lang, doc_id).limit(2 * rows).collect()
-    found.sort(key=lambda r: (r[2], r[0]))
-    return train([r[0] for r in found], [r[1] for r in found])
+    shares = {x: min(1.0, max(1.2 * rows / total, few / n)) for x, n in counts.items()}
+    bound = F.create_map(*(F.lit(v) for x, s in shares.items() for v in (x, int(s * 1_000_000))))
+    marked = usable.select(F.col(lang).cast("string").alias("lang"), F.xxhash64(doc_id, text, F.lit(11)).alias("mark"), F.pmod(F.xxhash64(doc_id, text, F.lit(12)), F.lit(1_000_000)).alias("place"), F.col(text).alias("text"), bound[F.col(lang)].alias("bound"))
+    picked = marked.filter("place < bound").select("lang", "mark", "text").dropDuplicates(["lang", "mark"])
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            langs, marks, texts = (batch.column(i) for i in range(3))
+            for i in range(batch.num_rows):
+                own, noise = draws(texts[i].as_py(), marks[i].as_py() % NOISE_EVERY == 0)
+                yield pa.record_batch([langs.slice(i, 1), marks.slice(i, 1), pa.array([own.tobytes()]), pa.array([noise.tobytes()])], names=["lang", "mark", "own", "noise"])
+
+    found = sorted(picked.mapInArrow(windows, "lang string, mark long, own binary, noise binary").collect(), key=lambda r: (r[0], r[1]))
+    table = lambda raw: np.frombuffer(raw, np.uint8).reshape(-1, WINDOW + max(WIDTHS) - 1)
+    samples = [(r.lang, table(r.own), table(r.noise)) for r in found if r.own]
+    return train_windows(samples) if samples else None
 
 
 def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:

@@ -265,6 +265,29 @@ def test_letters_that_are_no_language_score_low(spark):
     assert max(s for d, s in scores.items() if d < 0) < 0.3 and min(s for d, s in scores.items() if d >= 0) > 0.4
 
 
+def test_windows_are_drawn_from_whole_texts():
+    text = "a" * 256 * 50 + "!" * 256 * 20 + "b" * 256 * 400 + "c" * 7
+    own, noise = langid.draws(text, True)
+    most = langid.EPOCHS * langid.EACH
+    assert own.shape == noise.shape == (most, langid.WINDOW + 3) and (langid.letters_of(own) == langid.WINDOW).all()
+    assert np.array_equal(own, langid.draws(text, False)[0]) and not len(langid.draws(text, False)[1])
+    assert (own[:, 0] == langid.CLASS[ord("b")]).sum() > most / 2  # far from the text's beginning
+    assert len(langid.draws("12 !", True)[0]) == 0 and len(langid.draws("", True)[0]) == 0
+    shuffled = langid.noise_of("Ä b, c-9 d" * 9, np.random.default_rng(1))
+    assert len(shuffled) == 90 and [c for c in shuffled if not c.isalpha()] == [c for c in "Ä b, c-9 d" * 9 if not c.isalpha()]
+
+
+def test_rare_languages_and_repeated_rows_in_the_sample(spark):
+    """A language of one row in a hundred is learned, and a row that makes up most of the table counts once."""
+    rows = [(i, f"the cat and the dog number {i} " * 9, "en") for i in range(2000)] + [(5000 + i, f"der Hund und die Katze Nummer {i} " * 9, "de") for i in range(25)]
+    docs = spark.createDataFrame(rows + [(7000, "the cat and the dog", "en")] * 3000, "doc_id long, text string, lang string")
+    model = langid.fit(docs, rows=100)
+    assert model.languages == ["de", "en"]
+    asked = spark.createDataFrame([(1, "die Katze und der Hund " * 5), (2, "the dog and the cat " * 5)], DDL)
+    assert {r.doc_id: r.lang_pred for r in langid.predict(asked, model).collect()} == {1: "de", 2: "en"}
+    assert langid.fit(docs.withColumn("text", F.lit("12 !"))) is None
+
+
 def test_prediction_tables_equal_filters():
     rng = np.random.default_rng(2)
     model = langid.train(["abc def " * 40, "xyz üüü " * 40], ["a", "b"])
