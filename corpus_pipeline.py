@@ -19,17 +19,17 @@ from pagemill.llm.shared import drop_staged, staged, staged_so_far
 from pagemill.llm.substring import remove_repeats
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: Texts of at least so many letters that score less in every language are no language. Set on labelled rows: of
-#: 10,000 of them with so many letters, none scores less than 0.5.
-LEAST_LETTERS, LEAST_SCORE = 64, 0.4
+#: A text whose letters, times what its best score is below the first value, reach the second is no language. Of
+#: 10,000 labelled rows those of 64 letters or more score 0.48 at least, and shorter ones come to 1.9 at most.
+LEAST_SCORE, EVIDENCE = 0.4, 8
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which some language is found.
 
-    Those go whose text is null or has no letter, and those of at least ``LEAST_LETTERS`` letters in which no learned
-    language has ``LEAST_SCORE``, as noise has the rest; shorter texts show too little to be judged. Where there is
-    nothing to learn from, lettered documents stay. Repeated rows and null ids are treated as any other; an empty
+    Those go whose text is null or has no letter, and those whose letters speak against every learned language, as noise
+    has the rest: by ``LEAST_SCORE`` less the score, summed over the letters, so the fewer letters a text has, the lower its
+    score must be. Where there is nothing to learn from, lettered documents stay. Repeated rows and null ids are treated as any other; an empty
     table gives no rows; other columns than ``COLUMNS`` go.
     """
     docs, model = docs.select(*COLUMNS), fit(docs)
@@ -37,7 +37,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         return docs.filter(F.col("text").rlike(r"\p{L}"))
     letters = F.length(F.regexp_replace("text", r"\P{L}+", ""))
     judged = predict(docs, model).filter(F.col("lang_pred") != UNKNOWN)
-    return judged.filter((F.col("score") >= LEAST_SCORE) | (letters < LEAST_LETTERS)).select(*COLUMNS)
+    return judged.filter(letters * (F.lit(LEAST_SCORE) - F.col("score")) < EVIDENCE).select(*COLUMNS)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
