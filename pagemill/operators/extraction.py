@@ -16,8 +16,9 @@ GIVEN = "struct<{}>".format(
     ",".join(f"{n}:string" for n in L.SCALAR_FIELDS)
     + "".join(f",{n}:struct<{','.join(f'{s}:string' for s in subs)}>" for n, subs in L.NESTED_FIELDS.items())
 )
-#: What an extractor answers for a scrape: ``GIVEN`` and the months of intake.
-ANSWER = GIVEN[:-1] + ",intake_months:array<string>>"
+#: What an extractor answers for a scrape: ``GIVEN``, the months of intake and the parts of fees, which no rule finds.
+ANSWERED_FIELDS = L.NESTED_FIELDS | {"tuition_fees": [*L.NESTED_FIELDS["tuition_fees"], "breakdown"]}
+ANSWER = GIVEN[:-2] + ",breakdown:string>,intake_months:array<string>>"
 #: Characters of a text that an extractor is given.
 CONTEXT = 12_000
 
@@ -72,7 +73,7 @@ Fees of home and of international students stand apart. Put real doubts into con
 
 def answer_shape() -> str:
     """The JSON object that ``read_answer`` reads, all null."""
-    return json.dumps({n: None for n in (*L.SCALAR_FIELDS, "intake_months")} | {n: dict.fromkeys(subs) for n, subs in L.NESTED_FIELDS.items()}, indent=1)
+    return json.dumps({n: None for n in (*L.SCALAR_FIELDS, "intake_months")} | {n: dict.fromkeys(subs) for n, subs in ANSWERED_FIELDS.items()}, indent=1)
 
 
 def prompt(template: str, **values: Column) -> Column:
@@ -127,11 +128,13 @@ def extract_scrapes(scrapes: DataFrame, pages: DataFrame, within: str, given: st
     rows = contexts(rows.join(of_pages, within, "left"))
     rows = rows.withColumn("focused", F.when(F.col("_contexts").isNotNull(), targeted_text(F.col("_contexts"))).otherwise(F.col("focused")))
     out = extract_records(rows, given=given, context=L.PROMPT_CHARS)
-    months = F.col(given)["intake_months"] if given else F.lit(None).cast("array<string>")
-    out = out.withColumn("record", F.col("record").withField("intake_months", F.when(F.size(months) > 0, months)))
+    answer = F.col(given) if given else F.lit(None).cast(ANSWER)
+    months, fees = answer["intake_months"], F.col("record.tuition_fees")
+    fees = F.when(fees.isNotNull(), fees.withField("breakdown", answer["tuition_fees"]["breakdown"]))
+    out = out.withColumn("record", F.col("record").withField("intake_months", F.when(F.size(months) > 0, months)).withField("tuition_fees", fees))
     record = {n: F.col(f"record.{n}") for n in L.FIELD_GROUP}
     out = out.withColumns({
-        "field_sources": relevance.field_sources(record, F.coalesce("_sources", F.create_map().cast("map<string,string>")), F.col("url"), L.NESTED_FIELDS),
+        "field_sources": relevance.field_sources(record, F.coalesce("_sources", F.create_map().cast("map<string,string>")), F.col("url"), ANSWERED_FIELDS),
         "status": records.record_status(list(record.values()), record["university_name"], record["program_name"]),
         "prompt": prompt(template, url=F.col("url"), hint=F.coalesce(F.col(hint), F.lit(L.ANY_HINT)) if hint else F.lit(L.ANY_HINT), findings=F.col("hint_block"), text=F.col("context")),
     })

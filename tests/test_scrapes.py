@@ -41,13 +41,14 @@ def test_intake_that_repeats_admission_is_left_out(spark):
 
 
 def test_answers_nulls_repeats_and_scrapes_without_pages(spark):
-    answer = 'Sure: {"university_name": "U", "program_name": "P", "intake_months": ["May"], "tuition_fees": {"domestic": "£1"}, "surprise": 1} done'
+    answer = 'Sure: {"university_name": "U", "program_name": "P", "intake_months": ["May"], "tuition_fees": {"domestic": "£1", "breakdown": "Books: £2 | Total: £3"}, "surprise": 1} done'
     scrapes = [(1, "https://u.edu", "Tuition fees are £7,000.", answer), (2, "https://v.edu", None, "no object"), (None, "https://w.edu", "IELTS 7.0 overall", None), (3, None, None, '{"intake_months": []}')]
     rows = [(3, 0, None, None, None), (3, 1, "https://x.edu/news", "other", ""), (None, 0, "https://w.edu", "tuition", FEES)]
     got = run(spark, scrapes, rows)
     one = got[1]
     assert (one.status, one.record.tuition_fees.domestic, one.record.intake_months) == ("partial", "£1", ["May"])
     assert one.field_sources["intake_months"] == one.field_sources["tuition_fees.domestic"] == "https://u.edu"
+    assert one.record.tuition_fees.breakdown == "Books: £2 | Total: £3" and "tuition_fees.breakdown" in one.field_sources
     assert "scholarships" not in one.field_sources
     assert got[2].status == got[3].status == "failed" and got[2].focused == "" and got[3].record.intake_months is None
     assert got[None].record.english_requirements.ielts.startswith("IELTS 7.0")
