@@ -38,75 +38,110 @@ def _events(log: DataFrame) -> DataFrame:
     return known.select(F.col("job").cast("string"), F.col("batch").cast("string"), "status", F.col("ts").cast("timestamp"))
 
 
-def _stamp(us: int) -> list[pd.Timestamp]:
-    """Microseconds since 1970 as a cell; with its zone, so that the session's plays no part."""
-    return [pd.Timestamp(us, unit="us", tz="UTC")]
+def _stamp(*us: int) -> pd.DatetimeIndex:
+    """Microseconds since 1970 as cells; with their zone, so that the session's plays no part."""
+    return pd.to_datetime(list(us), unit="us", utc=True)
 
 
 # ---------------------------------------------------------------- jobs
 
 
 class _Jobs(StatefulProcessor):
-    """The furthest state of a job, the latest of equally far ones; a timer fails those that show no sign of life."""
+    """The furthest state of each job, the latest of equally far ones; timers fail those that show no sign of life.
+
+    A key is a bucket of jobs, as a call into Python, or to the state from there, costs much more than a job. Its state is a row of arrays
+    with a place for each job, which is read and written whole; its one timer is that of the job that is due first.
+    """
 
     def __init__(self, timeout_ms: int, keep_ms: int):
         self.timeout_ms, self.keep_ms = timeout_ms, keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.best = handle.getValueState("best", "rank int, us long, status string, last_us long, timed_out boolean, counted boolean, batch string")
-
-    def _timer(self, ms: int) -> None:
-        for old in list(self.handle.listTimers()):
-            self.handle.deleteTimer(old)
-        self.handle.registerTimer(ms)
-
-    def _row(self, key: tuple, status: str, us: int, heard: int, watermark_ms: int, ended: bool, timed_out: bool, batch: str | None) -> pd.DataFrame:
-        times = {"ts": _stamp(us), "heard": _stamp(heard), "told": _stamp(max(heard, watermark_ms * 1000))}
-        return pd.DataFrame({"job": [key[0]], "batch": [batch], "status": [status], **times, "ended": [ended], "timed_out": [timed_out]})
+        fields = {"job": "string", "rank": "int", "us": "long", "status": "string", "last_us": "long", "timed_out": "boolean", "counted": "boolean", "batch": "string"}
+        self.jobs = handle.getValueState("jobs", "due long, " + ", ".join(f"{n} array<{t}>" for n, t in fields.items()))
+
+    def _load(self) -> tuple[int | None, dict[str, tuple]]:
+        """When the timer is set to, and ``rank, us, status, last_us, timed_out, counted, batch`` of each job."""
+        row = self.jobs.get()
+        return (row[0], {job: v for job, *v in zip(*row[1:], strict=True)}) if row else (None, {})
+
+    def _store(self, jobs: dict[str, tuple], timer: int | None) -> None:
+        """Keep the jobs, with the timer at the first that is due; ``timer`` is what it is set to."""
+        due = min((self._due(*v) for v in jobs.values()), default=None)
+        if timer is not None and due != timer:
+            self.handle.deleteTimer(timer)
+        if due is not None and due != timer:
+            self.handle.registerTimer(due)
+        if jobs:
+            self.jobs.update((due, list(jobs), *map(list, zip(*jobs.values(), strict=True))))
+        else:
+            self.jobs.clear()
+
+    def _due(self, rank: int, us: int, status: str, last: int, timed_out: bool, *_) -> int:
+        """When a job is given up or, if ended or given up, forgotten: milliseconds since 1970."""
+        over = rank == max(ORDER.values())
+        return last // 1000 + (0 if over else self.timeout_ms) + (self.keep_ms if over or timed_out else 0)
+
+    def _rows(self, rows: list[tuple], watermark_ms: int) -> Iterator[pd.DataFrame]:
+        """``job, batch, status, us, heard, ended, timed_out`` as rows of ``CHANGES``; none gives no table."""
+        if rows:
+            job, batch, status, us, heard, ended, timed_out = map(list, zip(*rows, strict=True))
+            times = {"ts": _stamp(*us), "heard": _stamp(*heard), "told": _stamp(*(max(h, watermark_ms * 1000) for h in heard))}
+            yield pd.DataFrame({"job": job, "batch": batch, "status": status, **times, "ended": ended, "timed_out": timed_out})
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        had = self.best.get() if self.best.exists() else None
-        rank, us, status, last, timed_out, counted, batch = had if had else (-1, 0, "", 0, False, False, None)
-        now = (rank, us, status)
+        timer, jobs = self._load()
+        before, new = {}, (-1, 0, "", 0, False, False, None)
         for part in rows:
-            stamps = part["us"].tolist()
-            last = max(last, *stamps)
-            for s, t, b in zip(part["status"], stamps, part["batch"], strict=True):
-                now = max(now, (ORDER[s], t, s))
+            for job, b, s, t in zip(part["job"], part["batch"], part["status"], part["us"].tolist(), strict=True):
+                had = jobs.get(job, new)
+                before.setdefault(job, had)
+                *now, last, timed_out, counted, batch = had
                 batch = b if batch is None or (b is not None and b < batch) else batch
-        over = now[0] == max(ORDER.values())
-        self.best.update((*now, last, False, counted or over, batch))
-        self._timer(last // 1000 + (self.keep_ms if over else self.timeout_ms))
-        if now != (rank, us, status) or timed_out:
-            yield self._row(key, now[2], now[1], last, timerValues.getCurrentWatermarkInMs(), over and not counted, False, batch)
+                jobs[job] = (*max(tuple(now), (ORDER[s], t, s)), max(last, t), timed_out, counted, batch)
+        out = []
+        for job, had in before.items():
+            *now, last, timed_out, counted, batch = jobs[job]
+            over = now[0] == max(ORDER.values())
+            jobs[job] = (*now, last, False, counted or over, batch)
+            if tuple(now) != tuple(had[:3]) or timed_out:
+                out.append((job, batch, now[2], now[1], last, over and not counted, False))
+        self._store(jobs, timer)
+        yield from self._rows(out, timerValues.getCurrentWatermarkInMs())
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        rank, us, status, last, timed_out, counted, batch = self.best.get()
-        if rank == max(ORDER.values()) or timed_out:
-            self.best.clear()
-            return
-        self.best.update((rank, us, status, last, True, True, batch))
-        self.handle.registerTimer(last // 1000 + self.timeout_ms + self.keep_ms)
-        yield self._row(key, "failed", last + self.timeout_ms * 1000, last, timerValues.getCurrentWatermarkInMs(), not counted, True, batch)
+        watermark_ms = timerValues.getCurrentWatermarkInMs()
+        timer, jobs = self._load()
+        out, left = [], {}
+        for job, had in jobs.items():
+            rank, us, status, last, timed_out, counted, batch = had
+            if self._due(*had) <= watermark_ms and rank < max(ORDER.values()) and not timed_out:
+                out.append((job, batch, "failed", last + self.timeout_ms * 1000, last, not counted, True))
+                had = (rank, us, status, last, True, True, batch)
+            if self._due(*had) > watermark_ms:
+                left[job] = had
+        self._store(left, timer)
+        yield from self._rows(out, watermark_ms)
 
     def close(self) -> None:
         pass
 
 
-def job_changes(log: DataFrame, late: str = "10 minutes", timeout_minutes: int = 30, keep_minutes: int = 1440) -> DataFrame:
+def job_changes(log: DataFrame, late: str = "10 minutes", timeout_minutes: int = 30, keep_minutes: int = 1440, buckets: int = 4096) -> DataFrame:
     """A row for every change of a job's state, from a stream of ``job, batch, status, ts``.
 
     A state is only left for one further on (``ORDER``), or for a later one as far; events that would lead back change nothing, and so do
     unknown statuses and rows without job or time. ``heard`` is the time of the last event so far, ``told`` the row's own event time (that, or the watermark where it is later), ``ended`` marks the row with which
     a job first ends or is given up. ``timed_out`` marks jobs of which nothing was heard for ``timeout_minutes`` up to the watermark: they count as failed at that time until something newer is
     heard. State is dropped ``keep_minutes`` after the last event of an ended job, and after the timeout of one that was given up;
-    a job heard of again after that begins anew.
+    a job heard of again after that begins anew. Jobs are dealt into ``buckets`` by their hash; a stream keeps their number for its life, and a call goes through the jobs of its bucket that are in state.
     """
     with_state_store(log.sparkSession)
     timed = _events(log).withColumn("us", F.unix_micros("ts")).withWatermark("ts", late)
     jobs = _Jobs(timeout_minutes * 60_000, keep_minutes * 60_000)
-    return timed.groupBy("job").transformWithStateInPandas(jobs, CHANGES, "Append", "EventTime", eventTimeColumnName="told")
+    dealt = timed.withColumn("bucket", F.pmod(F.xxhash64("job"), F.lit(buckets)))
+    return dealt.groupBy("bucket").transformWithStateInPandas(jobs, CHANGES, "Append", "EventTime", eventTimeColumnName="told")
 
 
 def end_states(log: DataFrame, as_of: Column | None = None, timeout_minutes: int = 30) -> DataFrame:
