@@ -11,26 +11,50 @@ from pagemill.functions import lexicon as L
 from pagemill.functions.urls import let
 
 
+#: What a match must begin with, as a look ahead that is cheap where nothing begins. Numbers are taken whole, as what follows them is no digit.
+BEGINS = {
+    L.IELTS_BAND: r"[nma][oit][\sn]",
+    L.FEE: r"[£€$\d,ugcanshdji](?:(?<=[£€$])|(?<=[\d,])[\d,]*+(?:\.\d\d?+)?+\s*+[£€$ugcansh]|[sbauzgkheopn][dpfkyr])",
+    L.FEE_CONTEXT: r"[tfcrp][ueohra][ieiasrt]",
+    L.DOMESTIC_CONTEXT: r"[uhdria][koenr](?<=uk|[hdria][oenr](?=[ms\-k]))",
+    L.INTERNATIONAL_CONTEXT: r"[ionf][nvou][tenr]",
+    L.DURATION: r"[\dotfse](?:(?<=\d)\d*+(?:\.\d++)?+\s*+[-tyms]|[nwhoi][eoruvxg])",
+    L.GPA: r"g[pr]a",
+    L.UK_GRADE: r"[f2ult][i:poh][r12pwi]",
+    L.DEADLINE: r"[dca][elp][aop]",
+}
+
+
+def quick(pattern: str) -> str:
+    """The same matches, with the whole pattern tried only where ``BEGINS`` fits."""
+    begins = f"(?i)(?={BEGINS[pattern]})" if pattern in BEGINS else ""
+    return begins + (rf"{L.DEADLINE_LABEL}(?=\d|[jfmasond][aepuco][nbrylgptvc]){L.DATE}" if pattern == L.DEADLINE else pattern)
+
+
 def all_matches(text: Column, pattern: str, group: int = 0) -> Column:
-    return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+    return F.regexp_extract_all(text, F.lit(quick(pattern)), F.lit(group))
 
 
 def first_match(text: Column, pattern: str) -> Column:
     """First match, trimmed; null if there is none."""
-    return let(F.trim(F.regexp_extract(text, pattern, 0)), lambda m: F.when(m != "", m))
+    return let(F.trim(F.regexp_extract(text, quick(pattern), 0)), lambda m: F.when(m != "", m))
 
 
 def distinct_matches(text: Column, pattern: str, most: int = 3) -> Column:
     return F.slice(F.array_distinct(F.transform(all_matches(text, pattern), lambda x: F.trim(x))), 1, most)
 
 
-def ielts(text: Column) -> Column:
-    """First overall score, with the first band score of the whole text."""
-    with_band = lambda overall: let(first_match(text, L.IELTS_BAND), lambda band: F.concat(overall, F.coalesce(F.concat(F.lit(", no band below "), F.element_at(F.split(band, r"\s+"), -1)), F.lit(""))))
-    return F.when(_holds(text, "ielts"), let(first_match(text, L.IELTS), lambda overall: F.when(overall.isNotNull(), with_band(overall))))
+def ielts(text: Column, low: Column | None = None) -> Column:
+    """First overall score, with the first band score of the whole text. ``low``, here and below, is the text in lower case, if it is there already."""
+    with_band = lambda overall: let(first_match(text, L.IELTS_BAND), lambda band: F.concat(overall, F.coalesce(F.concat(F.lit(", no band below "), F.regexp_extract(band, r"\S+$", 0)), F.lit(""))))
+    return F.when(_holds(text, low, "ielts"), let(first_match(text, L.IELTS), lambda overall: F.when(overall.isNotNull(), with_band(overall))))
+
+
+#: ``TOEFL_TABLE`` without going back in cells, which hold no bar.
+_TABLE = L.TOEFL_TABLE.replace("[^|]*", "[^|]*+").replace("[^|]+", "[^|]++")
 
 
-def toefl(text: Column) -> Column:
+def toefl(text: Column, low: Column | None = None) -> Column:
     """Scores of a band table if there is one, else the first mention."""
     head = F.lit("TOEFL iBT: ")
 
@@ -41,16 +65,16 @@ def toefl(text: Column) -> Column:
             .when(after != "", F.concat(head, after))
         )
 
-    row = F.regexp_extract(text, L.TOEFL_TABLE, 0)
-    cells = lambda r: F.when(r != "", scores(*(F.trim(F.regexp_extract(r, L.TOEFL_TABLE, k)) for k in (1, 2))))
-    table = F.when(_holds(text, "band b"), let(row, cells))
-    return F.coalesce(table, F.when(_holds(text, "toefl"), first_match(text, L.TOEFL)))
+    row = F.regexp_extract(text, _TABLE, 0)
+    cells = lambda r: F.when(r != "", scores(*(F.trim(F.regexp_extract(r, _TABLE, k)) for k in (1, 2))))
+    table = F.when(text.contains("|") & _holds(text, low, "band b"), let(row, cells))
+    return F.coalesce(table, F.when(_holds(text, low, "toefl"), first_match(text, L.TOEFL)))
 
 
-def _holds(text: Column, *words: str) -> Column:
+def _holds(text: Column, low: Column | None, *words: str) -> Column:
     """A cheap look for what every match of a pattern holds, before the pattern itself."""
-    low = F.lower(text)
-    return let(low, lambda x: reduce(lambda a, b: a | b, (x.contains(w) for w in words)))
+    any_of = lambda x: reduce(lambda a, b: a | b, (x.contains(w) for w in words))
+    return let(F.lower(text), any_of) if low is None else any_of(low)
 
 
 def fee_amounts(text: Column) -> Column:
@@ -62,12 +86,12 @@ def fee_amounts(text: Column) -> Column:
 
 def labelled_fee(text: Column, context: str) -> Column:
     """First amount in the first three places that the label introduces."""
-    amounts = F.transform(distinct_matches(text, context, 3), lambda c: F.trim(F.regexp_extract(c, L.FEE, 0)))
+    amounts = F.transform(distinct_matches(text, context, 3), lambda c: F.trim(F.regexp_extract(c, quick(L.FEE), 0)))
     return F.get(F.filter(amounts, lambda a: a != ""), 0)
 
 
-def deadlines(text: Column, most: int = 3) -> Column:
-    found = F.when(_holds(text, "deadline", "closing", "apply", "application"), all_matches(text, L.DEADLINE))
+def deadlines(text: Column, most: int = 3, low: Column | None = None) -> Column:
+    found = F.when(_holds(text, low, "deadline", "closing", "apply", "application"), all_matches(text, L.DEADLINE))
     either = lambda a, b: F.trim(F.when(a != "", a).otherwise(b))
     dates = F.transform(found, lambda m: either(F.regexp_extract(m, L.DEADLINE, 1), F.regexp_extract(m, L.DEADLINE, 2)))
     return F.slice(F.array_distinct(F.filter(dates, lambda d: d != "")), 1, most)
@@ -79,18 +103,21 @@ def _some(array: Column) -> Column:
 
 def hints(text: Column) -> Column:
     """All findings as one struct; null where nothing is found."""
-    return F.struct(
-        ielts(text).alias("ielts"),
-        toefl(text).alias("toefl"),
-        F.when(_holds(text, "pte"), first_match(text, L.PTE)).alias("pte"),
-        F.when(_holds(text, "duolingo"), first_match(text, L.DUOLINGO)).alias("duolingo"),
-        _some(fee_amounts(text)).alias("fee_amounts"),
-        labelled_fee(text, L.DOMESTIC_CONTEXT).alias("domestic_fee"),
-        labelled_fee(text, L.INTERNATIONAL_CONTEXT).alias("international_fee"),
-        first_match(text, L.DURATION).alias("duration"),
-        F.coalesce(F.when(_holds(text, "gpa", "grade"), first_match(text, L.GPA)), first_match(text, L.UK_GRADE)).alias("gpa"),
-        _some(deadlines(text)).alias("deadlines"),
-    )
+    def of(low: Column) -> Column:
+        return F.struct(
+            ielts(text, low).alias("ielts"),
+            toefl(text, low).alias("toefl"),
+            F.when(_holds(text, low, "pte"), first_match(text, L.PTE)).alias("pte"),
+            F.when(_holds(text, low, "duolingo"), first_match(text, L.DUOLINGO)).alias("duolingo"),
+            _some(fee_amounts(text)).alias("fee_amounts"),
+            labelled_fee(text, L.DOMESTIC_CONTEXT).alias("domestic_fee"),
+            labelled_fee(text, L.INTERNATIONAL_CONTEXT).alias("international_fee"),
+            first_match(text, L.DURATION).alias("duration"),
+            F.coalesce(F.when(_holds(text, low, "gpa", "grade"), first_match(text, L.GPA)), first_match(text, L.UK_GRADE)).alias("gpa"),
+            _some(deadlines(text, low=low)).alias("deadlines"),
+        )
+
+    return let(F.lower(text), of)
 
 
 TELLING = ("program", "course", "admission", "requirement")
