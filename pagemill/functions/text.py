@@ -11,6 +11,8 @@ from pagemill.functions.urls import first_type, let, url_type
 #: Line ends: also form feed, separators and the Unicode ones.
 LINE_END = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]"
 SPACE = r"^[\s\x{85}\x{A0}]+|[\s\x{85}\x{A0}]+$"
+#: Characters at an end with which ``SPACE`` may fit; what ends a line may stand after it.
+ENDS = r"[\s\x{85}\x{A0}\x{2028}\x{2029}]"
 
 
 def word_count(text: Column) -> Column:
@@ -18,7 +20,8 @@ def word_count(text: Column) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, SPACE, "")
+    ends = lambda t: F.concat(F.substring(t, 1, 1), F.substring(t, -1, 1))
+    return let(text, lambda t: F.when(ends(t).rlike(ENDS), F.regexp_replace(t, SPACE, "")).otherwise(t))
 
 
 def strip_noise(text: Column) -> Column:

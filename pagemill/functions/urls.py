@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -10,11 +11,17 @@ from pyspark.sql import functions as F
 from pagemill.functions import lexicon as L
 
 
+def begins(pattern: str) -> str:
+    """A cheap look ahead at three characters, for alternatives that begin with three letters or blanks each; empty for others."""
+    parts = [re.match(r"[a-z ]{3}(?![?*+{])", p) for p in pattern.split("|")]
+    return f"(?={''.join('[' + ''.join(sorted({p[0][k] for p in parts})) + ']' for k in range(3))})" if all(parts) else ""
+
+
 def first_type(text: Column, types: dict[str, list[str]], default: str) -> Column:
     """The first type any of whose patterns is found; types stand in order."""
     out = None
     for name, patterns in types.items():
-        hit = text.rlike("|".join(f"(?:{p})" for p in patterns))
+        hit = text.rlike(begins("|".join(patterns)) + "(?:" + "|".join(f"(?:{p})" for p in patterns) + ")")
         out = F.when(hit, name) if out is None else out.when(hit, name)
     return out.otherwise(default)
 
