@@ -65,9 +65,9 @@ def checked_duration(duration: Column, degree: Column) -> Column:
 
 def grade_is_internal(grade: Column, context: Column) -> Column:
     """Whether the text around a grade speaks of progress within a programme rather than of admission."""
-    low = F.lower(F.coalesce(context, F.lit("")))
-    count = lambda words: sum((low.contains(w).cast("int") for w in words), F.lit(0))
-    return F.nullif(grade, F.lit("")).isNotNull() & (count(L.INTERNAL_FLAGS) > count(L.ADMISSION_FLAGS))
+    count = lambda low, words: sum((low.contains(w).cast("int") for w in words), F.lit(0))
+    more = lambda low: count(low, L.INTERNAL_FLAGS) > count(low, L.ADMISSION_FLAGS)
+    return F.nullif(grade, F.lit("")).isNotNull() & let(F.lower(F.coalesce(context, F.lit(""))), more)
 
 
 def grade_note(grade: Column, context: Column) -> Column:
