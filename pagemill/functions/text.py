@@ -25,15 +25,15 @@ def strip(text: Column) -> Column:
 
 
 def strip_noise(text: Column) -> Column:
-    """Without embedded images and encoded drawings."""
-    for pattern, put in (
-        (r"!\[[^\]]*\]\(data:[^)]*\)", ""),
-        (r"\[!\[[^\]]*\]\(data:[^)]*\)\]\([^)]*\)", ""),
-        (r"data:image/\S{10,}", "[image]"),
-        (r"%3[cC]svg\S{20,}", ""),
-        (r"\n{3,}", "\n\n"),
+    """Without embedded images and encoded drawings. A pattern is tried where the text holds what each of its matches holds."""
+    for pattern, put, held in (
+        (r"!\[[^\]]*\]\(data:[^)]*\)", "", "]("),
+        (r"\[!\[[^\]]*\]\(data:[^)]*\)\]\([^)]*\)", "", "[!["),
+        (r"data:image/\S{10,}", "[image]", "data:image/"),
+        (r"%3[cC]svg\S{20,}", "", "svg"),
+        (r"\n{3,}", "\n\n", "\n\n\n"),
     ):
-        text = F.regexp_replace(text, pattern, put)
+        text = let(text, lambda t, pattern=pattern, put=put, held=held: F.when(t.contains(held), F.regexp_replace(t, pattern, put)).otherwise(t))
     return strip(text)
 
 
