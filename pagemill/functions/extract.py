@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,28 +9,48 @@ from pagemill.functions import lexicon as L
 from pagemill.functions.urls import let
 
 
-#: What a match must begin with, as a look ahead that is cheap where nothing begins. Numbers are taken whole, as what follows them is no digit.
+_AMOUNT = r"\s*[\d,]+(?:\.\d{1,2})?"
+_UNIT = r"\s*+(?:year|month|semester|term)s?"
+_LABEL = r"(?i)[dca][elp][aop](?:(?<=dea)dline|(?<=clo)sing\s+date|(?<=app)(?:ly\s+by|lications?\s+(?:close|due|by)))[^.]{0,120}?(?=\d|[jfmasond][aepuco][nbrylgptvc])"
+_FEE_WORDS = r"[tfcrp][ueohra][ieast](?<=tui|fee|cos|cha|rat|pri|cre)(?:(?<=tui)tion|(?<=fee)|(?<=cos)t|(?<=cha)rge|(?<=rat)e|(?<=pri)ce|(?<=cre)dit\s+hour)"
+_DOMESTIC_WORDS = r"[uhdria][koenr](?:[ms\-k](?<=hom|dom|res|in-|ark)(?:(?<=hom)e|(?<=dom)estic|(?<=res)ident|(?<=in-)state|(?<=ark)ansas\s+resident)|(?<=uk))"
+_INTERNATIONAL_WORDS = r"[ionf][nvou][tenr](?<=int|ove|non|out|for)(?:(?<=int)ernational|(?<=ove)rseas|(?<=non)-(?:EU|UK|resident)|(?<=out)-of-state|(?<=for)eign\s+student)"
+#: Patterns that find the same but take the characters they begin with by classes, one after the other, before they tell the words apart: most places of a text
+#: fail at the first class, where an alternation or a look ahead costs several steps. Numbers are taken whole, as what follows them is no digit.
 BEGINS = {
-    L.IELTS_BAND: r"[nma][oit][\sn]",
-    L.FEE: r"[£€$\d,ugcanshdji](?:(?<=[£€$])|(?<=[\d,])[\d,]*+(?:\.\d\d?+)?+\s*+[£€$ugcansh]|[sbauzgkheopn][dpfkyr])",
-    L.FEE_CONTEXT: r"[tfcrp][ueohra][ieiasrt]",
-    L.DOMESTIC_CONTEXT: r"[uhdria][koenr](?<=uk|[hdria][oenr](?=[ms\-k]))",
-    L.INTERNATIONAL_CONTEXT: r"[ionf][nvou][tenr]",
-    L.DURATION: r"[\dotfse](?:(?<=\d)\d*+(?:\.\d++)?+\s*+[-tyms]|[nwhoi][eoruvxg])",
-    L.GPA: r"g[pr]a",
-    L.UK_GRADE: r"[f2ult][i:poh][r12pwi]",
-    L.DEADLINE: r"[dca][elp][aop]",
+    L.IELTS_BAND: (
+        r"(?i)[nma][oit][\sn](?:(?<=no\s)\s*+(?:band|component|skill)\s+(?:below|less\s+than)|(?<=min)imum\s+(?:of\s+)?|(?<=at\s)\s*+least\s+)\d\.\d"
+        r"(?:\s+in\s+(?:each|any|all|writing|reading|listening|speaking))?"
+    ),
+    L.FEE: (
+        rf"(?i)(?:[£€$]{_AMOUNT}|[\d,]++(?:\.\d\d?+)?+\s*+(?:[£€$]|USD|GBP|CAD|AUD|NZD|SGD|HKD)"
+        rf"|[ugcanshdji][sbauzgkheopn][dpfkyr](?<=usd|gbp|cad|aud|nzd|sgd|hkd|chf|sek|nok|dkk|jpy|cny|inr){_AMOUNT})"
+        r"(?:\s*(?:per\s+(?:year|annum|semester|credit(?:\s+hour)?|module)|/year|/credit|p\.a\.|annually))?"
+    ),
+    L.FEE_CONTEXT: rf"(?i){_FEE_WORDS}[^\n]{{0,250}}",
+    L.DOMESTIC_CONTEXT: rf"(?i){_DOMESTIC_WORDS}[^\n]{{0,200}}",
+    L.INTERNATIONAL_CONTEXT: rf"(?i){_INTERNATIONAL_WORDS}[^\n]{{0,200}}",
+    L.DURATION: (
+        rf"(?i)[\dotfse](?:[nwhoi][eoruvxg](?<=one|two|thr|fou|fiv|six|twe|eig)(?:(?<=one|two|six)|(?<=twe)(?:lve|nty.four)|(?<=thr)ee|(?<=fou)r|(?<=fiv)e|(?<=eig)hteen){_UNIT}"
+        rf"|(?<=\d)\d*+(?:\.\d++)?+(?:{_UNIT}|\s*+(?:-|to)\s*+\d++(?:\.\d++)?+{_UNIT}))"
+        r"(?:\s*(?:full.time|part.time|of\s+study|programme|program|course))?"
+    ),
+    L.GPA: r"(?i)g[pr]a(?:(?<=gpa)|(?<=gra)de\s+point\s+average)[^.]{0,60}?\d\.\d+\s*(?:/\s*4\.0|out\s+of\s+4)?",
+    L.UK_GRADE: (
+        r"(?i)[f2ult][i:poh][r12pwi](?:(?<=fir)st.class|(?<=2:[12])|(?<=upp)er\s+second|(?<=low)er\s+second|(?<=thi)rd.class)"
+        r"(?:\s+honours)?(?:\s+degree)?(?:[^.]{0,40}?\d+%)?"
+    ),
+    L.DEADLINE: _LABEL + L.DATE,
 }
 
 
 def quick(pattern: str) -> str:
-    """The same matches, with the whole pattern tried only where ``BEGINS`` fits."""
-    begins = f"(?i)(?={BEGINS[pattern]})" if pattern in BEGINS else ""
-    return begins + (rf"{L.DEADLINE_LABEL}(?=\d|[jfmasond][aepuco][nbrylgptvc]){L.DATE}" if pattern == L.DEADLINE else pattern)
+    """The same matches in fewer steps, if ``BEGINS`` has the pattern; groups within may be lost."""
+    return BEGINS.get(pattern, pattern)
 
 
-def all_matches(text: Column, pattern: str, group: int = 0) -> Column:
-    return F.regexp_extract_all(text, F.lit(quick(pattern)), F.lit(group))
+def all_matches(text: Column, pattern: str) -> Column:
+    return F.regexp_extract_all(text, F.lit(quick(pattern)), F.lit(0))
 
 
 def first_match(text: Column, pattern: str) -> Column:
@@ -44,17 +62,17 @@ def distinct_matches(text: Column, pattern: str, most: int = 3) -> Column:
     return F.slice(F.array_distinct(F.transform(all_matches(text, pattern), lambda x: F.trim(x))), 1, most)
 
 
-def ielts(text: Column, low: Column | None = None) -> Column:
-    """First overall score, with the first band score of the whole text. ``low``, here and below, is the text in lower case, if it is there already."""
+def ielts(text: Column) -> Column:
+    """First overall score, with the first band score of the whole text."""
     with_band = lambda overall: let(first_match(text, L.IELTS_BAND), lambda band: F.concat(overall, F.coalesce(F.concat(F.lit(", no band below "), F.regexp_extract(band, r"\S+$", 0)), F.lit(""))))
-    return F.when(_holds(text, low, "ielts"), let(first_match(text, L.IELTS), lambda overall: F.when(overall.isNotNull(), with_band(overall))))
+    return let(first_match(text, L.IELTS), lambda overall: F.when(overall.isNotNull(), with_band(overall)))
 
 
 #: ``TOEFL_TABLE`` without going back in cells, which hold no bar.
 _TABLE = L.TOEFL_TABLE.replace("[^|]*", "[^|]*+").replace("[^|]+", "[^|]++")
 
 
-def toefl(text: Column, low: Column | None = None) -> Column:
+def toefl(text: Column) -> Column:
     """Scores of a band table if there is one, else the first mention."""
     head = F.lit("TOEFL iBT: ")
 
@@ -67,14 +85,8 @@ def toefl(text: Column, low: Column | None = None) -> Column:
 
     row = F.regexp_extract(text, _TABLE, 0)
     cells = lambda r: F.when(r != "", scores(*(F.trim(F.regexp_extract(r, _TABLE, k)) for k in (1, 2))))
-    table = F.when(text.contains("|") & _holds(text, low, "band b"), let(row, cells))
-    return F.coalesce(table, F.when(_holds(text, low, "toefl"), first_match(text, L.TOEFL)))
-
-
-def _holds(text: Column, low: Column | None, *words: str) -> Column:
-    """A cheap look for what every match of a pattern holds, before the pattern itself."""
-    any_of = lambda x: reduce(lambda a, b: a | b, (x.contains(w) for w in words))
-    return let(F.lower(text), any_of) if low is None else any_of(low)
+    table = F.when(text.contains("|"), let(row, cells))
+    return F.coalesce(table, first_match(text, L.TOEFL))
 
 
 def fee_amounts(text: Column) -> Column:
@@ -90,11 +102,13 @@ def labelled_fee(text: Column, context: str) -> Column:
     return F.get(F.filter(amounts, lambda a: a != ""), 0)
 
 
-def deadlines(text: Column, most: int = 3, low: Column | None = None) -> Column:
-    found = F.when(_holds(text, low, "deadline", "closing", "apply", "application"), all_matches(text, L.DEADLINE))
-    either = lambda a, b: F.trim(F.when(a != "", a).otherwise(b))
-    dates = F.transform(found, lambda m: either(F.regexp_extract(m, L.DEADLINE, 1), F.regexp_extract(m, L.DEADLINE, 2)))
-    return F.slice(F.array_distinct(F.filter(dates, lambda d: d != "")), 1, most)
+#: What stands at the end of a match of ``DEADLINE`` as one group.
+_DEADLINE_DATE = f"{_LABEL}({L.DATE})"
+
+
+def deadlines(text: Column, most: int = 3) -> Column:
+    dates = F.transform(F.regexp_extract_all(text, F.lit(_DEADLINE_DATE), F.lit(1)), lambda d: F.trim(d))
+    return F.slice(F.array_distinct(dates), 1, most)
 
 
 def _some(array: Column) -> Column:
@@ -102,22 +116,22 @@ def _some(array: Column) -> Column:
 
 
 def hints(text: Column) -> Column:
-    """All findings as one struct; null where nothing is found."""
-    def of(low: Column) -> Column:
+    """All findings as one struct, which is made once although a query may name its fields often; null where nothing is found."""
+    def of(t: Column) -> Column:
         return F.struct(
-            ielts(text, low).alias("ielts"),
-            toefl(text, low).alias("toefl"),
-            F.when(_holds(text, low, "pte"), first_match(text, L.PTE)).alias("pte"),
-            F.when(_holds(text, low, "duolingo"), first_match(text, L.DUOLINGO)).alias("duolingo"),
-            _some(fee_amounts(text)).alias("fee_amounts"),
-            labelled_fee(text, L.DOMESTIC_CONTEXT).alias("domestic_fee"),
-            labelled_fee(text, L.INTERNATIONAL_CONTEXT).alias("international_fee"),
-            first_match(text, L.DURATION).alias("duration"),
-            F.coalesce(F.when(_holds(text, low, "gpa", "grade"), first_match(text, L.GPA)), first_match(text, L.UK_GRADE)).alias("gpa"),
-            _some(deadlines(text, low=low)).alias("deadlines"),
+            ielts(t).alias("ielts"),
+            toefl(t).alias("toefl"),
+            first_match(t, L.PTE).alias("pte"),
+            first_match(t, L.DUOLINGO).alias("duolingo"),
+            _some(fee_amounts(t)).alias("fee_amounts"),
+            labelled_fee(t, L.DOMESTIC_CONTEXT).alias("domestic_fee"),
+            labelled_fee(t, L.INTERNATIONAL_CONTEXT).alias("international_fee"),
+            first_match(t, L.DURATION).alias("duration"),
+            F.coalesce(first_match(t, L.GPA), first_match(t, L.UK_GRADE)).alias("gpa"),
+            _some(deadlines(t)).alias("deadlines"),
         )
 
-    return let(F.lower(text), of)
+    return let(text, of)
 
 
 TELLING = ("program", "course", "admission", "requirement")
