@@ -160,15 +160,17 @@ def hint_blocks(spark, d):
 
 
 def filled_records(spark, d):
-    rows = derived.programs(spark, d).select("k", "text", extract.hints(F.col("text")).alias("h"))
     e = F.struct(F.when(F.col("k") % 2 == 0, F.lit("IELTS 7.0")).alias("ielts"), *(F.lit(None).cast("string").alias(n) for n in ("toefl", "pte", "duolingo", "notes")))
     f = F.struct(F.when(F.col("k") % 6 == 0, F.lit("£1")).alias("domestic"), *(F.lit(None).cast("string").alias(n) for n in ("international", "currency", "notes")))
+    given = {"ielts": e["ielts"], "domestic_fee": f["domestic"]}
+    h = extract.hints(F.col("text"), extract.ENGLISH_GAPS + extract.FEE_GAPS, given)
+    rows = derived.programs(spark, d).select("k", h.alias("h"))
     rows = rows.select("k", extract.fill_english(e, F.col("h")).alias("e"), extract.fill_fees(f, F.col("h")).alias("f"))
     return rows.select("k", "e.ielts", "e.toefl", "e.pte", "f.domestic", "f.international", "f.currency", F.col("f.notes").alias("fee_notes"))
 
 
 def validated_records(spark, d):
-    rows = derived.programs(spark, d).select("k", "degree", "text", extract.hints(F.col("text")).alias("h"))
+    rows = derived.programs(spark, d).select("k", "degree", "text", extract.hints(F.col("text"), ("ielts", "toefl", "duration", "gpa")).alias("h"))
     return rows.select(
         "k",
         validate.duration_verdict(F.col("h.duration"), F.col("degree")).alias("duration_verdict"),
